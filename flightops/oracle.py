@@ -310,5 +310,56 @@ FROM flights GROUP BY 1, 2""",
 }
 
 
+_WINDOW_IDX = ("CAST(CASE WHEN scheduled_dep IS NULL THEN -1 ELSE "
+               "date_diff('day', DATE '1970-01-01', CAST(scheduled_dep AS DATE)) * 2 "
+               "+ CASE WHEN hour(scheduled_dep) >= 12 THEN 1 ELSE 0 END END AS INTEGER)")
+_BUCKET = "time_bucket(INTERVAL 12 HOUR, ts)"
+
+QUERIES_SQL.update({
+    "ingest_flights": "SELECT " + ", ".join(c for c, _ in _FLIGHT_COLS) + " FROM flights",
+    "landing_report": f"""
+SELECT origin_iata AS airport, {_WINDOW_IDX} AS window_idx,
+       COUNT(DISTINCT l_orderkey) AS answers, CAST(0 AS BIGINT) AS malformed,
+       {_flag('l_linenumber % 2 = 1')} AS departures,
+       {_flag('l_linenumber % 2 = 0')} AS arrivals
+FROM flights GROUP BY 1, 2""",
+    "ingest_airports": """
+SELECT icao_code, iata_code, name, city, country, continent, latitude, longitude, timezone
+FROM airports""",
+    "ingest_airports_csv": """
+SELECT icao_code, iata_code, name, city, country, continent, latitude, longitude, timezone
+FROM airports""",
+    "missing_windows": f""",
+bounds AS (SELECT CAST(MAX(scheduled_dep) AS DATE) AS last_day FROM flights),
+days AS (SELECT CAST(unnest(generate_series(CAST(last_day - INTERVAL {P['window_days_back'] - 1} DAY AS DATE),
+                                            last_day, INTERVAL 1 DAY)) AS DATE) AS window_date
+         FROM bounds),
+grid AS (SELECT a.iata_code AS airport_iata, d.window_date, l.window_label, l.h
+         FROM airports a CROSS JOIN days d
+         CROSS JOIN (VALUES ('Morning', 0), ('Evening', 12)) l(window_label, h)),
+landed AS (SELECT DISTINCT origin_iata AS airport_iata, CAST(scheduled_dep AS DATE) AS window_date,
+                  CASE WHEN hour(scheduled_dep) < 12 THEN 'Morning' ELSE 'Evening' END AS window_label
+           FROM flights WHERE scheduled_dep IS NOT NULL)
+SELECT g.airport_iata, g.window_date, g.window_label,
+       CAST(g.window_date AS TIMESTAMP) + to_hours(g.h) AS window_start,
+       CAST(g.window_date AS TIMESTAMP) + to_hours(g.h + 12) AS window_end
+FROM grid g
+WHERE NOT EXISTS (SELECT 1 FROM landed x WHERE x.airport_iata = g.airport_iata
+                  AND x.window_date = g.window_date AND x.window_label = g.window_label)""",
+    "events_12h_windows": f"""
+SELECT {_BUCKET} AS window_start, {_BUCKET} + INTERVAL 12 HOUR AS window_end,
+       CASE WHEN hour({_BUCKET}) < 12 THEN 'Morning' ELSE 'Evening' END AS window_label,
+       COUNT(*) AS n_events, COUNT(DISTINCT user_id) AS n_users
+FROM events GROUP BY 1""",
+    "events_12h_windows_stream": f"""
+SELECT {_BUCKET} AS window_start, {_BUCKET} + INTERVAL 12 HOUR AS window_end, COUNT(*) AS n_events
+FROM events GROUP BY 1
+HAVING {_BUCKET} + INTERVAL 12 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL '{P['events_watermark']}'""",
+    "stream_dedup_flights": """
+SELECT DISTINCT flight_id, scheduled_dep, origin_icao, dest_icao, flight_number
+FROM flights WHERE scheduled_dep IS NOT NULL""",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: FIXTURE_CTE + sql for name, sql in QUERIES_SQL.items()}

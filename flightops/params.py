@@ -21,6 +21,8 @@ REFERENCE = {
     "delays_min_flights": 10,
     "cancelled_status": "Canceled",
     "window_days_back": 3,
+    "events_watermark": "1 hour",
+    "dedup_delay": "3 days",
 }
 
 FIXTURE = dict(

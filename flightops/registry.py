@@ -6,6 +6,7 @@ Each reads the star published (once per application) from the driver tables in
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,11 @@ from flightops.operators import audit, rollups
 from flightops.params import FIXTURE as P
 from flightops.plans import dashboard as H
 from flightops.plans import reports as Q
+from flightops.session import new_scratch_path
+from flightops.sources import fixture, landing
+from flightops.sources.sinks import export_csv
 from flightops.sources.store import Star, warehouse
+from flightops.streaming import dedup, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,5 +74,95 @@ STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
 }
 
 
+# ------------------------------------------------------------------ landed-file queries
+
+_LANDED: dict[tuple, str] = {}
+_LANDED_LOCK = threading.Lock()
+
+
+def landed_path(spark: SparkSession, sf_dir: str, both_ends: bool = False) -> str:
+    """Landing folder of envelopes built from the published fixture flights; written once
+    per application and mode."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), both_ends)
+    with _LANDED_LOCK:
+        path = _LANDED.get(key)
+        if path is None:
+            path = new_scratch_path(spark, "landing-both" if both_ends else "landing")
+            (fixture.landed_envelopes(warehouse(spark, sf_dir).flights, both_ends)
+             .write.mode("overwrite").json(path))
+            _LANDED[key] = path
+        return path
+
+
+def ingest_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-2: landed envelopes -> flights (19 columns); equals the fixture flights."""
+    env = landing.read_envelopes(spark, landed_path(spark, sf_dir))
+    return landing.flights_from_envelopes(env).select(*schemas.FLIGHT_COLUMNS)
+
+
+def landing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-3: answers, malformed lines, departures and arrivals per (airport, window)."""
+    return landing.landing_report(landing.read_envelopes(spark, landed_path(spark, sf_dir)))
+
+
+def ingest_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-1: airport documents -> airports; equals the fixture airports."""
+    path = new_scratch_path(spark, "airport-docs")
+    fixture.airport_docs(warehouse(spark, sf_dir).airports).write.mode("overwrite").json(path)
+    return landing.airports_from_docs(landing.read_airport_docs(spark, path))
+
+
+def ingest_airports_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-10 then S-5: airports exported as CSV and read back."""
+    path = new_scratch_path(spark, "airports-csv")
+    export_csv(warehouse(spark, sf_dir).airports, path)
+    return landing.read_airports_csv(spark, path)
+
+
+def missing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1 (batch): polled windows of the last days without any departure."""
+    star = warehouse(spark, sf_dir)
+    return windows.missing_windows(star.flights, star.airports, P["window_days_back"])
+
+
+def events_12h_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1 on the events table: tumbling 12-hour counts (batch)."""
+    return windows.event_window_counts(fixture.read_table(spark, sf_dir, "events"))
+
+
+def events_12h_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1 as a Structured Streaming job (file source, watermark, append): the windows
+    closed by the watermark when the available input is exhausted."""
+    sink = new_scratch_path(spark, "events-windows")
+    schema = fixture.read_table(spark, sf_dir, "events").schema
+    windows.stream_event_window_counts(spark, sf_dir.rstrip("/"), "events.parquet", sink,
+                                       f"{sink}-checkpoint", P["events_watermark"], schema)
+    return spark.read.parquet(sink)
+
+
+def stream_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-2: every flight lands twice (origin departure, destination arrival); the
+    streaming ingest keeps one row per flight key. Key columns returned."""
+    root = new_scratch_path(spark, "dedup")
+    paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/checkpoint")
+    dedup.run_dedup_ingest(spark, landed_path(spark, sf_dir, both_ends=True), paths,
+                           P["dedup_delay"])
+    return spark.read.parquet(paths.sink).select(*dedup.DEDUP_KEYS, "flight_number")
+
+
+FILE_QUERIES: dict[str, Query] = {
+    "ingest_flights": ingest_flights,
+    "landing_report": landing_report,
+    "ingest_airports": ingest_airports,
+    "ingest_airports_csv": ingest_airports_csv,
+    "missing_windows": missing_windows,
+    "events_12h_windows": events_12h_windows,
+    "events_12h_windows_stream": events_12h_windows_stream,
+    "stream_dedup_flights": stream_dedup_flights,
+}
+
+
 def queries() -> dict[str, Query]:
-    return {name: _on_star(fn) for name, fn in STAR_QUERIES.items()}
+    out = {name: _on_star(fn) for name, fn in STAR_QUERIES.items()}
+    out.update(FILE_QUERIES)
+    return out

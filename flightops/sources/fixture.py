@@ -95,9 +95,14 @@ def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flights fact: one row per lineitem, the 19 reported columns plus
     ``seen_order`` (first-seen order) and ``flight_date`` (UTC date of scheduled_dep)."""
+    # Hash-partition lineitem on the first join key with an explicit count: at scale this
+    # is the exchange the lineitem-orders sort-merge join needs anyway (no extra shuffle);
+    # when orders is small enough to broadcast it still spreads an input that arrives as
+    # one row group over all cores.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice",
-        "l_quantity", "l_returnflag", "l_linestatus")
+        "l_quantity", "l_returnflag", "l_linestatus").repartition(partitions, "l_orderkey")
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
@@ -165,3 +170,106 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.in_flag(status, X.CANCELED_STATUSES).cast("int").alias("is_canceled"),
     )
     return out.withColumn(schemas.FLIGHT_DATE, F.to_date(F.col("scheduled_dep")))
+
+
+# ----------------------------------------------------------------- landed JSON fixtures
+
+def _utc_text(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm'Z'")
+
+
+def _endpoint_doc(iata: str, icao: str, scheduled: str, revised: str) -> Column:
+    return F.struct(
+        F.struct(F.col(iata).alias("iata"), F.col(icao).alias("icao")).alias("airport"),
+        F.struct(_utc_text(F.col(scheduled)).alias("utc")).alias("scheduledTime"),
+        F.struct(_utc_text(F.col(revised)).alias("utc")).alias("revisedTime"))
+
+
+def flight_doc(flights: DataFrame) -> Column:
+    """The flight-service document of a flights row (inverse of the S-2 flatten).
+    ``isCargo`` is left out (NULL) on some non-cargo rows, which must read as false."""
+    line = F.col(f"{schemas.SEEN_ORDER}.l_linenumber")
+    is_cargo = (F.when(F.col("is_cargo") == 1, F.lit(True))
+                .when(line % 2 == 0, F.lit(None).cast("boolean"))
+                .otherwise(F.lit(False)))
+    return F.struct(
+        F.col("flight_id").alias("number"),
+        F.col("status").alias("status"),
+        is_cargo.alias("isCargo"),
+        F.struct(F.col("aircraft_reg").alias("reg"), F.col("aircraft_model").alias("model"),
+                 F.lit(None).cast("string").alias("modeS")).alias("aircraft"),
+        F.struct(F.col("airline_code").alias("iata"), F.col("airline_name").alias("name"),
+                 F.lit(None).cast("string").alias("icao")).alias("airline"),
+        _endpoint_doc("origin_iata", "origin_icao", "scheduled_dep", "actual_dep").alias("departure"),
+        _endpoint_doc("dest_iata", "dest_icao", "scheduled_arr", "actual_arr").alias("arrival"),
+    )
+
+
+def half_day_index(ts: Column) -> Column:
+    """12-hour window of a time: 2 * days since 1970-01-01 (+1 from noon); NULL -> -1."""
+    idx = (F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 2
+           + (F.hour(ts) >= 12).cast("int"))
+    return F.coalesce(idx, F.lit(-1))
+
+
+def landed_envelopes(flights: DataFrame, both_ends: bool = False) -> DataFrame:
+    """Landed envelope rows (LANDED_ENVELOPE layout) built from a flights table.
+
+    Single mode: every flight lands once, at its origin, as a departure (odd line
+    numbers) or an arrival (even ones), so the landed set equals the table.
+    ``both_ends``: every flight lands as a departure at its origin and again as an
+    arrival at its destination, which is how the polled service duplicates flights.
+    One envelope per (airport, 12-hour window, order): at most seven flights, so no
+    envelope grows with the data; an envelope without departures or arrivals has that
+    array missing.
+    """
+    doc = flight_doc(flights)
+    line = F.col(f"{schemas.SEEN_ORDER}.l_linenumber")
+    window = half_day_index(F.col("scheduled_dep"))
+    base = flights.select(
+        F.col(f"{schemas.SEEN_ORDER}.l_orderkey").alias("chunk"),
+        F.col(schemas.SEEN_ORDER).alias("seen"), doc.alias("doc"), window.alias("window_idx"),
+        F.col("origin_iata"), F.col("dest_iata"), line.alias("line"))
+    if both_ends:
+        legs = (base.select("chunk", "seen", "doc", "window_idx",
+                            F.col("origin_iata").alias("airport"), F.lit(0).alias("dir"))
+                .unionByName(base.where(F.col("dest_iata").isNotNull())
+                             .select("chunk", "seen", "doc", "window_idx",
+                                     F.col("dest_iata").alias("airport"), F.lit(1).alias("dir"))))
+    else:
+        legs = base.select("chunk", "seen", "doc", "window_idx",
+                           F.col("origin_iata").alias("airport"),
+                           F.when(F.col("line") % 2 == 1, F.lit(0)).otherwise(F.lit(1)).alias("dir"))
+
+    def side(d: int) -> Column:
+        items = F.collect_list(F.when(F.col("dir") == d, F.struct("seen", "doc")))
+        ordered = F.transform(F.array_sort(items), lambda x: x["doc"])
+        return F.when(F.size(ordered) > 0, ordered)
+
+    env = legs.groupBy("airport", "window_idx", "chunk").agg(
+        side(0).alias("departures"), side(1).alias("arrivals"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("window_idx") / 2).cast("int"))
+    evening = F.col("window_idx") % 2 == 1
+    known = F.col("window_idx") >= 0
+    return env.select(
+        "airport", "window_idx",
+        F.when(known, F.concat(day.cast("string"),
+                               F.when(evening, F.lit("T12:00")).otherwise(F.lit("T00:00")))).alias("window_from"),
+        F.when(known, F.concat(day.cast("string"),
+                               F.when(evening, F.lit("T23:59")).otherwise(F.lit("T12:00")))).alias("window_to"),
+        "departures", "arrivals")
+
+
+def airport_docs(airports_df: DataFrame) -> DataFrame:
+    """Airport documents as the service returns them; even-numbered codes carry an empty
+    shortName so the name must fall back to fullName."""
+    even = F.substring(F.col("iata_code"), -1, 1).cast("int") % 2 == 0
+    return airports_df.select(
+        F.col("icao_code").alias("icao"), F.col("iata_code").alias("iata"),
+        F.when(even, F.lit("")).otherwise(F.col("name")).alias("shortName"),
+        F.col("name").alias("fullName"),
+        F.col("city").alias("municipalityName"),
+        F.struct(F.col("country").alias("name")).alias("country"),
+        F.struct(F.col("continent").alias("name")).alias("continent"),
+        F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).alias("location"),
+        F.col("timezone").alias("timeZone"))

@@ -12,7 +12,6 @@ import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flightops import schemas
 from flightops.operators import joins
@@ -49,9 +48,8 @@ def publish_star(spark: SparkSession, airports: DataFrame, flights: DataFrame, p
 
     ``flights_partition_by``: ``flight_date`` (default) gives one folder per day, the
     right grain when a day holds many row groups and jobs re-land or prune by day.
-    ``None`` writes range-clustered files on ``flight_date`` instead: each file covers a
-    date range, so Parquet min/max statistics still skip files on date predicates, without
-    a folder per sparse day.
+    ``None`` writes the rows in the partitions they arrive in (one file per task), the
+    right choice when days are sparse: no folder per day, no extra shuffle.
 
     The aircraft dimension is derived from the *written* flights when not given, so the
     derivation of flights is not run twice.
@@ -61,8 +59,7 @@ def publish_star(spark: SparkSession, airports: DataFrame, flights: DataFrame, p
         publish_table(flights, f"{path}/flights", partition_by=flights_partition_by,
                       spread_by=[schemas.SEEN_ORDER])
     else:
-        publish_table(flights.repartitionByRange(F.col(schemas.FLIGHT_DATE), F.col(schemas.SEEN_ORDER))
-                      .sortWithinPartitions(schemas.FLIGHT_DATE), f"{path}/flights")
+        publish_table(flights, f"{path}/flights")
     written_flights = spark.read.parquet(f"{path}/flights")
     if aircraft is None:
         aircraft = aircraft_dimension(written_flights)
@@ -94,8 +91,8 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Star:
     scratch folder and reused by every report of that application.
 
     The fixture spans about seven years with a few hundred flights per day at most, so
-    daily folders would be thousands of tiny files; it is published date-clustered
-    without folders (see ``publish_star``)."""
+    daily folders would be thousands of tiny files; it is published without date folders
+    (see ``publish_star``)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
         star = _PUBLISHED.get(key)
