@@ -143,8 +143,9 @@ def latest_arrivals(flights: DataFrame, aircraft: DataFrame, airports: DataFrame
     revised (actual) arrival time.
 
     The top ``k`` flights are chosen first (TakeOrderedAndProject keeps k rows per task);
-    only those k rows are then enriched, and the aircraft dimension is semi-filtered to
-    their registrations so it is never shuffled. Tie-break after scheduled_arr DESC
+    only those k rows are then enriched. Pass the aircraft dimension broadcast-hinted when
+    its size is proven (``Star.aircraft_dim``); otherwise the k rows meet it in a shuffle
+    join, which moves the dimension, never the fact. Tie-break after scheduled_arr DESC
     (NULLs last): flight_number, aircraft_reg, origin_icao, actual_arr, status ascending
     (NULLs last); rows tied on all of these give identical output rows.
     """
@@ -153,9 +154,8 @@ def latest_arrivals(flights: DataFrame, aircraft: DataFrame, airports: DataFrame
     top = (flights.join(dest, flights["dest_icao"] == dest["d_icao"])
            .select(*LATEST_ARRIVAL_ORDER)
            .orderBy(*order).limit(k))
-    needed = F.broadcast(top.select("aircraft_reg").where(F.col("aircraft_reg").isNotNull()))
-    planes = aircraft.join(needed, "aircraft_reg", "left_semi").select(
-        "aircraft_reg", F.col("aircraft_model").alias("aircraft"), "manufacturer")
+    planes = aircraft.select("aircraft_reg", F.col("aircraft_model").alias("aircraft"),
+                             "manufacturer")
     origin = airports.select(F.col("icao_code").alias("o_icao"),
                              F.col("name").alias("departure_airport"),
                              F.col("city").alias("departure_city"))

@@ -42,7 +42,7 @@ STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
                                                      P["top_destinations_k"]),
     "flight_type": lambda s: Q.flight_type(s.flights, s.airports_dim, P["flight_type_limit"]),
     "flight_type_counts": lambda s: Q.flight_type_counts(s.flights, s.airports_dim),
-    "latest_arrivals": lambda s: Q.latest_arrivals(s.flights, s.aircraft, s.airports_dim,
+    "latest_arrivals": lambda s: Q.latest_arrivals(s.flights, s.aircraft_dim, s.airports_dim,
                                                    P["latest_arrivals_iata"], P["latest_arrivals_k"]),
     "airports_without_arrivals": lambda s: Q.airports_without_arrivals(s.flights, s.airports),
     "status_by_airline": lambda s: Q.status_by_airline(s.flights),
