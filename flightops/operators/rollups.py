@@ -33,7 +33,22 @@ def airport_delays_daily(flights: DataFrame, exact_median: bool = True) -> DataF
                  F.sum("is_canceled").cast("long").alias("canceled_flights")))
 
 
-def publish_airport_delays(rollup: DataFrame, path: str) -> None:
-    """Store the rollup partitioned by day; rerunning a day replaces only that day."""
-    publish_table(rollup.select([f.name for f in schemas.AIRPORT_DELAYS.fields]), path,
-                  partition_by="delay_date")
+def publish_airport_delays(rollup: DataFrame, path: str, grain: str = "day") -> None:
+    """Store the rollup partitioned by day (``grain="day"``): rerunning a day replaces only
+    that day. ``grain="month"`` partitions by ``delay_month`` instead, for histories where
+    a day holds only a handful of rows; a rerun then replaces whole months.
+    Read back with ``read_airport_delays``."""
+    cols = [f.name for f in schemas.AIRPORT_DELAYS.fields]
+    if grain == "day":
+        publish_table(rollup.select(cols), path, partition_by="delay_date")
+    elif grain == "month":
+        monthly = rollup.select(cols).withColumn(
+            "delay_month", F.date_format(F.col("delay_date"), "yyyy-MM"))
+        publish_table(monthly, path, partition_by="delay_month")
+    else:
+        raise ValueError(f"grain must be 'day' or 'month', not {grain!r}")
+
+
+def read_airport_delays(spark, path: str) -> DataFrame:
+    cols = [f.name for f in schemas.AIRPORT_DELAYS.fields]
+    return spark.read.parquet(path).select(cols)

@@ -306,6 +306,7 @@ SELECT origin_iata AS airport_iata, CAST(scheduled_dep AS DATE) AS delay_date,
        CAST(SUM(is_canceled) AS BIGINT) AS canceled_flights
 FROM flights GROUP BY 1, 2""",
     "constraint_audit": _AUDIT,
+    "airport_delays_published": None,
     "table_profile": _PROFILE,
 }
 
@@ -361,5 +362,8 @@ FROM flights WHERE scheduled_dep IS NOT NULL""",
 })
 
 
+QUERIES_SQL["airport_delays_published"] = QUERIES_SQL["airport_delays_daily"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: FIXTURE_CTE + sql for name, sql in QUERIES_SQL.items()}

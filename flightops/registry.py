@@ -119,6 +119,16 @@ def ingest_airports_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.read_airports_csv(spark, path)
 
 
+def airport_delays_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-6 on A-9: the daily rollup published with dynamic partition overwrite and read
+    back from Parquet. The fixture spans seven years with about a dozen rollup rows per
+    day, so it is partitioned by month (daily folders would hold a dozen rows each)."""
+    path = new_scratch_path(spark, "airport-delays")
+    rollups.publish_airport_delays(rollups.airport_delays_daily(warehouse(spark, sf_dir).flights),
+                                   path, grain="month")
+    return rollups.read_airport_delays(spark, path)
+
+
 def missing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-1 (batch): polled windows of the last days without any departure."""
     star = warehouse(spark, sf_dir)
@@ -155,6 +165,7 @@ FILE_QUERIES: dict[str, Query] = {
     "landing_report": landing_report,
     "ingest_airports": ingest_airports,
     "ingest_airports_csv": ingest_airports_csv,
+    "airport_delays_published": airport_delays_published,
     "missing_windows": missing_windows,
     "events_12h_windows": events_12h_windows,
     "events_12h_windows_stream": events_12h_windows_stream,
