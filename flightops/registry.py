@@ -76,6 +76,7 @@ STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
 
 # ------------------------------------------------------------------ landed-file queries
 
+LANDING_RECORDS_PER_FILE = 16_384
 _LANDED: dict[tuple, str] = {}
 _LANDED_LOCK = threading.Lock()
 
@@ -88,8 +89,11 @@ def landed_path(spark: SparkSession, sf_dir: str, both_ends: bool = False) -> st
         path = _LANDED.get(key)
         if path is None:
             path = new_scratch_path(spark, "landing-both" if both_ends else "landing")
+            # many modest files, as a poller lands them: JSON parsing is CPU-bound, so
+            # the read spreads evenly over the cores instead of a few large files
             (fixture.landed_envelopes(warehouse(spark, sf_dir).flights, both_ends)
-             .write.mode("overwrite").json(path))
+             .write.mode("overwrite").option("maxRecordsPerFile", LANDING_RECORDS_PER_FILE)
+             .json(path))
             _LANDED[key] = path
         return path
 

@@ -8,6 +8,11 @@ remembers the rest), flattens them (S-2) and drops repeats of the same flight wi
 watermark. State is bounded by the watermark: a key is forgotten once event time has
 moved past it by ``delay``. Rows without a scheduled departure cannot be placed in event
 time; they go to a side folder untouched.
+
+Two stages, each an exactly-once file-to-file stream with its own checkpoint:
+bronze parses the landed JSON once into Parquet (all rows, the raw history); silver reads
+bronze as a columnar stream and writes the de-duplicated rows and the untimed rows. A
+de-duplication with other keys can be re-run from bronze without parsing JSON again.
 """
 
 from __future__ import annotations
@@ -27,7 +32,11 @@ DEDUP_KEYS = ["flight_id", "scheduled_dep", "origin_icao", "dest_icao"]
 class DedupPaths:
     sink: str           # de-duplicated flights (Parquet)
     untimed: str        # rows without scheduled_dep (Parquet)
-    checkpoint: str     # two sub-folders, one per streaming query
+    checkpoint: str     # one sub-folder per streaming query, and the bronze table
+
+    @property
+    def bronze(self) -> str:
+        return f"{self.checkpoint}/bronze-table"
 
 
 def dedupe_flights(flights: DataFrame, delay: str = "3 days") -> DataFrame:
@@ -40,14 +49,23 @@ def dedupe_flights(flights: DataFrame, delay: str = "3 days") -> DataFrame:
             .drop("event_time"))
 
 
+def _bronze_schema(spark: SparkSession):
+    return flights_from_envelopes(spark.createDataFrame([], LANDED_ENVELOPE)).schema
+
+
 def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
                      delay: str = "3 days", max_files_per_trigger: int | None = None) -> None:
     """Process every landed file not yet seen, then stop (availableNow)."""
     reader = spark.readStream.schema(LANDED_ENVELOPE).option("mode", "PERMISSIVE")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    flights = flights_from_envelopes(reader.json(landing_path))
+    bronze = (flights_from_envelopes(reader.json(landing_path)).writeStream.format("parquet")
+              .option("path", paths.bronze)
+              .option("checkpointLocation", f"{paths.checkpoint}/bronze")
+              .trigger(availableNow=True).start())
+    bronze.awaitTermination()
 
+    flights = spark.readStream.schema(_bronze_schema(spark)).parquet(paths.bronze)
     deduped = (dedupe_flights(flights, delay).writeStream.format("parquet")
                .option("path", paths.sink)
                .option("checkpointLocation", f"{paths.checkpoint}/dedup")
