@@ -174,3 +174,9 @@ def test_property_anti_join_plus_destinations_cover_airports(spark):
     # Q-7 and Q-4 without limit partition the airports
     assert without | with_arr == {r[0] for r in a.select("name").collect()}
     assert not without & with_arr
+
+
+def test_explorer_origin_filter(spark):
+    f, a, _ = star(spark)
+    assert sorted(r.origin for r in H.explore_base(f, a, origin="DEL").collect()) == ["DEL", "DEL"]
+    assert H.explore_base(f, a, airline="Air India", origin="BOM").count() == 1
