@@ -363,6 +363,7 @@ FROM flights WHERE scheduled_dep IS NOT NULL""",
 
 
 QUERIES_SQL["airport_delays_published"] = QUERIES_SQL["airport_delays_daily"]
+QUERIES_SQL["reconcile_dedup_flights"] = QUERIES_SQL["stream_dedup_flights"]
 
 
 def oracle_sql() -> dict[str, str]:

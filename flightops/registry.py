@@ -164,6 +164,16 @@ def stream_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(paths.sink).select(*dedup.DEDUP_KEYS, "flight_number")
 
 
+def reconcile_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-2 batch form: bronze (every landed row) reduced to the first-seen row per flight
+    key. Key columns returned."""
+    root = new_scratch_path(spark, "reconcile")
+    paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/checkpoint")
+    dedup.run_dedup_ingest(spark, landed_path(spark, sf_dir, both_ends=True), paths,
+                           P["dedup_delay"])
+    return dedup.reconcile_dedup(spark, paths).select(*dedup.DEDUP_KEYS, "flight_number")
+
+
 FILE_QUERIES: dict[str, Query] = {
     "ingest_flights": ingest_flights,
     "landing_report": landing_report,
@@ -174,6 +184,7 @@ FILE_QUERIES: dict[str, Query] = {
     "events_12h_windows": events_12h_windows,
     "events_12h_windows_stream": events_12h_windows_stream,
     "stream_dedup_flights": stream_dedup_flights,
+    "reconcile_dedup_flights": reconcile_dedup_flights,
 }
 
 

@@ -180,3 +180,20 @@ def test_explorer_origin_filter(spark):
     f, a, _ = star(spark)
     assert sorted(r.origin for r in H.explore_base(f, a, origin="DEL").collect()) == ["DEL", "DEL"]
     assert H.explore_base(f, a, airline="Air India", origin="BOM").count() == 1
+
+
+def test_cancelled_order_nulls_last(spark):
+    # E13: DESC with NULLs last, spelled out
+    f = flights(spark, [dict(flight_id="X 1", status="Canceled", scheduled_dep=None),
+                        dict(flight_id="X 2", status="Canceled", scheduled_dep=T0),
+                        dict(flight_id="X 3", status="Canceled", scheduled_dep=T0 + dt.timedelta(hours=1))])
+    got = [r.flight_number for r in Q.cancelled_flights(f, airports(spark)).collect()]
+    assert got == ["3", "2", "1"]
+
+
+def test_string_equality_is_exact(spark):
+    # E21: case-sensitive, no trimming
+    f, a, _ = star(spark)
+    assert H.explore_base(f, a, airline="air india").count() == 0
+    assert H.explore_base(f, a, airline="Air India ").count() == 0
+    assert Q.cancelled_flights(f, a, status="canceled").count() == 0

@@ -50,3 +50,29 @@ def test_dedup_is_incremental_and_keeps_untimed_rows(spark):
     dedup.run_dedup_ingest(spark, landing_dir, paths)
     got = sorted(r.flight_id for r in spark.read.parquet(paths.sink).collect())
     assert got == ["AI 101", "AI 202"]
+
+
+def test_late_rows_are_kept_in_bronze_and_reconciled(spark):
+    import datetime as dt
+    landing_dir = new_scratch_path(spark, "late-landing")
+    root = new_scratch_path(spark, "late-out")
+    paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/ckpt")
+
+    def at(number, day):
+        t = (dt.datetime(2025, 11, 1, 6, 5) + dt.timedelta(days=day)).strftime("%Y-%m-%d %H:%MZ")
+        f = json.loads(json.dumps(FLIGHT))
+        f["number"] = number
+        f["departure"]["scheduledTime"]["utc"] = t
+        return f
+
+    _land(landing_dir, "a.json", [{"airport": "DEL", "window_idx": 0, "departures": [at("A 1", 20)]}])
+    dedup.run_dedup_ingest(spark, landing_dir, paths, delay="3 days")
+    # a re-poll of two weeks earlier arrives after the watermark has passed it
+    _land(landing_dir, "b.json", [{"airport": "DEL", "window_idx": 1,
+                                   "departures": [at("B 2", 0), at("B 2", 0)]}])
+    dedup.run_dedup_ingest(spark, landing_dir, paths, delay="3 days")
+    streamed = sorted(r.flight_id for r in spark.read.parquet(paths.sink).collect())
+    exact = sorted(r.flight_id for r in dedup.reconcile_dedup(spark, paths).collect())
+    assert spark.read.parquet(paths.bronze).count() == 3   # every landed row kept
+    assert exact == ["A 1", "B 2"]                          # nothing lost, repeat removed
+    assert streamed == ["A 1"]                              # the stream dropped the late row
