@@ -115,3 +115,36 @@ def test_publish_replaces_only_written_days(spark):
     publish_table(again, path, partition_by="flight_date")
     got = sorted(r.flight_id for r in spark.read.parquet(path).collect())
     assert got == ["A 1", "A 3"]
+
+
+def test_publish_star_partitioned_by_day(spark):
+    from flightops.sources.store import publish_star
+    from helpers import airports as make_airports
+    day1, day2 = T0, T0 + dt.timedelta(days=1)
+    f = flights(spark, [dict(flight_id="A 1", aircraft_reg="R1", aircraft_model="ATR 72", scheduled_dep=day1, seq=2),
+                        dict(flight_id="A 2", aircraft_reg="R1", aircraft_model="ATR 42", scheduled_dep=day2, seq=1),
+                        dict(flight_id="A 3", aircraft_reg=None, scheduled_dep=None, seq=3)])
+    f = f.withColumn("flight_date", F.to_date("scheduled_dep"))
+    path = new_scratch_path(spark, "star-test")
+    star = publish_star(spark, make_airports(spark), f, path)
+    parts = sorted(os.listdir(local_path(f"{path}/flights")))
+    assert [p for p in parts if p.startswith("flight_date=")] == [
+        "flight_date=2025-11-20", "flight_date=2025-11-21", "flight_date=__HIVE_DEFAULT_PARTITION__"]
+    assert star.rows == {"airports": 5, "aircraft": 1}
+    assert star.flights.count() == 3
+    assert [tuple(r) for r in star.aircraft.collect()] == [("R1", "ATR 42", "ATR", None)]
+
+
+def test_rollup_day_grain_replaces_one_day(spark):
+    from flightops.operators import rollups
+    day1, day2 = T0, T0 + dt.timedelta(days=1)
+    f = flights(spark, [dict(origin_iata="DEL", scheduled_dep=day1, delay_dep=5.0),
+                        dict(origin_iata="DEL", scheduled_dep=day2, delay_dep=1.0),
+                        dict(origin_iata="DEL", scheduled_dep=day2, delay_dep=3.0)])
+    path = new_scratch_path(spark, "rollup-test")
+    rollups.publish_airport_delays(rollups.airport_delays_daily(f), path)
+    again = flights(spark, [dict(origin_iata="DEL", scheduled_dep=day2, delay_dep=9.0)])
+    rollups.publish_airport_delays(rollups.airport_delays_daily(again), path)
+    got = {r.delay_date: (r.total_flights, r.median_delay_min)
+           for r in rollups.read_airport_delays(spark, path).collect()}
+    assert got == {day1.date(): (1, 5.0), day2.date(): (1, 9.0)}
