@@ -3,31 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def publish_table(df: DataFrame, path: str, partition_by: str | list[str] | None = None,
-                  spread_by: list[str] | None = None) -> None:
+def publish_table(df: DataFrame, path: str, partition_by: str | list[str] | None = None) -> None:
     """Write ``df`` as Parquet, replacing what was there.
 
     Without ``partition_by`` the whole table is replaced (the reference's
     ``if_exists='replace'``). With it, only the partitions present in ``df`` are replaced
     (dynamic partition overwrite), so re-landing one day rewrites that day only.
 
-    Rows are range-partitioned on the partition column(s) plus ``spread_by`` before the
-    write: each task then writes few partition folders, and a partition holding a third of
-    all rows is split over several tasks (and files) instead of landing in one.
+    Partitioned writes go through a REBALANCE on the partition columns: rows of one
+    partition meet in few tasks (few files per folder), and AQE splits a partition that
+    is too large (a day holding a third of all rows) over several tasks and merges small
+    ones. Unlike a range repartition there is no sampling pass, so the upstream plan
+    (a JSON parse, a join) runs once.
     """
-    writer_df = df
     if partition_by:
         cols = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-        writer_df = df.repartitionByRange(*[F.col(c) for c in cols + list(spread_by or [])])
-        writer = (writer_df.write.mode("overwrite")
-                  .option("partitionOverwriteMode", "dynamic")
-                  .partitionBy(*cols))
+        (df.hint("rebalance", *cols).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*cols)
+         .parquet(path))
     else:
-        writer = writer_df.write.mode("overwrite")
-    writer.parquet(path)
+        df.write.mode("overwrite").parquet(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

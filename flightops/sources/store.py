@@ -56,8 +56,7 @@ def publish_star(spark: SparkSession, airports: DataFrame, flights: DataFrame, p
     """
     publish_table(airports, f"{path}/airports")
     if flights_partition_by:
-        publish_table(flights, f"{path}/flights", partition_by=flights_partition_by,
-                      spread_by=[schemas.SEEN_ORDER])
+        publish_table(flights, f"{path}/flights", partition_by=flights_partition_by)
     else:
         publish_table(flights, f"{path}/flights")
     written_flights = spark.read.parquet(f"{path}/flights")

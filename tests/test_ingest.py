@@ -109,7 +109,7 @@ def test_publish_replaces_only_written_days(spark):
     f = flights(spark, [dict(flight_id="A 1", scheduled_dep=day1), dict(flight_id="A 2", scheduled_dep=day2)])
     f = f.withColumn("flight_date", F.to_date("scheduled_dep"))
     path = new_scratch_path(spark, "publish-test")
-    publish_table(f, path, partition_by="flight_date", spread_by=["seen_order"])
+    publish_table(f, path, partition_by="flight_date")
     again = flights(spark, [dict(flight_id="A 3", scheduled_dep=day2)]).withColumn(
         "flight_date", F.to_date("scheduled_dep"))
     publish_table(again, path, partition_by="flight_date")

@@ -3,7 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from flightops import registry
 from flightops.session import local_path, new_scratch_path
