@@ -197,3 +197,8 @@ def test_string_equality_is_exact(spark):
     assert H.explore_base(f, a, airline="air india").count() == 0
     assert H.explore_base(f, a, airline="Air India ").count() == 0
     assert Q.cancelled_flights(f, a, status="canceled").count() == 0
+
+
+def test_kpis_on_no_flights(spark):
+    f, a, ac = star(spark)
+    assert rows(H.kpis(f.where(F.lit(False)), ac, a)) == [(0, 3, 5, 0)]
