@@ -364,6 +364,7 @@ FROM flights WHERE scheduled_dep IS NOT NULL""",
 
 QUERIES_SQL["airport_delays_published"] = QUERIES_SQL["airport_delays_daily"]
 QUERIES_SQL["reconcile_dedup_flights"] = QUERIES_SQL["stream_dedup_flights"]
+QUERIES_SQL["landed_star_delayed_pct"] = QUERIES_SQL["delayed_pct_by_destination"]
 
 
 def oracle_sql() -> dict[str, str]:

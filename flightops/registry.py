@@ -20,7 +20,7 @@ from flightops.plans import reports as Q
 from flightops.session import new_scratch_path
 from flightops.sources import fixture, landing
 from flightops.sources.sinks import export_csv
-from flightops.sources.store import Star, warehouse
+from flightops.sources.store import Star, publish_from_landing, warehouse
 from flightops.streaming import dedup, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,16 @@ def ingest_airports_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.read_airports_csv(spark, path)
 
 
+def landed_star_delayed_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end: landed airport documents and envelopes -> published star (production
+    path, S-1 + S-2 + S-6) -> Q-11 on it. Equals Q-11 on the fixture star."""
+    docs = new_scratch_path(spark, "airport-docs")
+    fixture.airport_docs(warehouse(spark, sf_dir).airports).write.mode("overwrite").json(docs)
+    star = publish_from_landing(spark, docs, landed_path(spark, sf_dir),
+                                new_scratch_path(spark, "landed-star"), flights_partition_by=None)
+    return Q.delayed_pct_by_destination(star.flights, star.airports_dim)
+
+
 def airport_delays_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-6 on A-9: the daily rollup published with dynamic partition overwrite and read
     back from Parquet. The fixture spans seven years with about a dozen rollup rows per
@@ -193,6 +203,7 @@ FILE_QUERIES: dict[str, Query] = {
     "landing_report": landing_report,
     "ingest_airports": ingest_airports,
     "ingest_airports_csv": ingest_airports_csv,
+    "landed_star_delayed_pct": landed_star_delayed_pct,
     "airport_delays_published": airport_delays_published,
     "missing_windows": missing_windows,
     "events_12h_windows": events_12h_windows,

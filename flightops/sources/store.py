@@ -75,6 +75,17 @@ def open_star(spark: SparkSession, path: str) -> Star:
     return Star(tables["airports"], tables["flights"], tables["aircraft"], rows, path)
 
 
+def publish_from_landing(spark: SparkSession, airport_docs_path: str, envelopes_path: str,
+                         path: str, flights_partition_by: str | None = schemas.FLIGHT_DATE) -> Star:
+    """The production path: landed airport documents and flight envelopes -> published
+    star (airports, flights partitioned by day, aircraft by first sight in poll order)."""
+    from flightops.sources import landing
+
+    airports = landing.airports_from_docs(landing.read_airport_docs(spark, airport_docs_path))
+    flights = landing.flights_from_envelopes(landing.read_envelopes(spark, envelopes_path))
+    return publish_star(spark, airports, flights, path, flights_partition_by=flights_partition_by)
+
+
 def fixture_star(spark: SparkSession, sf_dir: str) -> Star:
     """Lazy (unpublished) star over the driver tables; the aircraft dimension is derived
     from the lazy flights plan."""
