@@ -148,3 +148,18 @@ def test_rollup_day_grain_replaces_one_day(spark):
     got = {r.delay_date: (r.total_flights, r.median_delay_min)
            for r in rollups.read_airport_delays(spark, path).collect()}
     assert got == {day1.date(): (1, 5.0), day2.date(): (1, 9.0)}
+
+
+def test_whole_file_envelopes(spark):
+    # one pretty-printed answer per file, as a poller saving raw answers would write it
+    root = new_scratch_path(spark, "multiline")
+    d = local_path(root)
+    os.makedirs(d)
+    for i, airport in enumerate(["DEL", "BOM"]):
+        with open(os.path.join(d, f"answer-{i}.json"), "w") as fh:
+            json.dump({"airport": airport, "window_idx": i, "departures": [dict(FLIGHT, number=f"X {i}")],
+                       "arrivals": []}, fh, indent=2)
+    env = landing.read_envelopes(spark, root, multi_line=True)
+    got = sorted(r.flight_id for r in landing.flights_from_envelopes(env).collect())
+    assert got == ["X 0", "X 1"]
+    assert landing.landing_report(env).where("malformed > 0").count() == 0
