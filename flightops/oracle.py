@@ -365,6 +365,13 @@ FROM flights WHERE scheduled_dep IS NOT NULL""",
 QUERIES_SQL["airport_delays_published"] = QUERIES_SQL["airport_delays_daily"]
 QUERIES_SQL["reconcile_dedup_flights"] = QUERIES_SQL["stream_dedup_flights"]
 QUERIES_SQL["landed_star_delayed_pct"] = QUERIES_SQL["delayed_pct_by_destination"]
+QUERIES_SQL["landing_totals"] = f"""
+SELECT airport, CAST(SUM(answers) AS BIGINT) AS answers, CAST(0 AS BIGINT) AS malformed,
+       CAST(SUM(n) AS BIGINT) AS flights
+FROM (SELECT origin_iata AS airport, {_WINDOW_IDX} AS window_idx,
+             COUNT(DISTINCT l_orderkey) AS answers, COUNT(*) AS n
+      FROM flights GROUP BY 1, 2) t
+GROUP BY airport"""
 
 
 def oracle_sql() -> dict[str, str]:

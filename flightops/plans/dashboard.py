@@ -6,6 +6,8 @@ here each is a DataFrame and only its (bounded) result leaves the cluster.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +125,21 @@ def explore_metrics(flights: DataFrame, airports: DataFrame, airline: str | None
         F.coalesce(X.pct("canceled_flights", "total_flights"), F.lit(0.0)).alias("canceled_pct"))
 
 
+@dataclass
+class Exploration:
+    table: DataFrame      # X-5: at most ``limit`` rows, latest departure first
+    metrics: DataFrame    # X-6: one row, over all statuses
+
+
+def explore(flights: DataFrame, airports: DataFrame, airline: str | None = None,
+            status: str | None = None, origin: str | None = None,
+            limit: int = 1000) -> Exploration:
+    """The explorer in one call: both views share the lazy X-4 base; ``None`` is "All".
+    The status choice narrows the table only, never the metrics."""
+    return Exploration(explore_table(flights, airports, airline, status, origin, limit),
+                       explore_metrics(flights, airports, airline, origin))
+
+
 # ------------------------------------------------------------------------- M
 
 def fleet_models(flights: DataFrame, aircraft: DataFrame, k: int = 10) -> DataFrame:

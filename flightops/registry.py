@@ -110,6 +110,11 @@ def landing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.landing_report(landing.read_envelopes(spark, landed_path(spark, sf_dir)))
 
 
+def landing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-3 per airport: answers, malformed lines, flights received."""
+    return landing.landing_totals(landing.read_envelopes(spark, landed_path(spark, sf_dir)))
+
+
 def ingest_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-1: airport documents -> airports; equals the fixture airports."""
     path = new_scratch_path(spark, "airport-docs")
@@ -201,6 +206,7 @@ def reconcile_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILE_QUERIES: dict[str, Query] = {
     "ingest_flights": ingest_flights,
     "landing_report": landing_report,
+    "landing_totals": landing_totals,
     "ingest_airports": ingest_airports,
     "ingest_airports_csv": ingest_airports_csv,
     "landed_star_delayed_pct": landed_star_delayed_pct,

@@ -152,7 +152,9 @@ def explode_envelopes(envelopes: DataFrame, polled: list[str] | None = None) ->
         F.struct(F.lit(DIRECTION_ARRIVAL).alias("dir"), F.col("arrivals").alias("items")))
     per_leg = envelopes.select("airport", "window_idx", F.inline(legs))
     docs = per_leg.select("airport", "window_idx", "dir", F.posexplode("items").alias("pos", "f"))
-    airport_pos = F.array_position(F.array(*[F.lit(a) for a in polled]), F.col("airport"))
+    position = F.array_position(F.array(*[F.lit(a) for a in polled]), F.col("airport"))
+    # airports outside the poll list come after all polled ones
+    airport_pos = F.when(position > 0, position).otherwise(F.lit(len(polled) + 1))
     order = F.struct(airport_pos.alias("airport_pos"), F.col("airport"),
                      F.col("window_idx"), F.col("dir"), F.col("pos"))
     return docs.withColumn(schemas.SEEN_ORDER, order)
@@ -175,3 +177,13 @@ def landing_report(envelopes: DataFrame) -> DataFrame:
                  F.count_if(~ok).alias("malformed"),
                  F.sum(F.coalesce(F.size("departures"), F.lit(0))).cast("long").alias("departures"),
                  F.sum(F.coalesce(F.size("arrivals"), F.lit(0))).cast("long").alias("arrivals")))
+
+
+def landing_totals(envelopes: DataFrame) -> DataFrame:
+    """S-3 per airport: requests answered, malformed lines and flights received (departures
+    plus arrivals), the reference's per-airport totals and call/error counters."""
+    report = landing_report(envelopes)
+    return (report.groupBy("airport")
+            .agg(F.sum("answers").cast("long").alias("answers"),
+                 F.sum("malformed").cast("long").alias("malformed"),
+                 (F.sum("departures") + F.sum("arrivals")).cast("long").alias("flights")))

@@ -202,3 +202,10 @@ def test_string_equality_is_exact(spark):
 def test_kpis_on_no_flights(spark):
     f, a, ac = star(spark)
     assert rows(H.kpis(f.where(F.lit(False)), ac, a)) == [(0, 3, 5, 0)]
+
+
+def test_explore_one_call(spark):
+    f, a, _ = star(spark)
+    ex = H.explore(f, a, status="Canceled")
+    assert ex.table.count() == 1                       # BA 3 from LHR; 6E 5 has no known origin
+    assert rows(ex.metrics)[0][:2] == (6, 1)           # metrics ignore the status choice
