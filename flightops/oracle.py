@@ -103,9 +103,15 @@ _FLIGHT_COLS = [
     ("delay_dep", "double"), ("status", "string"), ("is_cargo", "int"), ("is_canceled", "int"),
 ]
 
+def _top(c: str, pick: str) -> str:
+    return (f"(SELECT {pick} FROM (SELECT CAST({c} AS VARCHAR) AS v, COUNT(*) AS n FROM flights "
+            f"WHERE {c} IS NOT NULL GROUP BY 1) t ORDER BY n DESC, v ASC LIMIT 1)")
+
+
 _PROFILE = "\nUNION ALL\n".join(
     f"SELECT 'flights' AS table_name, '{c}' AS column_name, '{t}' AS data_type, "
-    f"COUNT(*) AS row_count, COUNT({c}) AS non_null_count, COUNT(DISTINCT {c}) AS distinct_count "
+    f"COUNT(*) AS row_count, COUNT({c}) AS non_null_count, COUNT(DISTINCT {c}) AS distinct_count, "
+    f"{_top(c, 'v')} AS top_value, {_top(c, 'n')} AS top_count "
     f"FROM flights" for c, t in _FLIGHT_COLS)
 
 
