@@ -36,4 +36,5 @@ FIXTURE = dict(
     explore_status="Arrived",
     airport_detail_iata="A05",
     delays_min_flights=2000,
+    dedup_salt_buckets=4,    # ours, not the reference's: exercises the hot-key split
 )

@@ -183,7 +183,8 @@ def dedup_run(spark: SparkSession, sf_dir: str) -> dedup.DedupPaths:
         landed = landed_path(spark, sf_dir, both_ends=True)
         root = new_scratch_path(spark, "dedup")
         paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/checkpoint")
-        dedup.run_dedup_ingest(spark, landed, paths, P["dedup_delay"])
+        dedup.run_dedup_ingest(spark, landed, paths, P["dedup_delay"],
+                               salt_buckets=P["dedup_salt_buckets"])
         with _LANDED_LOCK:
             _DEDUP_RUNS[key] = paths
     return paths

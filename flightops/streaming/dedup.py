@@ -44,14 +44,25 @@ class DedupPaths:
         return f"{self.checkpoint}/bronze-table"
 
 
-def dedupe_flights(flights: DataFrame, delay: str = "3 days") -> DataFrame:
+def dedupe_flights(flights: DataFrame, delay: str = "3 days", salt_buckets: int = 1) -> DataFrame:
     """Streaming (or batch) de-duplication on DEDUP_KEYS within the watermark ``delay``.
-    The poll goes back three days, so a repeat can arrive up to three days later."""
+    The poll goes back three days, so a repeat can arrive up to three days later.
+
+    ``salt_buckets`` > 1 splits hot keys: a first de-duplication on (keys, salt), the salt
+    taken from the copy's landing identity, spreads the copies of one key over that many
+    state tasks and leaves at most ``salt_buckets`` survivors per key; a second one on the
+    keys alone keeps one. A key repeated on a third of all rows then costs no single task
+    more than 1/``salt_buckets`` of its copies, for up to ``salt_buckets`` times the state.
+    """
     timed = (flights.where(F.col("scheduled_dep").isNotNull())
-             .withColumn("event_time", F.col("scheduled_dep").cast("timestamp")))
-    return (timed.withWatermark("event_time", delay)
-            .dropDuplicatesWithinWatermark(DEDUP_KEYS)
-            .drop("event_time"))
+             .withColumn("event_time", F.col("scheduled_dep").cast("timestamp"))
+             .withWatermark("event_time", delay))
+    if salt_buckets > 1:
+        salt = F.pmod(F.xxhash64(F.col("seen_order")), F.lit(salt_buckets))
+        timed = (timed.withColumn("_salt", salt)
+                 .dropDuplicatesWithinWatermark(DEDUP_KEYS + ["_salt"])
+                 .drop("_salt"))
+    return timed.dropDuplicatesWithinWatermark(DEDUP_KEYS).drop("event_time")
 
 
 def dedupe_first_seen(flights: DataFrame) -> DataFrame:
@@ -77,7 +88,8 @@ def _bronze_schema(spark: SparkSession):
 
 
 def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
-                     delay: str = "3 days", max_files_per_trigger: int | None = None) -> None:
+                     delay: str = "3 days", max_files_per_trigger: int | None = None,
+                     salt_buckets: int = 1) -> None:
     """Process every landed file not yet seen, then stop (availableNow)."""
     reader = spark.readStream.schema(LANDED_ENVELOPE).option("mode", "PERMISSIVE")
     if max_files_per_trigger:
@@ -89,7 +101,7 @@ def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
     bronze.awaitTermination()
 
     flights = spark.readStream.schema(_bronze_schema(spark)).parquet(paths.bronze)
-    deduped = (dedupe_flights(flights, delay).writeStream.format("parquet")
+    deduped = (dedupe_flights(flights, delay, salt_buckets).writeStream.format("parquet")
                .option("path", paths.sink)
                .option("checkpointLocation", f"{paths.checkpoint}/dedup")
                .trigger(availableNow=True).start())

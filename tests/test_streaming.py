@@ -75,3 +75,16 @@ def test_late_rows_are_kept_in_bronze_and_reconciled(spark):
     assert spark.read.parquet(paths.bronze).count() == 3   # every landed row kept
     assert exact == ["A 1", "B 2"]                          # nothing lost, repeat removed
     assert streamed == ["A 1"]                              # the stream dropped the late row
+
+
+def test_hot_key_is_salted_across_state_tasks(spark):
+    landing_dir = new_scratch_path(spark, "hot-landing")
+    root = new_scratch_path(spark, "hot-out")
+    paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/ckpt")
+    # one flight landed 300 times (different windows), plus one ordinary flight
+    hot = [{"airport": "DEL", "window_idx": i, "departures": [FLIGHT]} for i in range(300)]
+    _land(landing_dir, "hot.json", hot + [{"airport": "BOM", "window_idx": 0,
+                                           "departures": [dict(FLIGHT, number="AI 7")]}])
+    dedup.run_dedup_ingest(spark, landing_dir, paths, salt_buckets=4)
+    got = sorted(r.flight_id for r in spark.read.parquet(paths.sink).collect())
+    assert got == ["AI 101", "AI 7"]
