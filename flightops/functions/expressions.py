@@ -26,8 +26,9 @@ MANUFACTURER_BY_FIRST_WORD = {
 # Statuses that mark a flight as cancelled in the `is_canceled` flag.
 CANCELED_STATUSES = ("Canceled", "CanceledUncertain")
 
-# Fixed value: the text layout of a UTC time once its trailing `Z` is removed.
-UTC_TIME_PATTERN = "yyyy-MM-dd HH:mm"
+# Fixed value: the text layout of a UTC time once its `Z` is removed, year-month-day
+# hour:minute. One-letter fields accept one or two digits, as the reference's parse does.
+UTC_TIME_PATTERN = "yyyy-M-d H:m"
 
 
 def _col(c: Column | str) -> Column:

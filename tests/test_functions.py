@@ -91,3 +91,12 @@ def test_pct_no_error_without_codegen(spark):
         assert df.select(X.pct_round("n", "d")).collect()[0][0] is None
     finally:
         spark.conf.set("spark.sql.codegen.wholeStage", "true")
+
+
+def test_parse_utc_time_field_widths(spark):
+    # one- or two-digit fields parse; seconds, a 'T' separator or leading blanks do not
+    got = one_col(spark, ["2025-1-5 6:5Z", "2025-11-20 6:05Z", "2025-11-20 06:05:30Z",
+                          "2025-11-20T06:05Z", " 2025-11-20 06:05Z", "2025-02-30 06:05Z"],
+                  "string", X.parse_utc_time)
+    assert got == [dt.datetime(2025, 1, 5, 6, 5), dt.datetime(2025, 11, 20, 6, 5),
+                   None, None, None, None]
