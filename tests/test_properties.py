@@ -46,3 +46,17 @@ def test_stream_dedup_equals_batch_dedup(spark, small_sf):
              .select(*DEDUP_KEYS).distinct())
     assert streamed.count() == batch.count()
     assert streamed.select(*DEDUP_KEYS).exceptAll(batch).count() == 0
+
+
+def test_approximate_profile_tracks_exact(spark, small_sf):
+    from flightops import schemas
+    from flightops.operators import audit
+    s = warehouse(spark, small_sf)
+    exact = {r.column_name: r for r in audit.table_profile(s.flights, "flights", schemas.FLIGHT_COLUMNS).collect()}
+    approx = {r.column_name: r for r in audit.table_profile(s.flights, "flights", schemas.FLIGHT_COLUMNS,
+                                                            exact=False).collect()}
+    for c, e in exact.items():
+        a = approx[c]
+        assert (a.row_count, a.non_null_count) == (e.row_count, e.non_null_count)
+        assert abs(a.distinct_count - e.distinct_count) <= max(2, 0.06 * e.distinct_count)
+        assert a.top_value is None and e.top_count >= 1
