@@ -58,5 +58,6 @@ def test_approximate_profile_tracks_exact(spark, small_sf):
     for c, e in exact.items():
         a = approx[c]
         assert (a.row_count, a.non_null_count) == (e.row_count, e.non_null_count)
-        assert abs(a.distinct_count - e.distinct_count) <= max(2, 0.06 * e.distinct_count)
+        # HyperLogLog++ at its default 5% relative standard deviation: allow 3 sigma
+        assert abs(a.distinct_count - e.distinct_count) <= max(2, 0.15 * e.distinct_count)
         assert a.top_value is None and e.top_count >= 1
