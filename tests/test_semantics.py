@@ -209,3 +209,9 @@ def test_explore_one_call(spark):
     ex = H.explore(f, a, status="Canceled")
     assert ex.table.count() == 1                       # BA 3 from LHR; 6E 5 has no known origin
     assert rows(ex.metrics)[0][:2] == (6, 1)           # metrics ignore the status choice
+
+
+def test_cancelled_unordered_same_rows(spark):
+    f, a, _ = star(spark)
+    assert sorted(rows(Q.cancelled_flights(f, a, ordered=False)), key=str) == \
+        sorted(rows(Q.cancelled_flights(f, a)), key=str)
