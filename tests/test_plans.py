@@ -77,3 +77,22 @@ def test_star_dimensions_are_size_checked(star):
     assert star.rows["airports"] == 12
     assert "BroadcastHashJoin" in plan(star.flights.join(star.airports_dim,
                                                          F.col("origin_icao") == F.col("icao_code")))
+
+
+def test_shuffle_join_reuses_the_aggregation_partitioning(spark, star):
+    # the 100 TB case: nothing broadcast, no runtime re-planning
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            Q.flights_per_model(star.flights, star.aircraft).explain()
+        p = buf.getvalue()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortMergeJoin" in p
+    # per-registration counts are hash-partitioned once (for their own aggregation) and
+    # joined as they are; the dimension is the only other side shuffled on the key
+    assert p.count("Exchange hashpartitioning(aircraft_reg") == 2
+    assert p.count("Exchange") - p.count("ReusedExchange") == 4
