@@ -35,8 +35,11 @@ def export_csv(df: DataFrame, path: str) -> None:
     The output is one file per task; a folder of parts is the scalable form of the single
     download file.
     """
+    # Times as the reference stores and exports them: 'YYYY-MM-DD HH:MM:SS'.
     (df.write.mode("overwrite")
      .option("header", True)
      .option("emptyValue", "")
      .option("nullValue", "")
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+     .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
      .csv(path))

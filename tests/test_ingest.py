@@ -163,3 +163,20 @@ def test_whole_file_envelopes(spark):
     got = sorted(r.flight_id for r in landing.flights_from_envelopes(env).collect())
     assert got == ["X 0", "X 1"]
     assert landing.landing_report(env).where("malformed > 0").count() == 0
+
+
+def test_csv_export_time_text(spark):
+    import glob
+    df = spark.createDataFrame([("X 1", T0, None), ("X 2", None, "")],
+                               "flight_number string, scheduled_departure timestamp_ntz, note string")
+    path = new_scratch_path(spark, "csv-times")
+    export_csv(df.coalesce(1), path)
+    lines = open(glob.glob(local_path(path) + "/*.csv")[0]).read().splitlines()
+    assert lines == ["flight_number,scheduled_departure,note",
+                     "X 1,2025-11-20 06:00:00,", "X 2,,"]
+
+
+def test_command_line_lists_and_exports(spark, small_sf, capsys):
+    from flightops.__main__ import main
+    assert main(["--list"]) == 0
+    assert "delayed_pct_by_destination" in capsys.readouterr().out.split()
