@@ -55,10 +55,14 @@ def missing_windows(flights: DataFrame, airports: DataFrame, days_back: int = 3,
 
 
 def event_window_counts(events: DataFrame, ts: str = "ts") -> DataFrame:
-    """Events per tumbling 12-hour window (batch form): events and distinct users."""
+    """Events per tumbling 12-hour window (batch form): events and distinct users.
+
+    Counted per (window, user) first, then per window: two plain aggregations (the
+    non-NULL user groups are the distinct users), no Expand."""
     w = F.window(F.col(ts), WINDOW)
-    return (events.groupBy(w.alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("user_id").alias("n_users"))
+    per_user = events.groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return (per_user.groupBy("w")
+            .agg(F.sum("n").cast("long").alias("n_events"), F.count("user_id").alias("n_users"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     window_label(F.col("w.start")).alias("window_label"), "n_events", "n_users"))
 
@@ -74,7 +78,8 @@ def stream_event_window_counts(spark: SparkSession, events_dir: str, file_glob:
     The event time must be TIMESTAMP (not NTZ) for a watermark; with a UTC session the
     cast keeps the wall time."""
     source = (spark.readStream.format("parquet")
-              .schema(schema or spark.read.parquet(events_dir).schema)
+              .schema(schema or spark.read.option("pathGlobFilter", file_glob)
+                      .parquet(events_dir).schema)
               .option("pathGlobFilter", file_glob)
               .load(events_dir))
     timed = source.withColumn("event_time", F.col("ts").cast("timestamp"))
