@@ -148,6 +148,10 @@ _AUDIT = "\nUNION ALL\n".join([
                _orphans("origin_icao", "airports", "icao_code")),
     _audit_row("flights_dest_fk", "flights", "dest_icao", "FOREIGN KEY",
                _orphans("dest_icao", "airports", "icao_code")),
+    _audit_row("airport_delays_airport_fk", "airport_delays", "airport_iata", "FOREIGN KEY",
+               "SELECT COUNT(*) FROM (SELECT origin_iata AS airport_iata, CAST(scheduled_dep AS DATE) AS d "
+               "FROM flights GROUP BY 1, 2) r WHERE r.airport_iata IS NOT NULL AND NOT EXISTS "
+               "(SELECT 1 FROM airports p WHERE p.iata_code = r.airport_iata)"),
 ])
 
 QUERIES_SQL: dict[str, str] = {

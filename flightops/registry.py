@@ -70,7 +70,8 @@ STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "delays_by_airport": lambda s: H.delays_by_airport(s.flights, s.airports_dim,
                                                        P["delays_min_flights"]),
     "airport_delays_daily": lambda s: rollups.airport_delays_daily(s.flights),
-    "constraint_audit": lambda s: audit.constraint_audit(s.flights, s.airports, s.aircraft),
+    "constraint_audit": lambda s: audit.constraint_audit(
+        s.flights, s.airports, s.aircraft, rollups.airport_delays_daily(s.flights)),
     "table_profile": lambda s: audit.table_profile(s.flights, "flights", schemas.FLIGHT_COLUMNS),
 }
 
