@@ -61,3 +61,19 @@ def test_approximate_profile_tracks_exact(spark, small_sf):
         # HyperLogLog++ at its default 5% relative standard deviation: allow 3 sigma
         assert abs(a.distinct_count - e.distinct_count) <= max(2, 0.15 * e.distinct_count)
         assert a.top_value is None and e.top_count >= 1
+
+
+def test_approximate_median_option(spark, small_sf):
+    from flightops.operators import rollups
+    s = warehouse(spark, small_sf)
+    keys = ["airport_iata", "delay_date"]
+    exact = rollups.airport_delays_daily(s.flights)
+    approx = rollups.airport_delays_daily(s.flights, exact_median=False)
+    odd = (s.flights.where(F.col("delay_dep").isNotNull())
+           .groupBy(F.col("origin_iata").alias("airport_iata"),
+                    F.to_date("scheduled_dep").alias("delay_date"))
+           .agg(F.count(F.lit(1)).alias("k")).where(F.col("k") % 2 == 1))
+    both = (exact.join(approx.select(*keys, F.col("median_delay_min").alias("approx_median")),
+                       keys).join(odd, keys))
+    assert both.count() > 0
+    assert both.where(F.col("median_delay_min") != F.col("approx_median")).count() == 0
