@@ -375,6 +375,18 @@ FROM flights WHERE scheduled_dep IS NOT NULL""",
 QUERIES_SQL["airport_delays_published"] = QUERIES_SQL["airport_delays_daily"]
 QUERIES_SQL["reconcile_dedup_flights"] = QUERIES_SQL["stream_dedup_flights"]
 QUERIES_SQL["landed_star_delayed_pct"] = QUERIES_SQL["delayed_pct_by_destination"]
+QUERIES_SQL["poll_requests"] = f""",
+bounds AS (SELECT CAST(MAX(scheduled_dep) AS DATE) AS last_day FROM flights),
+days AS (SELECT CAST(unnest(generate_series(CAST(last_day - INTERVAL {P['window_days_back'] - 1} DAY AS DATE),
+                                            last_day, INTERVAL 1 DAY)) AS DATE) AS window_date, last_day
+         FROM bounds)
+SELECT a.iata_code AS airport_iata, d.window_date, l.window_label,
+       CAST(date_diff('day', d.window_date, d.last_day) * 2 + l.pos AS INTEGER) AS window_idx,
+       strftime(d.window_date, '%Y-%m-%d') || l.t_from AS window_from,
+       strftime(d.window_date, '%Y-%m-%d') || l.t_to AS window_to
+FROM airports a CROSS JOIN days d
+CROSS JOIN (VALUES ('Morning', 0, 'T00:00', 'T12:00'), ('Evening', 1, 'T12:00', 'T23:59'))
+     l(window_label, pos, t_from, t_to)"""
 QUERIES_SQL["landing_totals"] = f"""
 SELECT airport, CAST(SUM(answers) AS BIGINT) AS answers, CAST(0 AS BIGINT) AS malformed,
        CAST(SUM(n) AS BIGINT) AS flights

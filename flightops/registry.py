@@ -10,6 +10,7 @@ import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flightops import schemas
 from flightops.operators import audit, rollups
@@ -150,6 +151,13 @@ def airport_delays_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.read_airport_delays(spark, path)
 
 
+def poll_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1: the requests of a poll over the last days of the data (airports x days x 2)."""
+    star = warehouse(spark, sf_dir)
+    last_day = star.flights.agg(F.max(F.to_date("scheduled_dep"))).scalar()
+    return windows.poll_requests(star.airports, last_day, P["window_days_back"])
+
+
 def missing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-1 (batch): polled windows of the last days without any departure."""
     star = warehouse(spark, sf_dir)
@@ -213,6 +221,7 @@ FILE_QUERIES: dict[str, Query] = {
     "ingest_airports_csv": ingest_airports_csv,
     "landed_star_delayed_pct": landed_star_delayed_pct,
     "airport_delays_published": airport_delays_published,
+    "poll_requests": poll_requests,
     "missing_windows": missing_windows,
     "events_12h_windows": events_12h_windows,
     "events_12h_windows_stream": events_12h_windows_stream,

@@ -36,6 +36,32 @@ def expected_windows(airports: DataFrame, last_day: Column, days_back: int = 3)
                              F.timestamp_add("HOUR", F.lit(12), start).alias("window_end"))
 
 
+# The request window texts of a day, as the reference forms them.
+WINDOW_FROM_TO = {"Morning": ("T00:00", "T12:00"), "Evening": ("T12:00", "T23:59")}
+
+
+def poll_requests(airports: DataFrame, last_day: Column, days_back: int = 3) -> DataFrame:
+    """The collection plan: one flight-service request per (airport, window), with the
+    request's ``from``/``to`` texts. Windows run from ``last_day`` backwards, Morning
+    before Evening, and ``window_idx`` is a window's position in that list (the landing
+    format's ``window_idx``). 12 airports x 3 days gives the reference's 72 requests."""
+    grid = expected_windows(airports, last_day, days_back)
+    day_pos = F.datediff(last_day, F.col("window_date"))
+    label_pos = F.when(F.col("window_label") == WINDOW_LABELS[0], 0).otherwise(1)
+    day_text = F.date_format(F.col("window_date"), "yyyy-MM-dd")
+
+    def part(i: int) -> Column:
+        return F.when(F.col("window_label") == WINDOW_LABELS[0],
+                      F.lit(WINDOW_FROM_TO[WINDOW_LABELS[0]][i])).otherwise(
+            F.lit(WINDOW_FROM_TO[WINDOW_LABELS[1]][i]))
+
+    return grid.select(
+        "airport_iata", "window_date", "window_label",
+        (day_pos * 2 + label_pos).alias("window_idx"),
+        F.concat(day_text, part(0)).alias("window_from"),
+        F.concat(day_text, part(1)).alias("window_to"))
+
+
 def missing_windows(flights: DataFrame, airports: DataFrame, days_back: int = 3,
                     last_day: Column | None = None) -> DataFrame:
     """Expected windows without a single recorded departure from that airport.

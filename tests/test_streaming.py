@@ -88,3 +88,17 @@ def test_hot_key_is_salted_across_state_tasks(spark):
     dedup.run_dedup_ingest(spark, landing_dir, paths, salt_buckets=4)
     got = sorted(r.flight_id for r in spark.read.parquet(paths.sink).collect())
     assert got == ["AI 101", "AI 7"]
+
+
+def test_poll_requests_texts(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from flightops.streaming import windows
+    from helpers import airports
+    req = windows.poll_requests(airports(spark).where("iata_code = 'DEL'"),
+                                F.lit(dt.date(2025, 11, 20)), days_back=2)
+    got = sorted((r.window_idx, r.window_label, r.window_from, r.window_to) for r in req.collect())
+    assert got == [(0, "Morning", "2025-11-20T00:00", "2025-11-20T12:00"),
+                   (1, "Evening", "2025-11-20T12:00", "2025-11-20T23:59"),
+                   (2, "Morning", "2025-11-19T00:00", "2025-11-19T12:00"),
+                   (3, "Evening", "2025-11-19T12:00", "2025-11-19T23:59")]
