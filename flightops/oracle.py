@@ -8,6 +8,7 @@ grouping), with the same parameters, tie-breaks and rounding as the Spark plans.
 from __future__ import annotations
 
 from flightops.params import FIXTURE as P
+from flightops.plans.reports import STATUS_COUNT_COLUMNS
 
 
 def _addmin(minutes: str, ts: str) -> str:
@@ -87,10 +88,7 @@ def _flag(cond: str) -> str:
 
 
 _STATUS_COLS = ",\n  ".join(
-    f"{_flag(f'f.status = {chr(39)}{v}{chr(39)}')} AS {n}"
-    for n, v in [("arrived", "Arrived"), ("departed", "Departed"), ("unknown", "Unknown"),
-                 ("expected", "Expected"), ("approaching", "Approaching"),
-                 ("canceled", "Canceled"), ("delayed", "Delayed")])
+    f"{_flag(f'f.status = {chr(39)}{v}{chr(39)}')} AS {n}" for n, v in STATUS_COUNT_COLUMNS)
 
 _DELAYED_ARR = "f.status = 'Delayed' OR f.delay_arr > 0"
 
