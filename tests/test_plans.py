@@ -96,3 +96,12 @@ def test_shuffle_join_reuses_the_aggregation_partitioning(spark, star):
     # joined as they are; the dimension is the only other side shuffled on the key
     assert p.count("Exchange hashpartitioning(aircraft_reg") == 2
     assert p.count("Exchange") - p.count("ReusedExchange") == 4
+
+
+def test_no_python_in_any_registered_plan(spark, small_sf):
+    import __spark_entry__ as entry
+    python_nodes = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
+                    "PythonUDF", "MapInArrow")
+    for name, fn in entry.queries().items():
+        p = plan(fn(spark, small_sf))
+        assert not any(n in p for n in python_nodes), name
