@@ -34,12 +34,39 @@ WINDOW = 2048
 STEP = 8          # tokens of a length class
 DEPTH = 3         # rests in a combination, at most
 END_ID = 1
-MEMO = 500_000    # runs, and words, whose ids a worker remembers, at most
+MEMO = 900_000    # runs, and words, whose ids a worker remembers, at most
 CHUNK_ROWS = 20_000  # rows that a running count orders in one group, about
 
 
 # -- token ids ---------------------------------------------------------------------------
 
+class _Words(dict):
+    """The ids of a word, encoded when it is first seen."""
+
+    def __init__(self, encode):
+        self.encode, self.letters = encode, byte_letters()
+
+    def spelt(self, letters: str) -> bytes:
+        return array.array("I", [t.id for t in self.encode(letters)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isprintable() else "".join(
+            self.letters[b] for b in word.encode("utf-8", "surrogatepass"))
+        found = self[word] = self.spelt(letters)
+        return found
+
+
+class _Runs(dict):
+    """The ids of a run between blanks, cut into words when it is first seen."""
+
+    def __init__(self, words: _Words):
+        self.words = words
+
+    def __missing__(self, run: str) -> bytes:
+        found = self[run] = b"".join(map(self.words.__getitem__, pretokens.CUT.findall(run)))
+        return found
+
+
 class _Ids:
     """Ids of runs between blanks and of words, remembered up to MEMO entries each. The
     cutter splits at white space and at words, so each has its ids wherever it stands, and
@@ -47,33 +74,16 @@ class _Ids:
 
     def __init__(self, path: str):
         self.library = pretokens.library(path)
-        self.encode = self.library.model.tokenize
-        self.letters = byte_letters()
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def spelt(self, letters: str) -> bytes:
-        return array.array("I", [t.id for t in self.encode(letters)]).tobytes()
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self.words[word] = self.spelt(
-                word if word.isascii() and word.isprintable() else "".join(
-                    self.letters[b] for b in word.encode("utf-8", "surrogatepass")))
-        return found
+        self.words = _Words(self.library.model.tokenize)
+        self.runs = _Runs(self.words)
 
     def plain(self, text: str) -> bytes:
         """Of a text that lower-casing alone normalises."""
-        runs = text.lower().replace("\n", " ").split(" ")
-        known = self.runs
-        for run in set(runs).difference(known):
-            known[run] = b"".join(map(self.word, pretokens.CUT.findall(run)))
-        return b"".join(map(known.__getitem__, runs))
+        return b"".join(map(self.runs.__getitem__, text.lower().replace("\n", " ").split(" ")))
 
     def other(self, text: str) -> bytes:
         plain = self.library.normalizer.normalize_str(text)
-        return b"".join(self.spelt(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain))
+        return b"".join(self.words.spelt(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain))
 
     def special(self, mark: str) -> bytes:
         return array.array("I", [self.library.token_to_id(mark)]).tobytes()
