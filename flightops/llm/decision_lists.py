@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, checkpointed, table
 from .labelled import labelled_sample
 
 SAMPLE_ROWS = 6000   # labelled documents that the rules are learned from, at most
@@ -218,12 +218,14 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, grow: np.ndarray) -> list[list[C
 def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[list[Condition]]:
     """Rules from the labelled documents among `docs` (doc_id, text) that pass the base: at
     most `rows` rows of numbers reach the driver. No labelled document gives no rule."""
-    sample = with_statistics(labelled_sample(docs.select("doc_id", "text"), labels, rows)) \
-        .where(~base_failed())
+    # kept before the statistics, so that filters on them aren't pushed to all documents
+    sample = checkpointed(labelled_sample(docs.select("doc_id", "text"), labels, rows))
+    sample = with_statistics(sample).where(~base_failed())
     values = features()
-    data = sample.select((F.col("_quality") < 1).alias("bad"),
+    data = sample.select("doc_id", (F.col("_quality") < 1).alias("bad"),
                          (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) != 0).alias("grow"),
-                         *[values[f].alias(f) for f in FEATURES]).orderBy(F.xxhash64("doc_id")).collect()
+                         *[values[f].alias(f) for f in FEATURES]).collect()
+    data.sort(key=tuple)
     x = np.array([[r[f] for f in FEATURES] for r in data], dtype=float).reshape(-1, len(FEATURES))
     bad, grow = (np.array([r[c] for r in data], dtype=bool) for c in ("bad", "grow"))
     return learn_rules(x, bad, grow)
