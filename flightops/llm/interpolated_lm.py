@@ -7,7 +7,7 @@ training documents that is deleted from the counts while learning, and added for
 
 Counts live with their keys, texts live in blocks, and arrays travel between them:
 
-1. tasks turn documents into blocks of some 2 million tokens (word numbers local to the
+1. tasks turn documents into blocks of some 1.5 million tokens (word numbers local to the
    block), kept as a table in the shared folder;
 2. each block asks for its distinct words and word pairs, sorted by hash, cut by hash range;
 3. a group for each range adds up the counts of all blocks and answers each of them in the
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import id_bucket, saved, small_batches, table
 
 FOLDS, HELD_OUT, DELETED = 10, 0, 1   # remainders of crc32(doc_id as text) mod 10
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1_500_000
 RANGE_KEYS = 1_000_000
 BUCKETS = 32
 ROUNDS = 40
