@@ -35,7 +35,7 @@ STEP = 8          # tokens of a length class
 DEPTH = 3         # rests in a combination, at most
 END_ID = 1
 MEMO = 250_000    # runs, and words, whose ids a worker remembers, at most
-CHUNK_ROWS = 20_000  # rows that a running count orders in one group, about
+CHUNK_ROWS = 2_000  # rows that a running count orders in one group, about
 
 
 # -- token ids ---------------------------------------------------------------------------
