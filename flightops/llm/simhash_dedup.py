@@ -214,9 +214,9 @@ def fingerprint_links(prints: DataFrame, distance: int, group_rows: int = GROUP_
         if hot.isEmpty():
             break
         cold = groups.join(hot, ["_path", "_fixed"], "left_anti")
-        done = cold if done is None else done.unionAll(cold)
+        done = cold if done is None else done.unionByName(cold)
         groups = checkpointed(dealt(groups.join(hot, ["_path", "_fixed"], "left_semi"), distance))
-    groups = groups if done is None else done.unionAll(groups)
+    groups = groups if done is None else done.unionByName(groups)
     lists = (groups.groupBy("_path", "_fixed").agg(F.collect_list("_fp").alias("_fps"))
              .where(F.size("_fps") > 1).select("_fps"))
 
