@@ -16,8 +16,11 @@ def aircraft_dimension(flights: DataFrame, seen_order: str = schemas.SEEN_ORDER)
     order in which the rows were collected. ``min_by`` is an ordinary aggregate with a
     map-side partial step, so a registration on a third of all rows still leaves each
     map task with one candidate per registration; no global row_number, no single task.
-    NULL and empty registrations are skipped, as in the reference.
+    NULL and empty registrations are skipped, as in the reference. Flights without an order
+    are refused: the first row would be any.
     """
+    if dict(flights.dtypes).get(seen_order) in (None, "void"):
+        raise ValueError(f"flights need the order they were seen in ({seen_order})")
     reg = F.col("aircraft_reg")
     first = F.min_by(F.struct("aircraft_model", "airline_name"), F.col(seen_order))
     picked = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flightops import schemas
 from flightops.functions import expressions as X
-from flightops.sources.sinks import publish_table
+from flightops.sources.sinks import merge_table
 
 
 def airport_delays_daily(flights: DataFrame, exact_median: bool = True) -> DataFrame:
@@ -34,17 +34,17 @@ def airport_delays_daily(flights: DataFrame, exact_median: bool = True) -> DataF
 
 
 def publish_airport_delays(rollup: DataFrame, path: str, grain: str = "day") -> None:
-    """Store the rollup partitioned by day (``grain="day"``): rerunning a day replaces only
-    that day. ``grain="month"`` partitions by ``delay_month`` instead, for histories where
-    a day holds only a handful of rows; a rerun then replaces whole months.
+    """Store the rollup partitioned by day (``grain="day"``), or by ``delay_month``
+    (``grain="month"``) for histories where a day holds only a handful of rows. Either way a
+    rerun replaces exactly the days it holds; the month's other days stay.
     Read back with ``read_airport_delays``."""
     cols = [f.name for f in schemas.AIRPORT_DELAYS.fields]
     if grain == "day":
-        publish_table(rollup.select(cols), path, partition_by="delay_date")
+        merge_table(rollup.select(cols), path, "delay_date", owner=["delay_date"])
     elif grain == "month":
         monthly = rollup.select(cols).withColumn(
             "delay_month", F.date_format(F.col("delay_date"), "yyyy-MM"))
-        publish_table(monthly, path, partition_by="delay_month")
+        merge_table(monthly, path, "delay_month", owner=["delay_date"])
     else:
         raise ValueError(f"grain must be 'day' or 'month', not {grain!r}")
 

@@ -7,6 +7,7 @@ grouping), with the same parameters, tie-breaks and rounding as the Spark plans.
 
 from __future__ import annotations
 
+from flightops import schemas
 from flightops.params import FIXTURE as P
 from flightops.plans.reports import STATUS_COUNT_COLUMNS
 
@@ -366,7 +367,13 @@ FROM events GROUP BY 1
 HAVING {_BUCKET} + INTERVAL 12 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL '{P['events_watermark']}'""",
     "stream_dedup_flights": """
 SELECT DISTINCT flight_id, scheduled_dep, origin_icao, dest_icao, flight_number
-FROM flights WHERE scheduled_dep IS NOT NULL""",
+FROM flights
+WHERE flight_id IS NOT NULL AND scheduled_dep IS NOT NULL
+  AND origin_icao IS NOT NULL AND dest_icao IS NOT NULL
+UNION ALL
+SELECT flight_id, scheduled_dep, origin_icao, dest_icao, flight_number
+FROM (SELECT DISTINCT """ + ", ".join(schemas.FLIGHT_COLUMNS) + """ FROM flights
+      WHERE flight_id IS NULL OR scheduled_dep IS NULL OR origin_icao IS NULL OR dest_icao IS NULL)""",
 })
 
 

@@ -159,9 +159,11 @@ def poll_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST-1 (batch): polled windows of the last days without any departure."""
+    """ST-1 (batch): requests of the last days without a landed answer."""
     star = warehouse(spark, sf_dir)
-    return windows.missing_windows(star.flights, star.airports, P["window_days_back"])
+    last_day = star.flights.agg(F.max(F.to_date("scheduled_dep"))).scalar()
+    env = landing.read_envelopes(spark, landed_path(spark, sf_dir))
+    return windows.missing_windows(env, star.airports, last_day, P["window_days_back"])
 
 
 def events_12h_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,9 +203,12 @@ def dedup_run(spark: SparkSession, sf_dir: str) -> dedup.DedupPaths:
 
 def stream_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-2: every flight lands twice (origin departure, destination arrival); the
-    streaming ingest keeps one row per flight key. Key columns returned."""
-    return spark.read.parquet(dedup_run(spark, sf_dir).sink).select(*dedup.DEDUP_KEYS,
-                                                                     "flight_number")
+    streaming ingest keeps one row per flight key, and the rows without a complete key in
+    its side table. Key columns of all of them returned."""
+    paths = dedup_run(spark, sf_dir)
+    columns = [*dedup.DEDUP_KEYS, "flight_number"]
+    aside = dedup.distinct_incomplete(spark.read.parquet(paths.untimed))
+    return spark.read.parquet(paths.sink).select(*columns).unionByName(aside.select(*columns))
 
 
 def reconcile_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables of this application.
 
     Uses the checkpoint directory of the running context (set from ``spark.checkpoint.dir``
-    or by ``setCheckpointDir``); if none is configured, makes a local one.
+    or by ``setCheckpointDir``); if none is configured, a local master gets a temporary one,
+    and any other master an error: executors couldn't read the driver's own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +64,8 @@ def scratch_root(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="flightops-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir().rstrip("/")

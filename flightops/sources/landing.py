@@ -59,7 +59,15 @@ def airports_from_docs(docs: DataFrame) -> DataFrame:
     """S-1: airport documents -> the ``airports`` dimension (9 columns).
 
     name = shortName unless empty, else fullName. A missing country/continent/location
-    gives NULL (the reference aborts)."""
+    gives NULL (the reference aborts). Malformed lines and documents without a code give no
+    airport (the reference skips failed fetches); of documents that repeat a code one stays
+    (the greatest, so that reruns agree), else every join to airports would fan out."""
+    if CORRUPT in docs.columns:
+        docs = docs.where(F.col(CORRUPT).isNull())
+    docs = docs.where(F.coalesce("iata", "icao").isNotNull())
+    whole = F.struct(*[F.col(c) for c in schemas.AIRPORT_DOC.fieldNames()])
+    docs = (docs.groupBy(F.coalesce("iata", "icao").alias("_code")).agg(F.max(whole).alias("_doc"))
+            .select("_doc.*"))
     return docs.select(
         F.col("icao").alias("icao_code"),
         F.col("iata").alias("iata_code"),
@@ -97,6 +105,15 @@ def read_flight_list(spark: SparkSession, path: str) -> DataFrame:
     return _reader(spark, schema, True).json(path)
 
 
+def flights_from_list(docs: DataFrame) -> DataFrame:
+    """S-4: a saved list -> the flights fact; the place in the list is the first-seen order."""
+    ordered = docs.where(F.col(CORRUPT).isNull()).select(
+        F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"))
+        .alias(schemas.SEEN_ORDER),
+        F.struct(*[F.col(c) for c in schemas.FLIGHT_DOC.fieldNames()]).alias("f"))
+    return flights_from_docs(ordered, "f", F.col(schemas.SEEN_ORDER))
+
+
 def _endpoint(doc: Column, side: str) -> tuple[Column, Column, Column, Column]:
     e = doc[side]
     return e["airport"]["iata"], e["airport"]["icao"], e["scheduledTime"]["utc"], e["revisedTime"]["utc"]
@@ -143,20 +160,21 @@ def flights_from_docs(docs: DataFrame, doc: str = "f",
 
 
 def explode_envelopes(envelopes: DataFrame, polled: list[str] | None = None) -> DataFrame:
-    """One row per flight document with its first-seen order
-    (poll position of the airport, window, departures before arrivals, array position).
+    """One row per flight document with its first-seen order (poll position of the airport,
+    window of the poll, start of the window, departures before arrivals, array position): a
+    total order over polls too, whose window numbers begin anew.
     Null or missing arrays give no rows."""
     polled = polled or POLLED_AIRPORTS
     legs = F.array(
         F.struct(F.lit(DIRECTION_DEPARTURE).alias("dir"), F.col("departures").alias("items")),
         F.struct(F.lit(DIRECTION_ARRIVAL).alias("dir"), F.col("arrivals").alias("items")))
-    per_leg = envelopes.select("airport", "window_idx", F.inline(legs))
-    docs = per_leg.select("airport", "window_idx", "dir", F.posexplode("items").alias("pos", "f"))
+    per_leg = envelopes.select("airport", "window_idx", "window_from", F.inline(legs))
+    docs = per_leg.select("airport", "window_idx", "window_from", "dir", F.posexplode("items").alias("pos", "f"))
     position = F.array_position(F.array(*[F.lit(a) for a in polled]), F.col("airport"))
     # airports outside the poll list come after all polled ones
     airport_pos = F.when(position > 0, position).otherwise(F.lit(len(polled) + 1))
     order = F.struct(airport_pos.alias("airport_pos"), F.col("airport"),
-                     F.col("window_idx"), F.col("dir"), F.col("pos"))
+                     F.col("window_idx"), F.col("window_from"), F.col("dir"), F.col("pos"))
     return docs.withColumn(schemas.SEEN_ORDER, order)
 
 

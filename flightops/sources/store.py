@@ -12,13 +12,14 @@ import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flightops import schemas
 from flightops.operators import joins
 from flightops.operators.dims import aircraft_dimension
 from flightops.session import new_scratch_path
 from flightops.sources import fixture
-from flightops.sources.sinks import publish_table
+from flightops.sources.sinks import merge_table, publish_table
 
 
 @dataclass
@@ -43,9 +44,15 @@ class Star:
 
 def publish_star(spark: SparkSession, airports: DataFrame, flights: DataFrame, path: str,
                  aircraft: DataFrame | None = None,
-                 flights_partition_by: str | None = schemas.FLIGHT_DATE) -> Star:
+                 flights_partition_by: str | None = schemas.FLIGHT_DATE,
+                 mode: str = "replace") -> Star:
     """Write the three tables below ``path`` and return them opened from Parquet.
 
+    ``mode="replace"`` replaces all tables. ``mode="merge"`` adds a landing: of the flights
+    on disk, exactly those of the re-landed requests (polled airport and window start) are
+    replaced, whatever day they depart on; the airports given replace those on disk, and the
+    aircraft dimension is derived from all flights. A merge needs ``flights_partition_by``.
+
     ``flights_partition_by``: ``flight_date`` (default) gives one folder per day, the
     right grain when a day holds many row groups and jobs re-land or prune by day.
     ``None`` writes the rows in the partitions they arrive in (one file per task), the
@@ -55,10 +62,19 @@ def publish_star(spark: SparkSession, airports: DataFrame, flights: DataFrame, p
     derivation of flights is not run twice.
     """
     publish_table(airports, f"{path}/airports")
-    if flights_partition_by:
-        publish_table(flights, f"{path}/flights", partition_by=flights_partition_by)
+    if mode == "merge":
+        order = F.col(schemas.SEEN_ORDER)
+        landed = flights.withColumns({c: order[c] for c in ("airport", "window_from")})
+        merge_table(landed, f"{path}/flights", flights_partition_by, ["airport", "window_from"])
+    elif mode == "replace":
+        landed = flights
+        if flights_partition_by and "struct" in dict(flights.dtypes).get(schemas.SEEN_ORDER, "") \
+                and "window_from" in dict(flights.dtypes)[schemas.SEEN_ORDER]:
+            order = F.col(schemas.SEEN_ORDER)
+            landed = flights.withColumns({c: order[c] for c in ("airport", "window_from")})
+        publish_table(landed, f"{path}/flights", partition_by=flights_partition_by)
     else:
-        publish_table(flights, f"{path}/flights")
+        raise ValueError(f"mode must be 'replace' or 'merge', not {mode!r}")
     written_flights = spark.read.parquet(f"{path}/flights")
     if aircraft is None:
         aircraft = aircraft_dimension(written_flights)
@@ -76,14 +92,16 @@ def open_star(spark: SparkSession, path: str) -> Star:
 
 
 def publish_from_landing(spark: SparkSession, airport_docs_path: str, envelopes_path: str,
-                         path: str, flights_partition_by: str | None = schemas.FLIGHT_DATE) -> Star:
+                         path: str, flights_partition_by: str | None = schemas.FLIGHT_DATE,
+                         mode: str = "replace") -> Star:
     """The production path: landed airport documents and flight envelopes -> published
     star (airports, flights partitioned by day, aircraft by first sight in poll order)."""
     from flightops.sources import landing
 
     airports = landing.airports_from_docs(landing.read_airport_docs(spark, airport_docs_path))
     flights = landing.flights_from_envelopes(landing.read_envelopes(spark, envelopes_path))
-    return publish_star(spark, airports, flights, path, flights_partition_by=flights_partition_by)
+    return publish_star(spark, airports, flights, path, flights_partition_by=flights_partition_by,
+                        mode=mode)
 
 
 def fixture_star(spark: SparkSession, sf_dir: str) -> Star:

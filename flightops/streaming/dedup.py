@@ -6,25 +6,26 @@ another, and again at the shared 12:00 window edge. Here the landing folder is a
 Structured Streaming file source; each run picks up new files only (the checkpoint
 remembers the rest), flattens them (S-2) and drops repeats of the same flight within the
 watermark. State is bounded by the watermark: a key is forgotten once event time has
-moved past it by ``delay``. Rows without a scheduled departure cannot be placed in event
-time; they go to a side folder untouched.
+moved past it by ``delay``. Rows without a complete key (no scheduled departure, number or
+end) cannot be told to be repeats by it; they go to a side folder untouched, and readers
+drop only those that agree in every field (``distinct_incomplete``).
 
 Two stages, each an exactly-once file-to-file stream with its own checkpoint:
 bronze parses the landed JSON once into Parquet (all rows, the raw history); silver reads
-bronze as a columnar stream and writes the de-duplicated rows and the untimed rows. A
+bronze as a columnar stream and writes the de-duplicated rows and the incomplete ones. A
 de-duplication with other keys can be re-run from bronze without parsing JSON again.
 
 Rows that arrive behind the watermark (a re-poll of last week, say) are not de-duplicated
 by the stream: Structured Streaming drops them from the silver output. They are still in
 bronze, which keeps every row, and ``reconcile_dedup`` rebuilds the exact de-duplicated
-table from bronze in batch (first-seen row per key), so nothing is lost.
+table from bronze in batch (first-seen row per key, and the incomplete rows).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops.sources.landing import LANDED_ENVELOPE, flights_from_envelopes
@@ -36,7 +37,7 @@ DEDUP_KEYS = ["flight_id", "scheduled_dep", "origin_icao", "dest_icao"]
 @dataclass
 class DedupPaths:
     sink: str           # de-duplicated flights (Parquet)
-    untimed: str        # rows without scheduled_dep (Parquet)
+    untimed: str        # rows without a complete key (Parquet)
     checkpoint: str     # one sub-folder per streaming query, and the bronze table
 
     @property
@@ -44,6 +45,21 @@ class DedupPaths:
         return f"{self.checkpoint}/bronze-table"
 
 
+def complete_key() -> Column:
+    on = F.lit(True)
+    for c in DEDUP_KEYS:
+        on = on & F.col(c).isNotNull()
+    return on
+
+
+def distinct_incomplete(flights: DataFrame) -> DataFrame:
+    """The rows without a complete key, one of those that agree in every field: two aircraft
+    that leave at one minute without a number stay two flights."""
+    fields = [c for c in flights.columns if c != "seen_order"]
+    return (flights.where(~complete_key()).groupBy(*fields)
+            .agg(F.min("seen_order").alias("seen_order")).select(*flights.columns))
+
+
 def dedupe_flights(flights: DataFrame, delay: str = "3 days", salt_buckets: int = 1) -> DataFrame:
     """Streaming (or batch) de-duplication on DEDUP_KEYS within the watermark ``delay``.
     The poll goes back three days, so a repeat can arrive up to three days later.
@@ -54,7 +70,7 @@ def dedupe_flights(flights: DataFrame, delay: str = "3 days", salt_buckets: int
     keys alone keeps one. A key repeated on a third of all rows then costs no single task
     more than 1/``salt_buckets`` of its copies, for up to ``salt_buckets`` times the state.
     """
-    timed = (flights.where(F.col("scheduled_dep").isNotNull())
+    timed = (flights.where(complete_key())
              .withColumn("event_time", F.col("scheduled_dep").cast("timestamp"))
              .withWatermark("event_time", delay))
     if salt_buckets > 1:
@@ -66,16 +82,18 @@ def dedupe_flights(flights: DataFrame, delay: str = "3 days", salt_buckets: int
 
 
 def dedupe_first_seen(flights: DataFrame) -> DataFrame:
-    """Exact batch de-duplication: per DEDUP_KEYS the row seen first (``seen_order``).
+    """Exact batch de-duplication: per complete DEDUP_KEYS the row seen first
+    (``seen_order``), and the rows without a complete key (``distinct_incomplete``).
 
     ``min_by`` aggregates map-side first, so a key repeated on a third of all rows still
     leaves one candidate per map task."""
     cols = [c for c in flights.columns if c not in DEDUP_KEYS]
     first = F.min_by(F.struct(*cols), F.col("seen_order"))
-    return (flights.where(F.col("scheduled_dep").isNotNull())
+    return (flights.where(complete_key())
             .groupBy(*DEDUP_KEYS).agg(first.alias("_first"))
             .select(*DEDUP_KEYS, "_first.*")
-            .select(*flights.columns))
+            .select(*flights.columns)
+            .unionByName(distinct_incomplete(flights)))
 
 
 def reconcile_dedup(spark: SparkSession, paths: DedupPaths) -> DataFrame:
@@ -105,7 +123,7 @@ def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
                .option("path", paths.sink)
                .option("checkpointLocation", f"{paths.checkpoint}/dedup")
                .trigger(availableNow=True).start())
-    untimed = (flights.where(F.col("scheduled_dep").isNull()).writeStream.format("parquet")
+    untimed = (flights.where(~complete_key()).writeStream.format("parquet")
                .option("path", paths.untimed)
                .option("checkpointLocation", f"{paths.checkpoint}/untimed")
                .trigger(availableNow=True).start())

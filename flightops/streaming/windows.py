@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flightops.sources.landing import CORRUPT
+
 # The two windows of a day, in poll order.
 WINDOW_LABELS = ("Morning", "Evening")
 WINDOW = "12 hours"
@@ -62,21 +64,21 @@ def poll_requests(airports: DataFrame, last_day: Column, days_back: int = 3) ->
         F.concat(day_text, part(1)).alias("window_to"))
 
 
-def missing_windows(flights: DataFrame, airports: DataFrame, days_back: int = 3,
-                    last_day: Column | None = None) -> DataFrame:
-    """Expected windows without a single recorded departure from that airport.
-
-    ``last_day`` defaults to the latest scheduled departure day in ``flights`` (a scalar
-    subquery). The landed side is reduced to distinct (airport, day, window) first."""
-    if last_day is None:
-        last_day = flights.agg(F.max(F.to_date("scheduled_dep"))).scalar()
-    dep = F.col("scheduled_dep")
-    landed = (flights.where(dep.isNotNull())
-              .select(F.col("origin_iata").alias("airport_iata"), F.to_date(dep).alias("window_date"),
-                      window_label(dep).alias("window_label"))
+def missing_windows(envelopes: DataFrame, airports: DataFrame, last_day: Column,
+                    days_back: int = 3) -> DataFrame:
+    """Requests of the poll (``days_back`` days ending with ``last_day``) without a landed
+    answer. An answer without flights, or with arrivals only, is an answer; a malformed line
+    is none. Only answers to windows of those days are read; they are reduced to distinct
+    (airport, window) before the anti join."""
+    grid = expected_windows(airports, last_day, days_back)
+    start = F.when(F.col("window_label") == WINDOW_LABELS[0], WINDOW_FROM_TO[WINDOW_LABELS[0]][0]) \
+        .otherwise(WINDOW_FROM_TO[WINDOW_LABELS[1]][0])
+    grid = grid.withColumn("_from", F.concat(F.date_format("window_date", "yyyy-MM-dd"), start))
+    since = F.date_format(F.date_sub(last_day, days_back - 1), "yyyy-MM-dd")
+    landed = (envelopes.where((F.col("window_from") >= since) & F.col(CORRUPT).isNull())
+              .select(F.col("airport").alias("airport_iata"), F.col("window_from").alias("_from"))
               .distinct())
-    expected = expected_windows(airports, last_day, days_back)
-    return (expected.join(landed, ["airport_iata", "window_date", "window_label"], "left_anti")
+    return (grid.join(landed, ["airport_iata", "_from"], "left_anti").drop("_from")
             .orderBy("airport_iata", "window_start"))
 
 

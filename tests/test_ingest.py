@@ -4,11 +4,12 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from flightops.session import local_path, new_scratch_path
 from flightops.sources import landing
-from flightops.sources.sinks import export_csv, publish_table
+from flightops.sources.sinks import export_csv, merge_table, publish_table
 from helpers import T0, flights
 
 
@@ -104,7 +105,7 @@ def test_csv_round_trip_keeps_na_text(spark):
     assert back["DEL"].city == "NA" and back["MAA"].country is None and len(back) == 5
 
 
-def test_publish_replaces_only_written_days(spark):
+def test_publish_replaces_the_whole_table(spark):
     day1, day2 = T0, T0 + dt.timedelta(days=1)
     f = flights(spark, [dict(flight_id="A 1", scheduled_dep=day1), dict(flight_id="A 2", scheduled_dep=day2)])
     f = f.withColumn("flight_date", F.to_date("scheduled_dep"))
@@ -114,7 +115,49 @@ def test_publish_replaces_only_written_days(spark):
         "flight_date", F.to_date("scheduled_dep"))
     publish_table(again, path, partition_by="flight_date")
     got = sorted(r.flight_id for r in spark.read.parquet(path).collect())
-    assert got == ["A 1", "A 3"]
+    assert got == ["A 3"]
+
+
+def test_merge_replaces_only_what_the_landing_owns(spark):
+    """Two polls with overnight and untimed flights: rows of windows that weren't landed
+    again stay, though they share a day's folder with new ones."""
+    day1, day2 = T0, T0 + dt.timedelta(days=1)
+
+    def landing_of(*rows):
+        made = [flights(spark, [dict(flight_id=i, scheduled_dep=d)]).withColumn("window", F.lit(w))
+                for i, d, w in rows]
+        out = made[0]
+        for m in made[1:]:
+            out = out.unionByName(m)
+        return out.withColumn("flight_date", F.to_date("scheduled_dep"))
+
+    path = new_scratch_path(spark, "merge-test")
+    first = landing_of(("A 1", day1, "w1"), ("A 2", day1, "w2"), ("A 3", None, "w1"))
+    merge_table(first, path, "flight_date", ["window"])
+    merge_table(landing_of(("B 1", day1, "w3"), ("B 2", day2, "w3"), ("B 3", None, "w3")),
+                path, "flight_date", ["window"])
+    got = sorted(r.flight_id for r in spark.read.parquet(path).collect())
+    assert got == ["A 1", "A 2", "A 3", "B 1", "B 2", "B 3"]
+    # w3 again, without its flight of day 2: that folder goes
+    merge_table(landing_of(("C 1", day1, "w3")), path, "flight_date", ["window"])
+    got = sorted(r.flight_id for r in spark.read.parquet(path).collect())
+    assert got == ["A 1", "A 2", "A 3", "C 1"]
+
+
+def test_month_rollup_keeps_its_other_days(spark):
+    from flightops.operators import rollups
+    path = new_scratch_path(spark, "rollup-test")
+    for d in range(3):
+        f = flights(spark, [dict(flight_id="A 1", scheduled_dep=T0 + dt.timedelta(days=d))])
+        rollups.publish_airport_delays(rollups.airport_delays_daily(f), path, grain="month")
+    assert rollups.read_airport_delays(spark, path).count() == 3
+
+
+def test_aircraft_needs_an_order(spark):
+    from flightops.operators.dims import aircraft_dimension
+    f = flights(spark, [dict(flight_id="A 1")]).withColumn("seen_order", F.lit(None))
+    with pytest.raises(ValueError):
+        aircraft_dimension(f)
 
 
 def test_publish_star_partitioned_by_day(spark):

@@ -99,7 +99,7 @@ def test_shuffle_join_reuses_the_aggregation_partitioning(spark, star):
 
 
 def test_no_python_in_any_registered_plan(spark, small_sf):
-    import __spark_entry__ as entry
+    from flightops import registry as entry
     python_nodes = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
                     "PythonUDF", "MapInArrow")
     for name, fn in entry.queries().items():

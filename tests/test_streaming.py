@@ -90,6 +90,23 @@ def test_hot_key_is_salted_across_state_tasks(spark):
     assert got == ["AI 101", "AI 7"]
 
 
+def test_missing_windows_are_requests_without_an_answer(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from flightops.sources import landing
+    from flightops.streaming import windows
+    from helpers import airports
+    landing_dir = new_scratch_path(spark, "missing-landing")
+    # only BOM's morning was asked, and its answer holds one arrival from DEL
+    _land(landing_dir, "a.json", [{"airport": "BOM", "window_idx": 0, "window_from": "2025-11-20T00:00",
+                                   "window_to": "2025-11-20T12:00", "arrivals": [FLIGHT]}])
+    polled = airports(spark).where("iata_code IN ('DEL', 'BOM')")
+    got = windows.missing_windows(landing.read_envelopes(spark, landing_dir), polled,
+                                  F.lit(dt.date(2025, 11, 20)), days_back=1)
+    assert sorted((r.airport_iata, r.window_label) for r in got.collect()) == [
+        ("BOM", "Evening"), ("DEL", "Evening"), ("DEL", "Morning")]
+
+
 def test_poll_requests_texts(spark):
     import datetime as dt
     from pyspark.sql import functions as F
