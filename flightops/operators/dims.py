@@ -22,7 +22,9 @@ def aircraft_dimension(flights: DataFrame, seen_order: str = schemas.SEEN_ORDER)
     if dict(flights.dtypes).get(seen_order) in (None, "void"):
         raise ValueError(f"flights need the order they were seen in ({seen_order})")
     reg = F.col("aircraft_reg")
-    first = F.min_by(F.struct("aircraft_model", "airline_name"), F.col(seen_order))
+    values = F.struct("aircraft_model", "airline_name")
+    # two answers to one request hold the same places: the values then decide, not the files
+    first = F.min_by(values, F.struct(F.col(seen_order), values))
     picked = (
         flights.where(reg.isNotNull() & (reg != ""))
         .groupBy("aircraft_reg")

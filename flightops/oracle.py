@@ -10,6 +10,7 @@ from __future__ import annotations
 from flightops import schemas
 from flightops.params import FIXTURE as P
 from flightops.plans.reports import STATUS_COUNT_COLUMNS
+from flightops.sources.fixture import BAD_TIME, BROKEN, DAMAGE_EVERY, NO_ARRAYS, WRONG_TYPE
 
 
 def _addmin(minutes: str, ts: str) -> str:
@@ -357,10 +358,6 @@ SELECT {_BUCKET} AS window_start, {_BUCKET} + INTERVAL 12 HOUR AS window_end,
        CASE WHEN hour({_BUCKET}) < 12 THEN 'Morning' ELSE 'Evening' END AS window_label,
        COUNT(*) AS n_events, COUNT(DISTINCT user_id) AS n_users
 FROM events GROUP BY 1""",
-    "events_12h_windows_stream": f"""
-SELECT {_BUCKET} AS window_start, {_BUCKET} + INTERVAL 12 HOUR AS window_end, COUNT(*) AS n_events
-FROM events GROUP BY 1
-HAVING {_BUCKET} + INTERVAL 12 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL '{P['events_watermark']}'""",
     "stream_dedup_flights": """
 SELECT DISTINCT flight_id, scheduled_dep, origin_icao, dest_icao, flight_number
 FROM flights
@@ -397,5 +394,46 @@ FROM (SELECT origin_iata AS airport, {_WINDOW_IDX} AS window_idx,
 GROUP BY airport"""
 
 
+QUERIES_SQL["events_12h_windows_stream"] = QUERIES_SQL["events_12h_windows"]
+QUERIES_SQL["incremental_publish"] = QUERIES_SQL["ingest_flights"]
+QUERIES_SQL["restore_flights"] = QUERIES_SQL["ingest_flights"]
+QUERIES_SQL["cancelled_flights_csv"] = f"""
+SELECT NULLIF(flight_number, '') AS flight_number, * EXCLUDE (flight_number)
+FROM ({QUERIES_SQL["cancelled_flights"]})"""
+QUERIES_SQL["explore_days"] = f"""
+SELECT flight_number, airline_name, iata_code AS origin, city AS origin_city, scheduled_dep, status
+FROM flights JOIN airports ON icao_code = origin_icao
+WHERE scheduled_dep >= DATE '{P['explore_since']}' AND scheduled_dep < DATE '{P['explore_until']}' + INTERVAL 1 DAY"""
+# first sight: airport, window, departures (odd lines) before arrivals, place in the answer
+QUERIES_SQL["landed_aircraft_dim"] = f""",
+placed AS (SELECT *, {_WINDOW_IDX} AS window_idx, l_linenumber % 2 = 0 AS arrival,
+                  row_number() OVER (PARTITION BY l_orderkey, origin_iata, {_WINDOW_IDX}, l_linenumber % 2
+                                     ORDER BY l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS pos
+           FROM flights),
+seen AS (SELECT aircraft_reg, aircraft_model, airline_name FROM placed
+         WHERE aircraft_reg <> ''
+         QUALIFY row_number() OVER (PARTITION BY aircraft_reg
+           ORDER BY origin_iata, window_idx, arrival, pos, aircraft_model NULLS FIRST, airline_name NULLS FIRST) = 1)
+SELECT seen.aircraft_reg, seen.aircraft_model, manufacturer, seen.airline_name
+FROM seen JOIN (SELECT DISTINCT aircraft_model, manufacturer FROM aircraft) USING (aircraft_model)"""
+_TIMES = "COALESCE(scheduled_dep, actual_dep, scheduled_arr, actual_arr)"
+_LOADS = f"l_orderkey % {DAMAGE_EVERY} NOT IN ({BROKEN}, {NO_ARRAYS})"
+QUERIES_SQL["landing_rejects"] = f""",
+landed AS (SELECT *, l_orderkey % {DAMAGE_EVERY} AS kind, {_LOADS} AS loads,
+                  CASE WHEN l_orderkey % {DAMAGE_EVERY} <> {BROKEN} THEN origin_iata END AS airport,
+                  l_orderkey::VARCHAR || ' ' || origin_iata || ' ' || {_WINDOW_IDX}::VARCHAR AS line
+           FROM flights)
+SELECT airport, COUNT(DISTINCT line) AS lines,
+       COUNT(DISTINCT line) FILTER (kind = {BROKEN}) AS broken_lines,
+       COUNT(DISTINCT line) FILTER (kind = {WRONG_TYPE}) AS wrong_typed,
+       COUNT(DISTINCT line) FILTER (kind <> {BROKEN} AND (kind = {WRONG_TYPE} OR scheduled_dep IS NULL)) AS no_window,
+       COUNT(DISTINCT line) FILTER (kind = {NO_ARRAYS}) AS without_flights,
+       COUNT(*) FILTER (loads) AS flights,
+       COUNT(*) FILTER (kind = {BAD_TIME} AND {_TIMES} IS NOT NULL) AS bad_times,
+       COUNT(*) FILTER (loads AND flight_id IS NULL) AS no_number,
+       0::BIGINT AS no_aircraft, 0::BIGINT AS no_airline
+FROM landed GROUP BY airport"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: FIXTURE_CTE + sql for name, sql in QUERIES_SQL.items()}

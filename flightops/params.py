@@ -36,5 +36,7 @@ FIXTURE = dict(
     explore_status="Arrived",
     airport_detail_iata="A05",
     delays_min_flights=2000,
+    explore_since="1995-03-10",
+    explore_until="1995-06-20",
     dedup_salt_buckets=4,    # ours, not the reference's: exercises the hot-key split
 )

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightops import schemas
 from flightops.functions import expressions as X
 
 
@@ -81,6 +82,16 @@ EXPLORE_COLUMNS = ["flight_number", "airline_name", "origin", "origin_city",
                    "scheduled_dep", "status"]
 
 
+def flights_between(flights: DataFrame, since: str, until: str) -> DataFrame:
+    """Flights whose UTC day of departure lies in [since, until]. On a fact partitioned by
+    day or by month the bounds are partition filters, so other folders are not read."""
+    day = F.col(schemas.FLIGHT_DATE)
+    kept = flights.where(day.between(F.lit(since).cast("date"), F.lit(until).cast("date")))
+    if schemas.FLIGHT_MONTH in flights.columns:
+        kept = kept.where(F.col(schemas.FLIGHT_MONTH).between(since[:7], until[:7]))
+    return kept
+
+
 def explore_base(flights: DataFrame, airports: DataFrame, airline: str | None = None,
                  origin: str | None = None) -> DataFrame:
     """X-4: flights joined to their origin airport, optionally one airline and/or one

@@ -232,12 +232,11 @@ def city_pair_models(flights: DataFrame, airports: DataFrame, aircraft: DataFram
     """
     triples = flights.select("origin_icao", "dest_icao", "aircraft_reg").distinct()
     models = aircraft.select("aircraft_reg", "aircraft_model")
-    # NULL registrations never match; keep them out of the join so a sort-merge join (an
-    # aircraft dimension beyond the broadcast bound) does not pile them into one task
-    known = triples.where(F.col("aircraft_reg").isNotNull())
-    unknown = (triples.where(F.col("aircraft_reg").isNull())
-               .withColumn("aircraft_model", F.lit(None).cast("string")))
-    triples = known.join(models, "aircraft_reg", "left").unionByName(unknown)
+    # A triple without a known registration holds no model, so it can't lift a pair above
+    # min_models: an inner join, which keeps NULL registrations out of the shuffle too
+    if min_models < 0:
+        raise ValueError("min_models must be 0 or more")
+    triples = triples.join(models, "aircraft_reg")
     o = airports.select(F.col("icao_code").alias("o_icao"), F.col("city").alias("origin_city"),
                         F.col("iata_code").alias("origin_code"))
     d = airports.select(F.col("icao_code").alias("d_icao"), F.col("city").alias("dest_city"),

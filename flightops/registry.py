@@ -21,7 +21,7 @@ from flightops.plans import reports as Q
 from flightops.session import new_scratch_path
 from flightops.sources import fixture, landing
 from flightops.sources.sinks import export_csv
-from flightops.sources.store import Star, publish_from_landing, warehouse
+from flightops.sources.store import Star, publish_from_landing, publish_star, warehouse
 from flightops.streaming import dedup, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,8 +71,6 @@ STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "delays_by_airport": lambda s: H.delays_by_airport(s.flights, s.airports_dim,
                                                        P["delays_min_flights"]),
     "airport_delays_daily": lambda s: rollups.airport_delays_daily(s.flights),
-    "constraint_audit": lambda s: audit.constraint_audit(
-        s.flights, s.airports, s.aircraft, rollups.airport_delays_daily(s.flights)),
     "table_profile": lambda s: audit.table_profile(s.flights, "flights", schemas.FLIGHT_COLUMNS),
 }
 
@@ -80,25 +78,35 @@ STAR_QUERIES: dict[str, Callable[[Star], DataFrame]] = {
 # ------------------------------------------------------------------ landed-file queries
 
 LANDING_RECORDS_PER_FILE = 16_384
-_LANDED: dict[tuple, str] = {}
-_LANDED_LOCK = threading.Lock()
+_ONCE: dict[tuple, object] = {}
+_ONCE_LOCK = threading.RLock()
+
+
+def _once(spark: SparkSession, sf_dir: str, tag: str, make: Callable[[str], object]):
+    """What ``make(fresh path)`` returns (None: the path), made once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tag)
+    with _ONCE_LOCK:
+        if key not in _ONCE:
+            path = new_scratch_path(spark, tag)
+            made = make(path)
+            _ONCE[key] = path if made is None else made
+        return _ONCE[key]
 
 
 def landed_path(spark: SparkSession, sf_dir: str, both_ends: bool = False) -> str:
     """Landing folder of envelopes built from the published fixture flights; written once
     per application and mode."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), both_ends)
-    with _LANDED_LOCK:
-        path = _LANDED.get(key)
-        if path is None:
-            path = new_scratch_path(spark, "landing-both" if both_ends else "landing")
-            # many modest files, as a poller lands them: JSON parsing is CPU-bound, so
-            # the read spreads evenly over the cores instead of a few large files
-            (fixture.landed_envelopes(warehouse(spark, sf_dir).flights, both_ends)
-             .write.mode("overwrite").option("maxRecordsPerFile", LANDING_RECORDS_PER_FILE)
-             .json(path))
-            _LANDED[key] = path
-        return path
+    def make(path: str) -> None:
+        # many modest files, as a poller lands them: JSON parsing is CPU-bound, so
+        # the read spreads evenly over the cores instead of a few large files
+        (fixture.landed_envelopes(warehouse(spark, sf_dir).flights, both_ends)
+         .write.option("maxRecordsPerFile", LANDING_RECORDS_PER_FILE).json(path))
+    return _once(spark, sf_dir, "landing-both" if both_ends else "landing", make)
+
+
+def _airport_docs_path(spark: SparkSession, sf_dir: str) -> str:
+    return _once(spark, sf_dir, "airport-docs",
+                 lambda path: fixture.airport_docs(warehouse(spark, sf_dir).airports).write.json(path))
 
 
 def ingest_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,40 +125,111 @@ def landing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.landing_totals(landing.read_envelopes(spark, landed_path(spark, sf_dir)))
 
 
+def landing_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-3 by reason, over a landing with broken lines, wrong types, bad times and answers
+    without flights (all fixture flights, damaged by rule)."""
+    path = _once(spark, sf_dir, "landing-damaged", lambda p: fixture.damaged_landing(
+        warehouse(spark, sf_dir).flights).write.text(p))
+    return landing.landing_rejects(landing.read_envelopes(spark, path))
+
+
+def restore_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-4: flights saved as whole-file JSON lists, read back."""
+    path = _once(spark, sf_dir, "saved-lists", lambda p: fixture.saved_lists(
+        warehouse(spark, sf_dir).flights).write.option("maxRecordsPerFile", 1).text(p))
+    return landing.flights_from_list(landing.read_flight_list(spark, path)).select(*schemas.FLIGHT_COLUMNS)
+
+
 def ingest_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-1: airport documents -> airports; equals the fixture airports."""
-    path = new_scratch_path(spark, "airport-docs")
-    fixture.airport_docs(warehouse(spark, sf_dir).airports).write.mode("overwrite").json(path)
-    return landing.airports_from_docs(landing.read_airport_docs(spark, path))
+    return landing.airports_from_docs(landing.read_airport_docs(spark, _airport_docs_path(spark, sf_dir)))
 
 
 def ingest_airports_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-10 then S-5: airports exported as CSV and read back."""
-    path = new_scratch_path(spark, "airports-csv")
-    export_csv(warehouse(spark, sf_dir).airports, path)
+    path = _once(spark, sf_dir, "airports-csv", lambda p: export_csv(warehouse(spark, sf_dir).airports, p))
     return landing.read_airports_csv(spark, path)
 
 
+def cancelled_flights_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-10 on a report with times and NULLs: Q-9 exported as CSV and read back (an empty
+    text comes back as NULL)."""
+    star = warehouse(spark, sf_dir)
+    report = Q.cancelled_flights(star.flights, star.airports_dim, P["cancelled_status"], ordered=False)
+    path = _once(spark, sf_dir, "cancelled-csv", lambda p: export_csv(report, p))
+    return (spark.read.schema(report.schema).option("header", True).option("nullValue", "")
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+
+
 def landed_star_delayed_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: landed airport documents and envelopes -> published star (production
     path, S-1 + S-2 + S-6) -> Q-11 on it. Equals Q-11 on the fixture star."""
-    docs = new_scratch_path(spark, "airport-docs")
-    fixture.airport_docs(warehouse(spark, sf_dir).airports).write.mode("overwrite").json(docs)
-    star = publish_from_landing(spark, docs, landed_path(spark, sf_dir),
-                                new_scratch_path(spark, "landed-star"), flights_partition_by=None)
+    star = _once(spark, sf_dir, "landed-star", lambda p: publish_from_landing(
+        spark, _airport_docs_path(spark, sf_dir), landed_path(spark, sf_dir), p,
+        flights_partition_by=None))
     return Q.delayed_pct_by_destination(star.flights, star.airports_dim)
 
 
-def airport_delays_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-6 on A-9: the daily rollup published with dynamic partition overwrite and read
-    back from Parquet. The fixture spans seven years with about a dozen rollup rows per
-    day, so it is partitioned by month (daily folders would hold a dozen rows each)."""
-    path = new_scratch_path(spark, "airport-delays")
-    rollups.publish_airport_delays(rollups.airport_delays_daily(warehouse(spark, sf_dir).flights),
-                                   path, grain="month")
+def merged_star(spark: SparkSession, sf_dir: str) -> Star:
+    """Two landings that overlap, published one after the other into a star partitioned by
+    month: the first holds two thirds of the requests, half of them with stale, shorter
+    answers; the second answers those again, and the last third. Month folders because the
+    fixture spans seven years with a few hundred flights a day at most."""
+    def make(path: str) -> Star:
+        env = landing.read_envelopes(spark, landed_path(spark, sf_dir))
+        third = F.pmod(F.xxhash64("airport", "window_from"), F.lit(3))
+        stale = env.where(third == 1).withColumns({
+            "departures": F.slice("departures", 1, 1), "arrivals": F.lit(None).cast(env.schema["arrivals"].dataType)})
+        landings = [env.where(third == 0).unionByName(stale), env.where(third > 0)]
+        for k, landed in enumerate(landings):
+            flights = landing.flights_from_envelopes(landed)
+            star = publish_star(
+                spark, warehouse(spark, sf_dir).airports,
+                flights.withColumn(schemas.FLIGHT_MONTH, F.date_format(schemas.FLIGHT_DATE, "yyyy-MM")),
+                path, flights_partition_by=schemas.FLIGHT_MONTH, mode="merge" if k else "replace",
+                answered=landing.answered_requests(landed))
+        return star
+    return _once(spark, sf_dir, "merged-star", make)
+
+
+def incremental_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-6 merge: all flights after two overlapping landings; equals the fixture flights."""
+    return merged_star(spark, sf_dir).flights.select(*schemas.FLIGHT_COLUMNS)
+
+
+def landed_aircraft_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-8 on the production path: the aircraft dimension of the merged landings, by first
+    sight in poll order."""
+    return merged_star(spark, sf_dir).aircraft.select(*schemas.AIRCRAFT_COLUMNS)
+
+
+def explore_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-4 over a range of days of the partitioned fact: only those months are read."""
+    star = merged_star(spark, sf_dir)
+    days = H.flights_between(star.flights, P["explore_since"], P["explore_until"])
+    return H.explore_base(days, star.airports_dim)
+
+
+def _published_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily rollup as published, once per application. The fixture spans seven years
+    with about a dozen rollup rows per day, so it is partitioned by month."""
+    path = _once(spark, sf_dir, "airport-delays", lambda p: rollups.publish_airport_delays(
+        rollups.airport_delays_daily(warehouse(spark, sf_dir).flights), p, grain="month"))
     return rollups.read_airport_delays(spark, path)
 
 
+def airport_delays_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-6 on A-9: the daily rollup published and read back from Parquet."""
+    return _published_delays(spark, sf_dir)
+
+
+def constraint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-7: the declared constraints, checked on the published star and rollup."""
+    star = warehouse(spark, sf_dir)
+    return audit.constraint_audit(star.flights, star.airports, star.aircraft,
+                                  _published_delays(spark, sf_dir))
+
+
 def poll_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-1: the requests of a poll over the last days of the data (airports x days x 2)."""
     star = warehouse(spark, sf_dir)
@@ -173,32 +252,24 @@ def events_12h_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_12h_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-1 as a Structured Streaming job (file source, watermark, append): the windows
-    closed by the watermark when the available input is exhausted."""
-    sink = new_scratch_path(spark, "events-windows")
-    schema = fixture.read_table(spark, sf_dir, "events").schema
-    windows.stream_event_window_counts(spark, sf_dir.rstrip("/"), "events.parquet", sink,
-                                       f"{sink}-checkpoint", P["events_watermark"], schema)
-    return spark.read.parquet(sink)
-
-
-_DEDUP_RUNS: dict[tuple, dedup.DedupPaths] = {}
+    closed by the watermark when the available input is exhausted, and those still open."""
+    def make(sink: str) -> None:
+        schema = fixture.read_table(spark, sf_dir, "events").schema
+        windows.stream_event_window_counts(spark, sf_dir.rstrip("/"), "events.parquet", sink,
+                                           f"{sink}-checkpoint", P["events_watermark"], schema)
+    closed = spark.read.parquet(_once(spark, sf_dir, "events-windows", make))
+    return windows.event_windows_so_far(closed, fixture.read_table(spark, sf_dir, "events"))
 
 
 def dedup_run(spark: SparkSession, sf_dir: str) -> dedup.DedupPaths:
     """Run the streaming de-duplicating ingest over the doubly-landed fixture once per
     application; both ST-2 queries read its outputs."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    with _LANDED_LOCK:
-        paths = _DEDUP_RUNS.get(key)
-    if paths is None:
-        landed = landed_path(spark, sf_dir, both_ends=True)
-        root = new_scratch_path(spark, "dedup")
+    def make(root: str) -> dedup.DedupPaths:
         paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/checkpoint")
-        dedup.run_dedup_ingest(spark, landed, paths, P["dedup_delay"],
-                               salt_buckets=P["dedup_salt_buckets"])
-        with _LANDED_LOCK:
-            _DEDUP_RUNS[key] = paths
-    return paths
+        dedup.run_dedup_ingest(spark, landed_path(spark, sf_dir, both_ends=True), paths,
+                               P["dedup_delay"], salt_buckets=P["dedup_salt_buckets"])
+        return paths
+    return _once(spark, sf_dir, "dedup", make)
 
 
 def stream_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,6 +293,13 @@ FILE_QUERIES: dict[str, Query] = {
     "ingest_flights": ingest_flights,
     "landing_report": landing_report,
     "landing_totals": landing_totals,
+    "landing_rejects": landing_rejects,
+    "restore_flights": restore_flights,
+    "cancelled_flights_csv": cancelled_flights_csv,
+    "incremental_publish": incremental_publish,
+    "landed_aircraft_dim": landed_aircraft_dim,
+    "explore_days": explore_days,
+    "constraint_audit": constraint_audit,
     "ingest_airports": ingest_airports,
     "ingest_airports_csv": ingest_airports_csv,
     "landed_star_delayed_pct": landed_star_delayed_pct,

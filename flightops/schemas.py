@@ -83,6 +83,7 @@ AIRPORT_COLUMNS = [f.name for f in AIRPORTS.fields]
 # dimension) and the publish partition column. Not part of the 19 reported columns.
 SEEN_ORDER = "seen_order"
 FLIGHT_DATE = "flight_date"
+FLIGHT_MONTH = "flight_month"   # yyyy-MM, where a fact is partitioned by month
 
 # airport_delays: the daily rollup the reference declares but never fills.
 AIRPORT_DELAYS = _struct(

@@ -11,6 +11,8 @@ for lineitem-orders-part-customer at scale, broadcast for tiny sides at runtime)
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,6 +266,41 @@ def landed_envelopes(flights: DataFrame, both_ends: bool = False) -> DataFrame:
         "departures", "arrivals")
 
 
+#: What damages a line, by l_orderkey % DAMAGE_EVERY; other lines stay whole.
+DAMAGE_EVERY = 7
+BROKEN, WRONG_TYPE, BAD_TIME, NO_ARRAYS = 1, 2, 3, 4
+
+
+def damaged_landing(flights: DataFrame) -> DataFrame:
+    """Landed lines (a text column) of all flights, some of them cut off, with a field of the
+    wrong type, with times in another form, or with neither array."""
+    line = F.col("value")
+    damage = {BROKEN: F.substring(line, F.lit(1), F.length(line) - 5),
+              WRONG_TYPE: F.regexp_replace(line, '"window_idx":(-?[0-9]+)', '"window_idx":"no $1"'),
+              BAD_TIME: F.regexp_replace(line, '([0-9]{2}):([0-9]{2})Z"', '$1h$2"'),
+              NO_ARRAYS: F.regexp_replace(line, '"(departures|arrivals)":', '"no_$1":')}
+    kind = F.col(f"{schemas.SEEN_ORDER}.l_orderkey") % DAMAGE_EVERY
+
+    def lines(of: DataFrame) -> DataFrame:
+        return landed_envelopes(of).select(F.to_json(F.struct("*")).alias("value"))
+    parts = [lines(flights.where(~kind.isin(list(damage))))]
+    parts += [lines(flights.where(kind == k)).select(change.alias("value")) for k, change in damage.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+LIST_ORDERS = 4096  # order numbers of one saved list: some 16,000 flights
+
+
+def saved_lists(flights: DataFrame) -> DataFrame:
+    """Flights as JSON lists (a text column), one for each range of order numbers, so that no
+    list grows with the data; written one row a file they are saved whole-file lists."""
+    seen = F.col(schemas.SEEN_ORDER)
+    docs = flights.select(F.floor(seen["l_orderkey"] / LIST_ORDERS).alias("part"),
+                          F.struct(seen.alias("seen"), flight_doc(flights).alias("doc")).alias("f"))
+    items = F.transform(F.array_sort(F.collect_list("f")), lambda x: x["doc"])
+    return docs.groupBy("part").agg(items.alias("items")).select(F.to_json("items").alias("value"))
+
+
 def airport_docs(airports_df: DataFrame) -> DataFrame:
     """Airport documents as the service returns them; even-numbered codes carry an empty
     shortName so the name must fall back to fullName."""

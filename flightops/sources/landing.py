@@ -186,17 +186,69 @@ def flights_from_envelopes(envelopes: DataFrame, polled: list[str] | None = None
 
 # ------------------------------------------------------------------------- S-3
 
+def answered() -> Column:
+    """Whether a landed line is an answer: its request can be read. A line with a field of
+    the wrong type is one (its other fields load); a broken line is not."""
+    return F.col(CORRUPT).isNull() | F.col("airport").isNotNull()
+
+
+def answered_requests(envelopes: DataFrame) -> DataFrame:
+    """The distinct requests (airport, window_from) that were answered."""
+    return envelopes.where(answered()).select("airport", "window_from").distinct()
+
+
 def landing_report(envelopes: DataFrame) -> DataFrame:
     """S-3: per (airport, window) the requests answered, departures, arrivals and
-    malformed lines; the reference's api_calls / errors / per-airport totals."""
-    ok = F.col(CORRUPT).isNull()
+    malformed lines; the reference's api_calls / errors / per-airport totals.
+    ``landing_rejects`` counts what did not load, by reason."""
     return (envelopes.groupBy("airport", "window_idx")
-            .agg(F.count_if(ok).alias("answers"),
-                 F.count_if(~ok).alias("malformed"),
+            .agg(F.count_if(answered()).alias("answers"),
+                 F.count_if(~answered()).alias("malformed"),
                  F.sum(F.coalesce(F.size("departures"), F.lit(0))).cast("long").alias("departures"),
                  F.sum(F.coalesce(F.size("arrivals"), F.lit(0))).cast("long").alias("arrivals")))
 
 
+def _bad_time(doc: Column) -> Column:
+    """Whether any time text of a flight document can't be parsed."""
+    bad = F.lit(False)
+    for side in ("departure", "arrival"):
+        for kind in ("scheduledTime", "revisedTime"):
+            text = doc[side][kind]["utc"]
+            bad = bad | (text.isNotNull() & X.parse_utc_time(text).isNull())
+    return bad
+
+
+def landing_rejects(envelopes: DataFrame) -> DataFrame:
+    """S-3 by reason, per airport (NULL: lines whose airport can't be read): lines, broken
+    lines, answers with a field of the wrong type, without a full window, or with neither
+    array, flights, and
+    flights with an unreadable time, without a number, without an aircraft or without an
+    airline block. A line counts in each reason it meets.
+
+    The counts are made inside each line (an array of a few hundred flights at most), so
+    nothing is exploded and one map-side combined aggregation by airport remains."""
+    flights = F.concat(*[F.coalesce(F.col(c), F.array()) for c in ("departures", "arrivals")])
+    e = envelopes.withColumn("_flights", flights)
+
+    def among(test) -> Column:
+        return F.sum(F.size(F.filter("_flights", test)).cast("long"))
+
+    return e.groupBy("airport").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(~answered()).alias("broken_lines"),
+        F.count_if(answered() & F.col(CORRUPT).isNotNull()).alias("wrong_typed"),
+        # a reader parses only columns in use: this count keeps the request's fields in use, so
+        # that a wrong type there shows in the count above
+        F.count_if(answered() & (F.col("window_idx").isNull() | F.col("window_from").isNull()
+                                 | F.col("window_to").isNull())).alias("no_window"),
+        F.count_if(answered() & F.col("departures").isNull() & F.col("arrivals").isNull()).alias("without_flights"),
+        F.sum(F.size("_flights").cast("long")).alias("flights"),
+        among(_bad_time).alias("bad_times"),
+        among(lambda f: f["number"].isNull()).alias("no_number"),
+        among(lambda f: f["aircraft"].isNull()).alias("no_aircraft"),
+        among(lambda f: f["airline"].isNull()).alias("no_airline"))
+
+
 def landing_totals(envelopes: DataFrame) -> DataFrame:
     """S-3 per airport: requests answered, malformed lines and flights received (departures
     plus arrivals), the reference's per-airport totals and call/error counters."""

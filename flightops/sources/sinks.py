@@ -41,10 +41,12 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]):
     return on
 
 
-def merge_table(df: DataFrame, path: str, partition_by: str | list[str], owner: list[str]) -> None:
+def merge_table(df: DataFrame, path: str, partition_by: str | list[str], owner: list[str],
+                owners: DataFrame | None = None) -> None:
     """Add ``df`` to the partitioned table at ``path``, replacing exactly the rows whose
-    ``owner`` columns (NULL equals NULL) occur in ``df``: a landing owns its windows, a
-    rollup its days. All other rows stay, also those that share a partition with new ones.
+    ``owner`` columns (NULL equals NULL) occur in ``df`` or in ``owners``: a landing owns its
+    windows, also those without a row now, a rollup its days. All other rows stay, also those
+    that share a partition with new ones.
 
     Only partitions that gain or lose rows are rewritten, through a staged copy in the
     shared folder (a table can't be overwritten while it is read). A partition that loses
@@ -60,7 +62,8 @@ def merge_table(df: DataFrame, path: str, partition_by: str | list[str], owner:
     df.write.parquet(staged_new)
     new = spark.read.schema(df.schema).parquet(staged_new)
     old = spark.read.parquet(path).withColumn("_folder", F.regexp_replace(F.input_file_name(), "/[^/]*$", ""))
-    owners = new.select(*owner).distinct()
+    owned = new.select(*owner)
+    owners = (owned if owners is None else owned.unionByName(owners.select(*owner))).distinct()
     lost = old.join(owners, _same(old, owners, owner), "left_semi")
     touched = new.select(*cols).unionByName(lost.select(*cols)).distinct()
     # one row a partition folder that the landing changes

@@ -29,29 +29,37 @@ class Star:
     aircraft: DataFrame
     rows: dict[str, int] = field(default_factory=dict)
     path: str | None = None
+    bounded: dict[str, bool] = field(default_factory=dict)   # size checks made so far
+
+    def _sized(self, name: str) -> DataFrame:
+        table = getattr(self, name)
+        if name not in self.bounded:
+            self.bounded[name] = (self.rows.get(name, 0) <= joins.BROADCAST_MAX_ROWS
+                                  and joins.has_bounded_size(table))
+        return joins.sized_broadcast(table, bounded=self.bounded[name])
 
     @property
     def airports_dim(self) -> DataFrame:
-        """Airports, broadcast-hinted when its published row count is within bound."""
-        return joins.sized_broadcast(self.airports, joins.AIRPORTS_BROADCAST_MAX_ROWS,
-                                     self.rows.get("airports"))
+        """Airports, broadcast-hinted when its bytes (checked once) are within bound."""
+        return self._sized("airports")
 
     @property
     def aircraft_dim(self) -> DataFrame:
-        return joins.sized_broadcast(self.aircraft, joins.AIRCRAFT_BROADCAST_MAX_ROWS,
-                                     self.rows.get("aircraft"))
+        return self._sized("aircraft")
 
 
 def publish_star(spark: SparkSession, airports: DataFrame, flights: DataFrame, path: str,
                  aircraft: DataFrame | None = None,
                  flights_partition_by: str | None = schemas.FLIGHT_DATE,
-                 mode: str = "replace") -> Star:
+                 mode: str = "replace", answered: DataFrame | None = None) -> Star:
     """Write the three tables below ``path`` and return them opened from Parquet.
 
     ``mode="replace"`` replaces all tables. ``mode="merge"`` adds a landing: of the flights
     on disk, exactly those of the re-landed requests (polled airport and window start) are
     replaced, whatever day they depart on; the airports given replace those on disk, and the
     aircraft dimension is derived from all flights. A merge needs ``flights_partition_by``.
+    ``answered`` (airport, window_from) names the requests of the landing, so that an answer
+    without flights replaces too; without it only requests that hold a flight count.
 
     ``flights_partition_by``: ``flight_date`` (default) gives one folder per day, the
     right grain when a day holds many row groups and jobs re-land or prune by day.
@@ -65,7 +73,8 @@ def publish_star(spark: SparkSession, airports: DataFrame, flights: DataFrame, p
     if mode == "merge":
         order = F.col(schemas.SEEN_ORDER)
         landed = flights.withColumns({c: order[c] for c in ("airport", "window_from")})
-        merge_table(landed, f"{path}/flights", flights_partition_by, ["airport", "window_from"])
+        merge_table(landed, f"{path}/flights", flights_partition_by, ["airport", "window_from"],
+                    answered)
     elif mode == "replace":
         landed = flights
         if flights_partition_by and "struct" in dict(flights.dtypes).get(schemas.SEEN_ORDER, "") \
@@ -99,9 +108,10 @@ def publish_from_landing(spark: SparkSession, airport_docs_path: str, envelopes_
     from flightops.sources import landing
 
     airports = landing.airports_from_docs(landing.read_airport_docs(spark, airport_docs_path))
-    flights = landing.flights_from_envelopes(landing.read_envelopes(spark, envelopes_path))
-    return publish_star(spark, airports, flights, path, flights_partition_by=flights_partition_by,
-                        mode=mode)
+    envelopes = landing.read_envelopes(spark, envelopes_path)
+    return publish_star(spark, airports, landing.flights_from_envelopes(envelopes), path,
+                        flights_partition_by=flights_partition_by, mode=mode,
+                        answered=landing.answered_requests(envelopes))
 
 
 def fixture_star(spark: SparkSession, sf_dir: str) -> Star:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.sources.landing import CORRUPT
+from flightops.sources.landing import answered
 
 # The two windows of a day, in poll order.
 WINDOW_LABELS = ("Morning", "Evening")
@@ -75,7 +75,7 @@ def missing_windows(envelopes: DataFrame, airports: DataFrame, last_day: Column,
         .otherwise(WINDOW_FROM_TO[WINDOW_LABELS[1]][0])
     grid = grid.withColumn("_from", F.concat(F.date_format("window_date", "yyyy-MM-dd"), start))
     since = F.date_format(F.date_sub(last_day, days_back - 1), "yyyy-MM-dd")
-    landed = (envelopes.where((F.col("window_from") >= since) & F.col(CORRUPT).isNull())
+    landed = (envelopes.where((F.col("window_from") >= since) & answered())
               .select(F.col("airport").alias("airport_iata"), F.col("window_from").alias("_from"))
               .distinct())
     return (grid.join(landed, ["airport_iata", "_from"], "left_anti").drop("_from")
@@ -103,6 +103,11 @@ def stream_event_window_counts(spark: SparkSession, events_dir: str, file_glob:
     Parquet sink as windows close. Runs what is available and stops (availableNow);
     restarting with the same checkpoint continues exactly where it stopped.
 
+    Counted per (window, user), then per window: two stateful aggregations in a row, so a
+    hot window's users spread over all state tasks and distinct users are exact.
+    ``event_windows_so_far`` adds the windows still open, ``late_events`` counts what came
+    behind the watermark.
+
     The event time must be TIMESTAMP (not NTZ) for a watermark; with a UTC session the
     cast keeps the wall time."""
     source = (spark.readStream.format("parquet")
@@ -112,12 +117,35 @@ def stream_event_window_counts(spark: SparkSession, events_dir: str, file_glob:
               .load(events_dir))
     timed = source.withColumn("event_time", F.col("ts").cast("timestamp"))
     w = F.window(F.col("event_time"), WINDOW)
-    counts = (timed.withWatermark("event_time", watermark)
-              .groupBy(w.alias("w"))
-              .agg(F.count(F.lit(1)).alias("n_events"))
-              .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_events"))
+    per_user = (timed.withWatermark("event_time", watermark)
+                .groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")))
+    start = F.col("w.start").cast("timestamp_ntz")
+    counts = (per_user.groupBy("w")
+              .agg(F.sum("n").cast("long").alias("n_events"), F.count("user_id").alias("n_users"))
+              .select(start.alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+                      window_label(start).alias("window_label"), "n_events", "n_users"))
     query = (counts.writeStream.outputMode("append").format("parquet")
              .option("path", sink_path).option("checkpointLocation", checkpoint_path)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def _closed_until(closed: DataFrame) -> Column:
+    """End of the last closed window (a subquery of one value); the first time of all when
+    none has closed."""
+    return F.coalesce(closed.agg(F.max("window_end")).scalar(),
+                      F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def event_windows_so_far(closed: DataFrame, events: DataFrame) -> DataFrame:
+    """All windows: those the stream has closed, and those still open counted from the
+    events after them (a filter on the event time, so the scan skips the closed past)."""
+    tail = events.where(F.col("ts") >= _closed_until(closed))
+    return closed.unionByName(event_window_counts(tail))
+
+
+def late_events(closed: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of closed windows that came too late to be counted there (one row)."""
+    past = events.where(F.col("ts") < _closed_until(closed)).agg(F.count(F.lit(1)).alias("n"))
+    counted = closed.agg(F.coalesce(F.sum("n_events"), F.lit(0)).alias("n")).scalar()
+    return past.select((F.col("n") - counted).cast("long").alias("late_events"))

@@ -7,8 +7,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from flightops.operators.dims import aircraft_dimension
 from flightops.session import local_path, new_scratch_path
 from flightops.sources import landing
+from flightops.sources.store import publish_from_landing
 from flightops.sources.sinks import export_csv, merge_table, publish_table
 from helpers import T0, flights
 
@@ -33,6 +35,53 @@ FLIGHT = {
 }
 
 
+def test_rejects_are_counted_by_reason(spark):
+    bad_time = dict(FLIGHT, departure={"airport": {"iata": "DEL", "icao": "VIDP"},
+                                       "scheduledTime": {"utc": "20/11/2025 06:05"}})
+    bad_time["arrival"] = {"airport": {"iata": "BOM", "icao": "VABB"}}
+    good = json.loads(json.dumps(FLIGHT).replace('"bad"', '"2025-11-20 08:05Z"'))
+    bare = {k: v for k, v in good.items() if k not in ("number", "aircraft", "airline")}
+    window = {"window_idx": 0, "window_from": "2025-11-20T00:00", "window_to": "2025-11-20T12:00"}
+    lines = [
+        json.dumps({"airport": "DEL", **window, "departures": [good, bad_time, bare]}),
+        json.dumps({"airport": "DEL", **window, "arrivals": [dict(good, isCargo="yes"), good]}),
+        json.dumps({"airport": "DEL", **window, "window_idx": "first", "arrivals": []}),
+        json.dumps({"airport": "BOM", **window}),
+        json.dumps({"airport": "BOM", **window, "departures": [good]})[:-9],
+    ]
+    env = landing.read_envelopes(spark, write_lines(spark, "rejects", lines))
+    got = {r.airport: r.asDict() for r in landing.landing_rejects(env).collect()}
+    zero = dict.fromkeys(got["DEL"], 0)
+    assert got["DEL"] == dict(zero, airport="DEL", lines=3, wrong_typed=2, no_window=1, flights=5,
+                              bad_times=1, no_number=1, no_aircraft=1, no_airline=1)
+    assert got["BOM"] == dict(zero, airport="BOM", lines=1, without_flights=1)
+    assert got[None] == dict(zero, airport=None, lines=1, broken_lines=1)
+    answers = {r.airport: (r.answers, r.malformed) for r in landing.landing_totals(env).collect()}
+    assert answers == {"DEL": (3, 0), "BOM": (1, 0), None: (0, 1)}
+
+
+def test_an_empty_answer_replaces_its_window(spark):
+    window = {"airport": "DEL", "window_idx": 0, "window_from": "2025-11-20T00:00"}
+    docs = write_lines(spark, "docs", [json.dumps({"icao": "VIDP", "iata": "DEL"})])
+    path = new_scratch_path(spark, "empty-answer")
+    first = write_lines(spark, "first", [json.dumps({**window, "departures": [FLIGHT]}), json.dumps(
+        {**window, "window_from": "2025-11-20T12:00", "departures": [dict(FLIGHT, number="AI 2")]})])
+    assert publish_from_landing(spark, docs, first, path).flights.count() == 2
+    again = write_lines(spark, "again", [json.dumps({**window, "departures": []})])
+    star = publish_from_landing(spark, docs, again, path, mode="merge")
+    assert [r.flight_id for r in star.flights.collect()] == ["AI 2"]
+
+
+def test_equal_places_give_one_aircraft_row(spark):
+    env = [json.dumps({"airport": "DEL", "window_idx": 0, "window_from": "2025-11-20T00:00",
+                       "departures": [dict(FLIGHT, aircraft={"reg": "R1", "model": m})]})
+           for m in ("Boeing 737", "Airbus A320")]
+    for k, lines in enumerate((env, env[::-1])):
+        flights = landing.flights_from_envelopes(
+            landing.read_envelopes(spark, write_lines(spark, f"places{k}", lines)))
+        assert [r.aircraft_model for r in aircraft_dimension(flights).collect()] == ["Airbus A320"]
+
+
 def test_envelopes_flatten_with_null_arrays_and_rejects(spark):
     no_number = dict(FLIGHT, number=None, isCargo=None)
     no_number.pop("number")

@@ -64,9 +64,9 @@ def test_broadcast_only_within_the_bound(spark):
     try:
         big = spark.range(1000).withColumnRenamed("id", "k")
         small = spark.range(10).withColumnRenamed("id", "k")
-        hinted = plan(big.join(sized_broadcast(small, max_rows=100), "k"))
+        hinted = plan(big.join(sized_broadcast(small, max_bytes=1000), "k"))
         assert "BroadcastHashJoin" in hinted
-        unhinted = plan(big.join(sized_broadcast(big.select("k"), max_rows=100), "k"))
+        unhinted = plan(big.join(sized_broadcast(big.select("k"), max_bytes=1000), "k"))
         assert "BroadcastHashJoin" not in unhinted and "SortMergeJoin" in unhinted
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -98,6 +98,19 @@ def test_shuffle_join_reuses_the_aggregation_partitioning(spark, star):
     assert p.count("Exchange") - p.count("ReusedExchange") == 4
 
 
+def test_a_range_of_days_reads_only_its_folders(spark, small_sf):
+    from flightops import registry
+    p = plan(registry.explore_days(spark, small_sf))
+    filters = [x for x in p.splitlines() if "PartitionFilters" in x]
+    assert any("flight_month" in x and "1995-03" in x and "1995-06" in x for x in filters)
+
+
+def test_audit_scans_the_fact_three_times(star):
+    from flightops.operators import audit
+    p = plan(audit.constraint_audit(star.flights, star.airports, star.aircraft))
+    assert sum("Location:" in x and x.rstrip().endswith("/flights]") for x in p.splitlines()) == 3
+
+
 def test_no_python_in_any_registered_plan(spark, small_sf):
     from flightops import registry as entry
     python_nodes = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",

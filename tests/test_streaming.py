@@ -3,10 +3,12 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 
 from flightops import registry
 from flightops.session import local_path, new_scratch_path
-from flightops.streaming import dedup
+from flightops.streaming import dedup, windows
 from test_ingest import FLIGHT
 
 
@@ -14,8 +16,26 @@ def test_window_stream_equals_batch_on_closed_windows(spark, small_sf):
     stream = registry.events_12h_windows_stream(spark, small_sf)
     batch = registry.events_12h_windows(spark, small_sf)
     joined = stream.join(batch, ["window_start", "window_end"])
-    assert joined.count() == stream.count() == batch.count() - 1   # last window still open
-    assert joined.where(stream["n_events"] != batch["n_events"]).count() == 0
+    assert joined.count() == stream.count() == batch.count()
+    for c in ("n_events", "n_users", "window_label"):
+        assert joined.where(stream[c] != batch[c]).count() == 0
+
+
+def test_late_events_are_counted(spark):
+    root = new_scratch_path(spark, "late-events")
+    rows = lambda *ts: spark.createDataFrame([(t, 1) for t in ts], "ts string, user_id long").select(
+        F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id").coalesce(1)
+
+    def run(df):
+        df.write.mode("append").parquet(f"{root}/in")
+        windows.stream_event_window_counts(spark, f"{root}/in", "*.parquet", f"{root}/out", f"{root}/ckpt")
+    run(rows("2025-01-01 01:00:00", "2025-01-01 02:00:00", "2025-01-02 09:00:00"))
+    run(rows("2025-01-01 03:00:00", "2025-01-02 10:00:00"))
+    closed, events = spark.read.parquet(f"{root}/out"), spark.read.parquet(f"{root}/in")
+    assert [(r.n_events, r.n_users) for r in closed.collect()] == [(2, 1)]
+    assert windows.late_events(closed, events).first().late_events == 1
+    got = windows.event_windows_so_far(closed, events).collect()
+    assert sorted((r.window_label, r.n_events) for r in got) == [("Morning", 2), ("Morning", 2)]
 
 
 def test_missing_windows_grid(spark, small_sf):
