@@ -96,34 +96,44 @@ def dedupe_first_seen(flights: DataFrame) -> DataFrame:
             .unionByName(distinct_incomplete(flights)))
 
 
+#: Files of one micro-batch: a backlog is worked off in batches of bounded state and memory.
+MAX_FILES_PER_TRIGGER = 10_000
+#: Partition column of bronze: whether the de-duplication key is complete.
+COMPLETE = "complete"
+
+
 def reconcile_dedup(spark: SparkSession, paths: DedupPaths) -> DataFrame:
     """The exact de-duplicated flights from bronze, late rows included."""
-    return dedupe_first_seen(spark.read.parquet(paths.bronze))
+    return dedupe_first_seen(spark.read.parquet(paths.bronze).drop(COMPLETE))
 
 
 def _bronze_schema(spark: SparkSession):
-    return flights_from_envelopes(spark.createDataFrame([], LANDED_ENVELOPE)).schema
+    flights = flights_from_envelopes(spark.createDataFrame([], LANDED_ENVELOPE))
+    return flights.withColumn(COMPLETE, complete_key()).schema
 
 
 def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
-                     delay: str = "3 days", max_files_per_trigger: int | None = None,
+                     delay: str = "3 days", max_files_per_trigger: int = MAX_FILES_PER_TRIGGER,
                      salt_buckets: int = 1) -> None:
-    """Process every landed file not yet seen, then stop (availableNow)."""
-    reader = spark.readStream.schema(LANDED_ENVELOPE).option("mode", "PERMISSIVE")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    bronze = (flights_from_envelopes(reader.json(landing_path)).writeStream.format("parquet")
+    """Process every landed file not yet seen, then stop (availableNow). Bronze is written
+    split by whether the key is complete, so both readers after it read only their folder."""
+    reader = (spark.readStream.schema(LANDED_ENVELOPE).option("mode", "PERMISSIVE")
+              .option("maxFilesPerTrigger", max_files_per_trigger))
+    bronze = (flights_from_envelopes(reader.json(landing_path)).withColumn(COMPLETE, complete_key())
+              .writeStream.format("parquet").partitionBy(COMPLETE)
               .option("path", paths.bronze)
               .option("checkpointLocation", f"{paths.checkpoint}/bronze")
               .trigger(availableNow=True).start())
     bronze.awaitTermination()
 
-    flights = spark.readStream.schema(_bronze_schema(spark)).parquet(paths.bronze)
-    deduped = (dedupe_flights(flights, delay, salt_buckets).writeStream.format("parquet")
+    flights = (spark.readStream.schema(_bronze_schema(spark))
+               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(paths.bronze))
+    timed = flights.where(F.col(COMPLETE)).drop(COMPLETE)
+    deduped = (dedupe_flights(timed, delay, salt_buckets).writeStream.format("parquet")
                .option("path", paths.sink)
                .option("checkpointLocation", f"{paths.checkpoint}/dedup")
                .trigger(availableNow=True).start())
-    untimed = (flights.where(~complete_key()).writeStream.format("parquet")
+    untimed = (flights.where(~F.col(COMPLETE)).drop(COMPLETE).writeStream.format("parquet")
                .option("path", paths.untimed)
                .option("checkpointLocation", f"{paths.checkpoint}/untimed")
                .trigger(availableNow=True).start())
