@@ -34,9 +34,10 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the base and that no learned rule rejects."""
+    """Keeps documents that pass the base and that no learned rule rejects. The rules are
+    learned from all labelled documents: the stage before leaves hardly a bad one of them."""
     docs = docs.select(*_columns(docs))
-    rules = fit_rules(docs, table(spark, sf_dir, "labels"))
+    rules = fit_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     judged = judge(docs.withColumn("_whole", F.col("text")), rules)
     return judged.where("kept").withColumnRenamed("_whole", "text").select(
         *[F.col(f"`{c}`") for c in docs.columns])

@@ -311,3 +311,21 @@ def test_pipeline_stages_keep_columns_and_shrink(spark, small_sf):
     assert 0 < docs.select("doc_id").distinct().count() < before
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, small_sf)
     assert packed.agg(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_rules_are_learned_from_all_documents(spark, tmp_path):
+    import corpus_pipeline
+    rng = np.random.default_rng(11)
+
+    def words(mark):
+        return " ".join(f"w{x}{mark if k % 3 == 0 else ''}" for k, x in enumerate(rng.integers(0, 10**6, 80)))
+    rows = [(k, words("#" if k % 4 == 0 else "")) for k in range(600)] + [(600, words("#")), (601, words(""))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(600)], "doc_id long, quality int") \
+        .write.parquet(f"{tmp_path}/labels.parquet")
+    # as after the classifier: the labelled bad documents are gone, an unlabelled one is there
+    left = docs.where("doc_id >= 600 or doc_id % 4 > 0")
+    assert left.where("doc_id = 600").select(F.size(F.split("text", " "))).first()[0] >= 50
+    kept = {r.doc_id for r in corpus_pipeline.apply_rules(spark, left, str(tmp_path)).collect()}
+    assert kept == {r.doc_id for r in left.collect()} - {600}
