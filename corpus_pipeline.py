@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.llm.common import saved, small_batches, table
+from flightops.llm.common import checkpointed, saved, small_batches, table
 from flightops.llm.decision_lists import fit_rules, judge
 from flightops.llm.neighbour_quality import fit, with_score
 from flightops.llm.nnls_packing import pack_documents
@@ -44,15 +44,27 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of SimHash near copies, the one with the least id.
-    Rows that repeat an id count as one document, and so do all rows without an id."""
+    """Keeps one row of each group of SimHash near copies: the one with the least id (null
+    ids last), among its rows the least text (null first), then the first row. Rows that
+    share an id or have none are documents of their own."""
     small_batches(spark)
     docs = docs.select(*_columns(docs))
-    found = simhash_components(docs, words=3, distance=3)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    unnamed = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]) \
-        .unionByName(unnamed.dropDuplicates(["doc_id"]))
+    held = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = simhash_components(held, doc_id="_row", words=3, distance=3)
+    named = checkpointed(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+                         .join(held.select("_row", "doc_id"), "_row"))
+    # map-side combined, without texts; these are needed only where rows share the least id
+    ids = named.groupBy("_group", "doc_id").agg(F.min("_row").alias("_row"), F.count("*").alias("_n"))
+    least = checkpointed(
+        ids.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_unnamed"), "doc_id",
+                                                 "_row", "_n")).alias("_least"))
+        .select("_group", "_least.*"))
+    shared = least.where(F.col("_n") > 1).select("_group", F.col("doc_id").alias("_id"))
+    tied = named.join(shared, "_group").where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    first = (tied.select("_row", "_group").join(held.select("_row", "text"), "_row")
+             .groupBy("_group").agg(F.min(F.struct("text", "_row")).alias("_first")))
+    kept = least.where(F.col("_n") == 1).select("_row").unionByName(first.select("_first._row"))
+    return held.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

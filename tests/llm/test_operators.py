@@ -329,3 +329,26 @@ def test_pipeline_rules_are_learned_from_all_documents(spark, tmp_path):
     assert left.where("doc_id = 600").select(F.size(F.split("text", " "))).first()[0] >= 50
     kept = {r.doc_id for r in corpus_pipeline.apply_rules(spark, left, str(tmp_path)).collect()}
     assert kept == {r.doc_id for r in left.collect()} - {600}
+
+
+def test_pipeline_keeps_one_row_of_each_near_copy_group(spark):
+    import corpus_pipeline
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(12)]
+    rows = [(3, texts[0], "a"), (5, texts[0], "b"), (5, texts[1], "c"), (None, texts[0], "d"),
+            (None, texts[2], "e"), (None, texts[2], "f"), (None, texts[3], "g"), (7, texts[4], "h"),
+            (None, texts[4], "i"), (8, texts[5], "j"), (8, texts[5], "j"), (9, texts[6] + " z", "k"),
+            (9, texts[6], "l"), (None, texts[7] + " z", "m"), (None, texts[7], "n")]
+    rows += [(None if k % 2 else 20, t, "o") for k, t in enumerate(texts[8:])]
+    best = {}
+    for r in rows:
+        group = r[1].removesuffix(" z")  # one word more is a near copy
+        key = (r[0] is None, r[0] or 0, r[1], r[2])
+        best[group] = min(best.get(group, (key, r)), (key, r), key=lambda x: x[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    prints = {t: simhash_dedup.fingerprint(t, 3) for _, t, _ in rows}
+    for t in (texts[6], texts[7]):
+        assert (prints[t] ^ prints[t + " z"]).bit_count() <= 3
+    got = corpus_pipeline.remove_near_copies(spark, docs, "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(r) for _, r in best.values())
+    assert corpus_pipeline.remove_near_copies(spark, docs.limit(0), "").count() == 0
