@@ -3,7 +3,8 @@
 Rules of the file: canonical composition, white space folded, lower case; then the pattern
 CUT, whose matches are the words. For texts below U+0300 composition changes nothing and
 lower-casing agrees with Python's, so the plain path needs no library call; every other
-text goes through the library's own normaliser and cutter.
+text, and one with U+023A or U+023E, whose lower case are letters beyond U+0300, goes
+through the library's own normaliser and cutter.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import unicodedata
 
 # The white space of the pattern's \s below U+0300.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
-_PLAIN = re.compile("[^\x00-˿]")
+# Any character not plain: from U+0300 on, and two whose lower case is a letter from there.
+_PLAIN = re.compile("[^\x00-\u0239\u023b-\u023d\u023f-\u02ff]")
 
 
 def _members(group: str) -> str:

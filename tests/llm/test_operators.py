@@ -352,3 +352,11 @@ def test_pipeline_keeps_one_row_of_each_near_copy_group(spark):
     got = corpus_pipeline.remove_near_copies(spark, docs, "").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str(r) for _, r in best.values())
     assert corpus_pipeline.remove_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_packing_ids_of_every_low_code_point_equal_the_library():
+    library = pretokens.library(nnls_packing.TOKENIZER)
+    for c in map(chr, range(0x300)):
+        for text in (c, f"bc{c}bc", f"B{c}", f"{c}bc", f"{c}!", f"!{c}", f"a {c}{c} 1{c}1", f"'{c}s", f".{c}\n{c}a"):
+            got = np.frombuffer(nnls_packing.token_ids(text, nnls_packing.TOKENIZER), "<u4").tolist()
+            assert got == library.encode(text, add_special_tokens=False).ids, (hex(ord(c)), text)
