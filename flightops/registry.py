@@ -274,12 +274,10 @@ def dedup_run(spark: SparkSession, sf_dir: str) -> dedup.DedupPaths:
 
 def stream_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-2: every flight lands twice (origin departure, destination arrival); the
-    streaming ingest keeps one row per flight key, and the rows without a complete key in
-    its side table. Key columns of all of them returned."""
-    paths = dedup_run(spark, sf_dir)
-    columns = [*dedup.DEDUP_KEYS, "flight_number"]
-    aside = dedup.distinct_incomplete(spark.read.parquet(paths.untimed))
-    return spark.read.parquet(paths.sink).select(*columns).unionByName(aside.select(*columns))
+    streaming ingest keeps one row per flight key, those behind the watermark and the rows
+    without a complete key in side tables. Key columns of all of them returned."""
+    return dedup.streamed_dedup(spark, dedup_run(spark, sf_dir)).select(
+        *dedup.DEDUP_KEYS, "flight_number")
 
 
 def reconcile_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:

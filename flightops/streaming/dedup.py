@@ -15,10 +15,13 @@ bronze parses the landed JSON once into Parquet (all rows, the raw history); sil
 bronze as a columnar stream and writes the de-duplicated rows and the incomplete ones. A
 de-duplication with other keys can be re-run from bronze without parsing JSON again.
 
-Rows that arrive behind the watermark (a re-poll of last week, say) are not de-duplicated
-by the stream: Structured Streaming drops them from the silver output. They are still in
-bronze, which keeps every row, and ``reconcile_dedup`` rebuilds the exact de-duplicated
-table from bronze in batch (first-seen row per key, and the incomplete rows).
+Rows that arrive behind the watermark (a re-poll of last week, say, or files out of time
+order over several micro-batches) are not de-duplicated by the stream: Structured Streaming
+drops them from the silver output. They are still in bronze, which keeps every row. After
+the streams a batch step writes the flights of bronze that no output holds to a late table
+(first-seen row per key), so sink, late and untimed tables together hold every flight.
+``reconcile_dedup`` rebuilds the exact de-duplicated table from bronze in batch (first-seen
+row per key, and the incomplete rows).
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops.sources.landing import LANDED_ENVELOPE, flights_from_envelopes
+from flightops.sources.sinks import _hadoop_path
 
 # The columns that identify one flight leg for de-duplication.
 DEDUP_KEYS = ["flight_id", "scheduled_dep", "origin_icao", "dest_icao"]
@@ -44,6 +48,11 @@ class DedupPaths:
     def bronze(self) -> str:
         return f"{self.checkpoint}/bronze-table"
 
+    @property
+    def late(self) -> str:
+        """Flights behind the watermark, de-duplicated (Parquet)."""
+        return f"{self.checkpoint}/late-table"
+
 
 def complete_key() -> Column:
     on = F.lit(True)
@@ -107,6 +116,12 @@ def reconcile_dedup(spark: SparkSession, paths: DedupPaths) -> DataFrame:
     return dedupe_first_seen(spark.read.parquet(paths.bronze).drop(COMPLETE))
 
 
+def streamed_dedup(spark: SparkSession, paths: DedupPaths) -> DataFrame:
+    """Every flight of the outputs once: the sink, the late table, and the incomplete rows."""
+    return (spark.read.parquet(paths.sink).unionByName(spark.read.parquet(paths.late))
+            .unionByName(distinct_incomplete(spark.read.parquet(paths.untimed))))
+
+
 def _bronze_schema(spark: SparkSession):
     flights = flights_from_envelopes(spark.createDataFrame([], LANDED_ENVELOPE))
     return flights.withColumn(COMPLETE, complete_key()).schema
@@ -116,7 +131,8 @@ def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
                      delay: str = "3 days", max_files_per_trigger: int = MAX_FILES_PER_TRIGGER,
                      salt_buckets: int = 1) -> None:
     """Process every landed file not yet seen, then stop (availableNow). Bronze is written
-    split by whether the key is complete, so both readers after it read only their folder."""
+    split by whether the key is complete, so both readers after it read only their folder.
+    Flights that the streams dropped as late are then added to the late table."""
     reader = (spark.readStream.schema(LANDED_ENVELOPE).option("mode", "PERMISSIVE")
               .option("maxFilesPerTrigger", max_files_per_trigger))
     bronze = (flights_from_envelopes(reader.json(landing_path)).withColumn(COMPLETE, complete_key())
@@ -139,3 +155,18 @@ def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
                .trigger(availableNow=True).start())
     deduped.awaitTermination()
     untimed.awaitTermination()
+    _add_late(spark, paths)
+
+
+def _add_late(spark: SparkSession, paths: DedupPaths) -> None:
+    """Append the flights of bronze that neither the sink nor the late table holds to the
+    late table; after a failure the next run adds what is missing."""
+    schema = _bronze_schema(spark)
+    timed = spark.read.schema(schema).parquet(paths.bronze).where(F.col(COMPLETE)).drop(COMPLETE)
+    known = spark.read.schema(timed.schema).parquet(paths.sink).select(*DEDUP_KEYS)
+    where = _hadoop_path(spark, paths.late)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        known = known.unionByName(
+            spark.read.schema(timed.schema).parquet(paths.late).select(*DEDUP_KEYS))
+    late = timed.join(known, DEDUP_KEYS, "left_anti").select(*timed.columns)
+    dedupe_first_seen(late).write.mode("append").parquet(paths.late)

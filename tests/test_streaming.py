@@ -139,3 +139,36 @@ def test_poll_requests_texts(spark):
                    (1, "Evening", "2025-11-20T12:00", "2025-11-20T23:59"),
                    (2, "Morning", "2025-11-19T00:00", "2025-11-19T12:00"),
                    (3, "Evening", "2025-11-19T12:00", "2025-11-19T23:59")]
+
+
+def test_flights_of_files_out_of_time_order_are_all_kept(spark, monkeypatch):
+    import datetime as dt
+    landing_dir = new_scratch_path(spark, "order-landing")
+    root = new_scratch_path(spark, "order-out")
+    paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/ckpt")
+
+    def at(number, day):
+        t = (dt.datetime(2025, 11, 1, 6, 5) + dt.timedelta(days=day)).strftime("%Y-%m-%d %H:%MZ")
+        f = json.loads(json.dumps(FLIGHT))
+        f["number"] = number
+        f["departure"]["scheduledTime"]["utc"] = t
+        return f
+
+    untimed = dict(FLIGHT, number="U 1", departure={"airport": {"iata": "DEL", "icao": "VIDP"}})
+    days = [50, 0, 30, 70, 10, 40]
+    for k, day in enumerate(days):
+        # each flight twice in its file, and again in the next one
+        found = [at(f"A {day}", day)] * 2 + ([at(f"A {days[k - 1]}", days[k - 1])] if k else [untimed])
+        name = f"{k}.json"
+        _land(landing_dir, name, [{"airport": "DEL", "window_idx": k, "departures": found}])
+        os.utime(os.path.join(local_path(landing_dir), name), (1_700_000_000 + k, 1_700_000_000 + k))
+    want = sorted([f"A {d}" for d in days] + ["U 1"])
+    dedup.run_dedup_ingest(spark, landing_dir, paths, max_files_per_trigger=1)
+    monkeypatch.setattr(registry, "dedup_run", lambda *_: paths)
+    assert sorted(r.flight_id for r in registry.stream_dedup_flights(spark, "").collect()) == want
+    # a later run adds new late flights, and none twice
+    _land(landing_dir, "later.json", [{"airport": "DEL", "window_idx": 9,
+                                       "departures": [at("A 10", 10), at("B 5", 5), at("B 5", 5)]}])
+    dedup.run_dedup_ingest(spark, landing_dir, paths, max_files_per_trigger=1)
+    assert sorted(r.flight_id for r in registry.stream_dedup_flights(spark, "").collect()) \
+        == sorted([*want, "B 5"])
