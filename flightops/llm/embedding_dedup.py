@@ -120,8 +120,10 @@ def embedding_components(df: DataFrame, vec_id: str = "vec_id", vector: str = "e
     Rows link if their labels are equal and not null, their vectors have as many components,
     and the cosine in double precision is at least `threshold`. Vectors that are null, empty,
     zero or hold a null or non-finite component, and rows with a null label, link with
-    nothing. Repeated rows link with each other like any equal vectors. An empty table stays
-    empty; other columns of df are not read; ids must not be null.
+    nothing. Repeated rows link with each other like any equal vectors, and rows without an
+    id link like any other; they name a component (null) only if no row of it has an id, and
+    count as one id, so kept holds for all of them there. An empty table stays empty; other
+    columns of df are not read.
     """
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("_label"),
                      F.col(vector).cast("array<double>").alias("_vector"))
@@ -131,8 +133,10 @@ def embedding_components(df: DataFrame, vec_id: str = "vec_id", vector: str = "e
               & F.coalesce(F.exists("_vector", lambda v: v != 0), F.lit(False)))
     rows = rows.withColumn("_usable", F.coalesce(usable, F.lit(False)))
     some = rows.where("_usable")
+    # a class has a key of its own, written once: ids may be null, or repeat over classes
     classes = checkpointed(some.groupBy("_label", "_vector").agg(
-        F.min("vec_id").alias("_rep"), F.count("*").alias("_copies")))
+        F.min("vec_id").alias("_least"), F.count("*").alias("_copies"))
+        .withColumn("_rep", F.monotonically_increasing_id()))
 
     own = ["_label", "_dim"]
     sized = classes.withColumn("_dim", F.size("_vector"))
@@ -150,12 +154,15 @@ def embedding_components(df: DataFrame, vec_id: str = "vec_id", vector: str = "e
     roots = components(found.select(F.col("_rep").alias("a"), F.col("_root").alias("b")))
     named = (classes.join(links, "_rep", "left")
              .join(roots.withColumnRenamed("node", "_rep"), "_rep", "left")
-             .select("_label", "_vector", F.coalesce("root", "_rep").alias("component_id"),
+             .select("_label", "_vector", "_least", F.coalesce("root", "_rep").alias("_root"),
                      (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links")))
+    names = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    named = named.join(names, "_root")
     linked = some.join(named, ["_label", "_vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("_usable")).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionAll(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionAll(alone).withColumn(
+        "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

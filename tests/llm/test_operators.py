@@ -360,3 +360,21 @@ def test_packing_ids_of_every_low_code_point_equal_the_library():
         for text in (c, f"bc{c}bc", f"B{c}", f"{c}bc", f"{c}!", f"!{c}", f"a {c}{c} 1{c}1", f"'{c}s", f".{c}\n{c}a"):
             got = np.frombuffer(nnls_packing.token_ids(text, nnls_packing.TOKENIZER), "<u4").tolist()
             assert got == library.encode(text, add_special_tokens=False).ids, (hex(ord(c)), text)
+
+
+def test_embedding_links_of_null_and_large_ids(spark):
+    rng = np.random.default_rng(13)
+    a, b, c, d = rng.standard_normal((4, 16))
+    big = (1 << 53) + 1
+    rows = [(None, a, 0), (None, a + 0.01 * b, 0), (big, a + 0.02 * b, 0), (big + 1, a - 0.02 * b, 0),
+            (None, b, 0), (None, b + 0.01 * a, 0), (None, b, 0), (None, c, 0), (4, c, 0),
+            (big + 3, d, 0), (None, d, 1), (None, None, 1)]
+    want = [(None, 3, big, False), (None, 3, big, False), (big, 3, big, True), (big + 1, 3, big, False),
+            (None, 2, None, True), (None, 2, None, True), (None, 2, None, True), (None, 1, 4, False),
+            (4, 1, 4, True), (big + 3, 0, big + 3, True), (None, 0, None, True), (None, 0, None, True)]
+    vectors = spark.createDataFrame(
+        [(k, None if v is None else v.tolist(), label) for k, v, label in rows],
+        "vec_id long, embedding array<double>, label int")
+    for tile in (2, 1024):
+        got = embedding_dedup.embedding_components(vectors, tile=tile)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
