@@ -19,7 +19,7 @@ by their words, exactly (words are interned, phrases numbered pair by pair, neve
 Defined results: null and empty texts have no words; a null lang is `und`, together with
 texts so marked; repeated rows count each time; an empty table gives no rows; extra
 columns are ignored. Texts of any length are read whole: a batch works through slices
-of some 4 MB that overlap by nothing but whole words (one word longer than that is one slice).
+of some 1 MB that overlap by nothing but whole words (one word longer than that is one slice).
 Collisions of hashes cost work, never a phrase. Ranks are made in two steps, so that no task
 sorts a whole language.
 """
@@ -46,8 +46,8 @@ PART_MASS = 8_000_000
 SLACK = 4
 BITS = 1 << 27
 #: Occurrences that a map task gathers before it hands them on as summaries.
-GATHER = 6_000_000
-SLICE = 1 << 22
+GATHER = 2_000_000
+SLICE = 1 << 20
 KEY_BITS = 40
 
 BLANK, BREAK = " \t", ".,;:!?\n\x0b\x0c\r"
@@ -315,7 +315,7 @@ def _count_exactly(kept: list):
 def frequent_phrases(texts: DataFrame, threshold: int = MIN_COUNT) -> DataFrame:
     """texts: lang, text (no nulls). (lang, phrase, n) of every phrase of 1 to 4 words found
     `threshold` times in its language, with its exact count; phrase null: all words."""
-    small_batches(texts.sparkSession, 2000)
+    small_batches(texts.sparkSession, 500)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(size // PART_MASS) + 1     # two bytes a word at least, two lengths a pass
     short = survivors(texts, (1, 2), parts, threshold)
