@@ -10,7 +10,8 @@ from __future__ import annotations
 from flightops import schemas
 from flightops.params import FIXTURE as P
 from flightops.plans.reports import STATUS_COUNT_COLUMNS
-from flightops.sources.fixture import BAD_TIME, BROKEN, DAMAGE_EVERY, NO_ARRAYS, WRONG_TYPE
+from flightops.sources.fixture import (AGAIN_FAILS, ASKED_AGAIN, BAD_TIME, BROKEN, DAMAGE_EVERY, FIRST_FAILS,
+                                       NO_ARRAYS, RETRY_FAILS, RETRY_SECONDS, WRONG_TYPE)
 
 
 def _addmin(minutes: str, ts: str) -> str:
@@ -320,16 +321,18 @@ FROM flights GROUP BY 1, 2""",
 _WINDOW_IDX = ("CAST(CASE WHEN scheduled_dep IS NULL THEN -1 ELSE "
                "date_diff('day', DATE '1970-01-01', CAST(scheduled_dep AS DATE)) * 2 "
                "+ CASE WHEN hour(scheduled_dep) >= 12 THEN 1 ELSE 0 END END AS INTEGER)")
+_WINDOW_FROM = ("strftime(scheduled_dep, '%Y-%m-%d') || "
+                "CASE WHEN hour(scheduled_dep) >= 12 THEN 'T12:00' ELSE 'T00:00' END")
 _BUCKET = "time_bucket(INTERVAL 12 HOUR, ts)"
 
 QUERIES_SQL.update({
     "ingest_flights": "SELECT " + ", ".join(c for c, _ in _FLIGHT_COLS) + " FROM flights",
     "landing_report": f"""
-SELECT origin_iata AS airport, {_WINDOW_IDX} AS window_idx,
+SELECT origin_iata AS airport, {_WINDOW_IDX} AS window_idx, {_WINDOW_FROM} AS window_from,
        COUNT(DISTINCT l_orderkey) AS answers, CAST(0 AS BIGINT) AS malformed,
        {_flag('l_linenumber % 2 = 1')} AS departures,
        {_flag('l_linenumber % 2 = 0')} AS arrivals
-FROM flights GROUP BY 1, 2""",
+FROM flights GROUP BY 1, 2, 3""",
     "ingest_airports": """
 SELECT icao_code, iata_code, name, city, country, continent, latitude, longitude, timezone
 FROM airports""",
@@ -396,6 +399,33 @@ GROUP BY airport"""
 
 QUERIES_SQL["events_12h_windows_stream"] = QUERIES_SQL["events_12h_windows"]
 QUERIES_SQL["incremental_publish"] = QUERIES_SQL["ingest_flights"]
+QUERIES_SQL["incremental_airports"] = QUERIES_SQL["ingest_airports"]
+QUERIES_SQL["incremental_delays"] = QUERIES_SQL["airport_delays_daily"]
+# every call of the fixture's polls, and whether it succeeds
+_CALLS = f""",
+asked AS (SELECT origin_iata AS airport, {_WINDOW_IDX} AS window_idx, COUNT(*) AS n,
+                 {_WINDOW_IDX} * 12 + CAST(substr(origin_iata, 2) AS INTEGER) AS k
+          FROM flights WHERE scheduled_dep IS NOT NULL GROUP BY 1, 2),
+calls AS (SELECT *, 0 AS days, 0 AS seconds, 1 AS attempt, k % {FIRST_FAILS} <> 0 AS ok FROM asked
+          UNION ALL SELECT *, 0, {RETRY_SECONDS}, 2, k % {RETRY_FAILS} <> 0 FROM asked WHERE k % {FIRST_FAILS} = 0
+          UNION ALL SELECT *, 1, 0, 1, k % {AGAIN_FAILS} <> 0 FROM asked WHERE k % {ASKED_AGAIN} = 0),
+dated AS (SELECT *, CAST(DATE '1970-01-01' + window_idx // 2 AS DATE) AS day,
+                 CAST(DATE '1970-01-01' + (window_idx // 2 + 1 + days) AS DATE) AS poll_day FROM calls)"""
+QUERIES_SQL["poll_report"] = _CALLS + """,
+per_request AS (SELECT poll_day, airport, window_idx, COUNT(*) AS calls, COUNT(*) FILTER (ok) AS answers,
+                       COUNT(*) FILTER (attempt > 1) AS retries, SUM(n) FILTER (ok) AS n
+                FROM dated GROUP BY ALL)
+SELECT strftime(poll_day, '%Y-%m-%d') AS poll, SUM(calls)::BIGINT AS calls, SUM(answers)::BIGINT AS answers,
+       (SUM(calls) - SUM(answers))::BIGINT AS errors, SUM(retries)::BIGINT AS retries,
+       COUNT(*) FILTER (answers = 0) AS unanswered_requests, COALESCE(SUM(n), 0)::BIGINT AS flights
+FROM per_request GROUP BY poll_day"""
+QUERIES_SQL["unanswered_calls"] = _CALLS + """
+SELECT strftime(poll_day, '%Y-%m-%d') AS poll, airport, window_idx,
+       strftime(day, '%Y-%m-%d') || CASE WHEN window_idx % 2 = 1 THEN 'T12:00' ELSE 'T00:00' END AS window_from,
+       strftime(day, '%Y-%m-%d') || CASE WHEN window_idx % 2 = 1 THEN 'T23:59' ELSE 'T12:00' END AS window_to,
+       attempt, CAST(poll_day AS TIMESTAMP) + INTERVAL 6 HOUR + to_seconds(seconds) AS requested_at
+FROM dated WHERE NOT ok"""
+QUERIES_SQL["unanswered_calls_stream"] = QUERIES_SQL["unanswered_calls"]
 QUERIES_SQL["restore_flights"] = QUERIES_SQL["ingest_flights"]
 QUERIES_SQL["cancelled_flights_csv"] = f"""
 SELECT NULLIF(flight_number, '') AS flight_number, * EXCLUDE (flight_number)

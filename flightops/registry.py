@@ -19,10 +19,10 @@ from flightops.params import FIXTURE as P
 from flightops.plans import dashboard as H
 from flightops.plans import reports as Q
 from flightops.session import new_scratch_path
-from flightops.sources import fixture, landing
+from flightops.sources import fixture, journal, landing, versions
 from flightops.sources.sinks import export_csv
-from flightops.sources.store import Star, publish_from_landing, publish_star, warehouse
-from flightops.streaming import dedup, windows
+from flightops.sources.store import Star, open_star, publish_from_landing, warehouse
+from flightops.streaming import dedup, requests, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,24 +171,36 @@ def landed_star_delayed_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_star(spark: SparkSession, sf_dir: str) -> Star:
-    """Two landings that overlap, published one after the other into a star partitioned by
-    month: the first holds two thirds of the requests, half of them with stale, shorter
-    answers; the second answers those again, and the last third. Month folders because the
-    fixture spans seven years with a few hundred flights a day at most."""
+    """Landings that overlap, published one after the other as versions of a star partitioned by
+    month. The first holds a third of the requests, stale and shorter answers of a second third, half
+    of the answers without a window, and all airports but one. The second answers the stale requests
+    again, the last third, the other answers without a window, and brings the missing airport.
+    A third writes stale answers of everything and stops before its version is made. The
+    last one answers one airport's requests again and brings that airport alone. Month
+    folders because the fixture spans seven years with a few hundred flights a day at most."""
     def make(path: str) -> Star:
         env = landing.read_envelopes(spark, landed_path(spark, sf_dir))
+        airports = warehouse(spark, sf_dir).airports
+        timed = F.col("window_from").isNotNull()
         third = F.pmod(F.xxhash64("airport", "window_from"), F.lit(3))
-        stale = env.where(third == 1).withColumns({
-            "departures": F.slice("departures", 1, 1), "arrivals": F.lit(None).cast(env.schema["arrivals"].dataType)})
-        landings = [env.where(third == 0).unionByName(stale), env.where(third > 0)]
-        for k, landed in enumerate(landings):
+        half = F.size(F.coalesce("departures", F.array())) % 2 == 0
+        stale = {"departures": F.slice("departures", 1, 1), "arrivals": F.lit(None).cast(env.schema["arrivals"].dataType)}
+        one = F.col("iata_code") == P["airport_detail_iata"]
+
+        def prepared(landed: DataFrame, of: DataFrame, first: bool = False) -> versions.Version:
             flights = landing.flights_from_envelopes(landed)
-            star = publish_star(
-                spark, warehouse(spark, sf_dir).airports,
-                flights.withColumn(schemas.FLIGHT_MONTH, F.date_format(schemas.FLIGHT_DATE, "yyyy-MM")),
-                path, flights_partition_by=schemas.FLIGHT_MONTH, mode="merge" if k else "replace",
-                answered=landing.answered_requests(landed))
-        return star
+            flights = flights.withColumn(schemas.FLIGHT_MONTH, F.date_format(schemas.FLIGHT_DATE, "yyyy-MM"))
+            if first:
+                return versions.prepare_replace(spark, path, of, flights)
+            return versions.prepare_merge(spark, path, flights, of, landing.answered_requests(landed))
+        versions.commit(spark, path, prepared(
+            env.where((timed & (third == 0)) | (~timed & half)).unionByName(env.where(timed & (third == 1)).withColumns(stale)),
+            airports.where(~one), first=True))
+        versions.commit(spark, path, prepared(env.where((timed & (third > 0)) | (~timed & ~half)), airports.where(one)))
+        prepared(env.withColumns(stale), airports.where(one))   # a writer that stops half-way
+        versions.commit(spark, path, prepared(
+            env.where(timed & (F.col("airport") == P["airport_detail_iata"])), airports.where(one)))
+        return open_star(spark, path)
     return _once(spark, sf_dir, "merged-star", make)
 
 
@@ -203,6 +215,49 @@ def landed_aircraft_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_star(spark, sf_dir).aircraft.select(*schemas.AIRCRAFT_COLUMNS)
 
 
+def incremental_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-6 merge: the airports after landings that each bring some of them."""
+    return merged_star(spark, sf_dir).airports
+
+
+def incremental_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-9 maintained by landings: equals the rollup of all flights."""
+    path = merged_star(spark, sf_dir).path
+    delays = versions.read_table(spark, path, versions.read_version(spark, path), "delays")
+    return delays.select(*[f.name for f in schemas.AIRPORT_DELAYS.fields])
+
+
+def _polled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    """Journal and answers of the fixture's polls, landed once per application."""
+    def make(path: str) -> None:
+        env = landing.read_envelopes(spark, landed_path(spark, sf_dir))
+        calls = fixture.poll_calls(env)
+        calls.drop("ok").withColumn("requested_at", F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss")).write.json(f"{path}/calls")
+        fixture.polled_answers(env, calls).write.json(f"{path}/answers")
+    path = _once(spark, sf_dir, "polls", make)
+    return journal.read_calls(spark, f"{path}/calls"), landing.read_envelopes(spark, f"{path}/answers"), path
+
+
+def poll_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-3 per poll: calls, answers, errors, retries, unanswered requests, flights."""
+    calls, answers, _ = _polled(spark, sf_dir)
+    return journal.poll_report(calls, answers)
+
+
+def unanswered_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1 (batch): calls without an answer in time."""
+    calls, answers, _ = _polled(spark, sf_dir)
+    return journal.unanswered_calls(calls, answers)
+
+
+def unanswered_calls_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1 as a stream-stream join of calls with answers; equals the batch."""
+    calls, answers, path = _polled(spark, sf_dir)
+    sink = _once(spark, sf_dir, "unanswered", lambda p: requests.run_unanswered(
+        spark, f"{path}/calls", f"{path}/answers", p, f"{p}-checkpoint"))
+    return requests.unanswered_so_far(spark, sink, calls, answers)
+
+
 def explore_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X-4 over a range of days of the partitioned fact: only those months are read."""
     star = merged_star(spark, sf_dir)
@@ -295,6 +350,11 @@ FILE_QUERIES: dict[str, Query] = {
     "restore_flights": restore_flights,
     "cancelled_flights_csv": cancelled_flights_csv,
     "incremental_publish": incremental_publish,
+    "incremental_airports": incremental_airports,
+    "incremental_delays": incremental_delays,
+    "poll_report": poll_report,
+    "unanswered_calls": unanswered_calls,
+    "unanswered_calls_stream": unanswered_calls_stream,
     "landed_aircraft_dim": landed_aircraft_dim,
     "explore_days": explore_days,
     "constraint_audit": constraint_audit,

@@ -266,6 +266,45 @@ def landed_envelopes(flights: DataFrame, both_ends: bool = False) -> DataFrame:
         "departures", "arrivals")
 
 
+# ----------------------------------------------------------------- polls over the landing
+
+#: A request's calls by its number (12 * window + airport): the first attempt fails where the first
+#: divides it, the retry where the second does too; the next day's poll asks again where the third
+#: does, and fails where the fourth does.
+FIRST_FAILS, RETRY_FAILS, ASKED_AGAIN, AGAIN_FAILS = 5, 25, 3, 7
+ANSWER_SECONDS, RETRY_SECONDS = 5, 60
+
+
+def poll_calls(envelopes: DataFrame) -> DataFrame:
+    """The journal of daily polls over the windows of a landing, and whether each call succeeds
+    (``ok``): a window is asked for at six the day after, and partly again a day later."""
+    windows = envelopes.where("window_idx >= 0").select("airport", "window_idx", "window_from", "window_to").distinct()
+    number = F.col("window_idx") * FIXTURE_AIRPORT_COUNT + F.substring("airport", 2, 2).cast("int")
+
+    def attempt(days: int, seconds: int, which: int, ok: Column) -> Column:
+        return F.struct(F.lit(days).alias("days"), F.lit(seconds).alias("seconds"), F.lit(which).alias("attempt"), ok.alias("ok"))
+    calls = F.array(
+        attempt(0, 0, 1, number % FIRST_FAILS != 0),
+        F.when(number % FIRST_FAILS == 0, attempt(0, RETRY_SECONDS, 2, number % RETRY_FAILS != 0)),
+        F.when(number % ASKED_AGAIN == 0, attempt(1, 0, 1, number % AGAIN_FAILS != 0)))
+    each = windows.withColumn("c", F.explode(F.filter(calls, lambda c: c.isNotNull())))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), (F.floor(F.col("window_idx") / 2) + 1 + F.col("c.days")).cast("int"))
+    at = F.timestamp_add("SECOND", F.col("c.seconds"), F.timestamp_add("HOUR", F.lit(6), day.cast("timestamp_ntz")))
+    return each.select(day.cast("string").alias("poll"), "airport", "window_idx", "window_from", "window_to",
+                       "c.attempt", at.alias("requested_at"), "c.ok")
+
+
+def polled_answers(envelopes: DataFrame, calls: DataFrame) -> DataFrame:
+    """The answers of all calls that succeed: the request's envelopes, with flight numbers alone."""
+    def slim(side: str) -> Column:
+        return F.transform(side, lambda f: F.struct(f["number"].alias("number")))
+    slim_lines = envelopes.select("airport", "window_idx", slim("departures").alias("departures"), slim("arrivals").alias("arrivals"))
+    at = F.timestamp_add("SECOND", F.lit(ANSWER_SECONDS), F.col("requested_at"))
+    return (calls.where("ok").join(slim_lines, ["airport", "window_idx"])
+            .select("airport", "window_idx", "window_from", "window_to",
+                    F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("answered_at"), "departures", "arrivals"))
+
+
 #: What damages a line, by l_orderkey % DAMAGE_EVERY; other lines stay whole.
 DAMAGE_EVERY = 7
 BROKEN, WRONG_TYPE, BAD_TIME, NO_ARRAYS = 1, 2, 3, 4

@@ -3,10 +3,12 @@
 Landing contract. The poller (not part of this package) writes one JSON line per request
 of the flight service, the service's answer plus the request it answers:
 
-    {"airport": "IXM", "window_idx": 0, "window_from": "...", "window_to": "...",
-     "departures": [flight, ...], "arrivals": [flight, ...]}
+    {"poll": "2025-11-22", "airport": "IXM", "window_idx": 0, "window_from": "...",
+     "window_to": "...", "answered_at": "...", "departures": [flight, ...], "arrivals": [flight, ...]}
 
-``window_idx`` is the position of the window in the poll order. Either array may be null
+``window_idx`` is the position of the window in the poll order. ``poll`` (a text that ascends
+with the polls, such as the day) and ``answered_at`` may be missing; ``journal`` finds the poll
+of an answer by its time. Either array may be null
 or missing. Airport documents land one per line as the service returns them. Files may be
 JSON Lines (splittable, the default) or one whole document per file (``multi_line``).
 
@@ -33,7 +35,9 @@ LANDED_ENVELOPE = T.StructType(
     [T.StructField("airport", T.StringType(), True),
      T.StructField("window_idx", T.IntegerType(), True),
      T.StructField("window_from", T.StringType(), True),
-     T.StructField("window_to", T.StringType(), True)]
+     T.StructField("window_to", T.StringType(), True),
+     T.StructField("poll", T.StringType(), True),
+     T.StructField("answered_at", T.StringType(), True)]
     + list(schemas.ENVELOPE.fields)
     + [T.StructField(CORRUPT, T.StringType(), True)])
 
@@ -160,20 +164,23 @@ def flights_from_docs(docs: DataFrame, doc: str = "f",
 
 
 def explode_envelopes(envelopes: DataFrame, polled: list[str] | None = None) -> DataFrame:
-    """One row per flight document with its first-seen order (poll position of the airport,
-    window of the poll, start of the window, departures before arrivals, array position): a
-    total order over polls too, whose window numbers begin anew.
-    Null or missing arrays give no rows."""
+    """One row per flight document with its first-seen order (poll, position of the airport in
+    it, window, start of the window, departures before arrivals, array position). The poll
+    comes first, as all of an earlier poll was seen before any of a later one; answers without a
+    poll precede those with one. Null or missing arrays give no rows."""
     polled = polled or POLLED_AIRPORTS
     legs = F.array(
         F.struct(F.lit(DIRECTION_DEPARTURE).alias("dir"), F.col("departures").alias("items")),
         F.struct(F.lit(DIRECTION_ARRIVAL).alias("dir"), F.col("arrivals").alias("items")))
-    per_leg = envelopes.select("airport", "window_idx", "window_from", F.inline(legs))
-    docs = per_leg.select("airport", "window_idx", "window_from", "dir", F.posexplode("items").alias("pos", "f"))
+    if "poll" not in envelopes.columns:
+        envelopes = envelopes.withColumn("poll", F.lit(None).cast("string"))
+    request = ["poll", "airport", "window_idx", "window_from"]
+    per_leg = envelopes.select(*request, F.inline(legs))
+    docs = per_leg.select(*request, "dir", F.posexplode("items").alias("pos", "f"))
     position = F.array_position(F.array(*[F.lit(a) for a in polled]), F.col("airport"))
     # airports outside the poll list come after all polled ones
     airport_pos = F.when(position > 0, position).otherwise(F.lit(len(polled) + 1))
-    order = F.struct(airport_pos.alias("airport_pos"), F.col("airport"),
+    order = F.struct(F.col("poll"), airport_pos.alias("airport_pos"), F.col("airport"),
                      F.col("window_idx"), F.col("window_from"), F.col("dir"), F.col("pos"))
     return docs.withColumn(schemas.SEEN_ORDER, order)
 
@@ -199,9 +206,10 @@ def answered_requests(envelopes: DataFrame) -> DataFrame:
 
 def landing_report(envelopes: DataFrame) -> DataFrame:
     """S-3: per (airport, window) the requests answered, departures, arrivals and
-    malformed lines; the reference's api_calls / errors / per-airport totals.
+    malformed lines. A window is its start; its number begins anew with each poll. Calls,
+    errors and retries of each poll: ``journal.poll_report``.
     ``landing_rejects`` counts what did not load, by reason."""
-    return (envelopes.groupBy("airport", "window_idx")
+    return (envelopes.groupBy("airport", "window_idx", "window_from")
             .agg(F.count_if(answered()).alias("answers"),
                  F.count_if(~answered()).alias("malformed"),
                  F.sum(F.coalesce(F.size("departures"), F.lit(0))).cast("long").alias("departures"),

@@ -18,8 +18,8 @@ from flightops import schemas
 from flightops.operators import joins
 from flightops.operators.dims import aircraft_dimension
 from flightops.session import new_scratch_path
-from flightops.sources import fixture
-from flightops.sources.sinks import merge_table, publish_table
+from flightops.sources import fixture, versions
+from flightops.sources.sinks import publish_table
 
 
 @dataclass
@@ -54,10 +54,12 @@ def publish_star(spark: SparkSession, airports: DataFrame, flights: DataFrame, p
                  mode: str = "replace", answered: DataFrame | None = None) -> Star:
     """Write the three tables below ``path`` and return them opened from Parquet.
 
-    ``mode="replace"`` replaces all tables. ``mode="merge"`` adds a landing: of the flights
-    on disk, exactly those of the re-landed requests (polled airport and window start) are
-    replaced, whatever day they depart on; the airports given replace those on disk, and the
-    aircraft dimension is derived from all flights. A merge needs ``flights_partition_by``.
+    ``mode="replace"`` replaces all tables. ``mode="merge"`` adds a landing as a new version
+    (``versions``): of the flights on disk, exactly those of the re-landed requests (polled
+    airport and window start) are replaced, whatever day they depart on; rows without a window
+    start are added; airports are merged by code. A star published plainly is taken over as its
+    first version, with one rewrite; from then on ``path`` is read by version, and a replace
+    makes a version too. Versions need ``flights_partition_by``.
     ``answered`` (airport, window_from) names the requests of the landing, so that an answer
     without flights replaces too; without it only requests that hold a flight count.
 
@@ -69,21 +71,16 @@ def publish_star(spark: SparkSession, airports: DataFrame, flights: DataFrame, p
     The aircraft dimension is derived from the *written* flights when not given, so the
     derivation of flights is not run twice.
     """
+    if mode not in ("replace", "merge"):
+        raise ValueError(f"mode must be 'replace' or 'merge', not {mode!r}")
+    if mode == "merge" or versions.read_version(spark, path) is not None:
+        return publish_version(spark, airports, flights, path, flights_partition_by, mode, answered)
     publish_table(airports, f"{path}/airports")
-    if mode == "merge":
+    landed = flights
+    if flights_partition_by and "window_from" in dict(flights.dtypes).get(schemas.SEEN_ORDER, ""):
         order = F.col(schemas.SEEN_ORDER)
         landed = flights.withColumns({c: order[c] for c in ("airport", "window_from")})
-        merge_table(landed, f"{path}/flights", flights_partition_by, ["airport", "window_from"],
-                    answered)
-    elif mode == "replace":
-        landed = flights
-        if flights_partition_by and "struct" in dict(flights.dtypes).get(schemas.SEEN_ORDER, "") \
-                and "window_from" in dict(flights.dtypes)[schemas.SEEN_ORDER]:
-            order = F.col(schemas.SEEN_ORDER)
-            landed = flights.withColumns({c: order[c] for c in ("airport", "window_from")})
-        publish_table(landed, f"{path}/flights", partition_by=flights_partition_by)
-    else:
-        raise ValueError(f"mode must be 'replace' or 'merge', not {mode!r}")
+    publish_table(landed, f"{path}/flights", partition_by=flights_partition_by)
     written_flights = spark.read.parquet(f"{path}/flights")
     if aircraft is None:
         aircraft = aircraft_dimension(written_flights)
@@ -91,7 +88,30 @@ def publish_star(spark: SparkSession, airports: DataFrame, flights: DataFrame, p
     return open_star(spark, path)
 
 
-def open_star(spark: SparkSession, path: str) -> Star:
+def publish_version(spark: SparkSession, airports: DataFrame, flights: DataFrame, path: str,
+                    partition_by: str, mode: str = "merge", answered: DataFrame | None = None) -> Star:
+    """Publish a whole star, or merge a landing, as the next version at ``path``."""
+    if versions.read_version(spark, path) is None and mode == "merge":
+        plain = versions._names(spark, f"{path}/flights")
+        if plain:
+            before = {t: spark.read.parquet(f"{path}/{t}") for t in ("airports", "flights")}
+            versions.commit(spark, path, versions.prepare_replace(spark, path, before["airports"], before["flights"], partition_by))
+        else:
+            mode = "replace"
+    prepared = (versions.prepare_merge(spark, path, flights, airports, answered) if mode == "merge"
+                else versions.prepare_replace(spark, path, airports, flights, partition_by))
+    versions.commit(spark, path, prepared)
+    return open_star(spark, path)
+
+
+def open_star(spark: SparkSession, path: str, version: int | None = None) -> Star:
+    """The star at ``path``: its last version (or the one given), else its plain tables."""
+    found = versions.read_version(spark, path, version)
+    if found is not None:
+        tables = {name: versions.read_table(spark, path, found, name) for name in ("airports", "flights", "aircraft")}
+        tables["aircraft"] = tables["aircraft"].select(*schemas.AIRCRAFT_COLUMNS)
+        rows = {name: tables[name].count() for name in ("airports", "aircraft")}
+        return Star(tables["airports"], tables["flights"], tables["aircraft"], rows, path)
     tables = {name: spark.read.parquet(f"{path}/{name}")
               for name in ("airports", "flights", "aircraft")}
     # Proven row counts for the broadcast decisions, dimensions only (the fact is never
