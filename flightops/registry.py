@@ -322,7 +322,7 @@ def dedup_run(spark: SparkSession, sf_dir: str) -> dedup.DedupPaths:
     def make(root: str) -> dedup.DedupPaths:
         paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/checkpoint")
         dedup.run_dedup_ingest(spark, landed_path(spark, sf_dir, both_ends=True), paths,
-                               P["dedup_delay"], salt_buckets=P["dedup_salt_buckets"])
+                               P["dedup_delay"], salt_buckets=P["dedup_salt_buckets"], grain="yyyy")
         return paths
     return _once(spark, sf_dir, "dedup", make)
 

@@ -17,9 +17,12 @@ de-duplication with other keys can be re-run from bronze without parsing JSON ag
 
 Rows that arrive behind the watermark (a re-poll of last week, say, or files out of time
 order over several micro-batches) are not de-duplicated by the stream: Structured Streaming
-drops them from the silver output. They are still in bronze, which keeps every row. After
-the streams a batch step writes the flights of bronze that no output holds to a late table
-(first-seen row per key), so sink, late and untimed tables together hold every flight.
+drops them from the silver output. They are still in bronze, which keeps every row. A third
+stream reads the same new bronze files after silver has, and writes those of their flights that no
+output holds to a late table (first-seen row per key), so sink, late and untimed tables together
+hold every flight. The key holds the scheduled departure, so both tables are partitioned by it
+(``GRAIN``) and a run looks up its keys only in the days that it brought: its cost follows the new
+files, not history.
 ``reconcile_dedup`` rebuilds the exact de-duplicated table from bronze in batch (first-seen
 row per key, and the incomplete rows).
 """
@@ -30,6 +33,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flightops.sources.landing import LANDED_ENVELOPE, flights_from_envelopes
 from flightops.sources.sinks import _hadoop_path
@@ -109,6 +113,9 @@ def dedupe_first_seen(flights: DataFrame) -> DataFrame:
 MAX_FILES_PER_TRIGGER = 10_000
 #: Partition column of bronze: whether the de-duplication key is complete.
 COMPLETE = "complete"
+#: Partition column of the sink and the late table: the scheduled departure, cut to GRAIN.
+DEPARTS = "departs"
+GRAIN = "yyyy-MM-dd"
 
 
 def reconcile_dedup(spark: SparkSession, paths: DedupPaths) -> DataFrame:
@@ -118,8 +125,18 @@ def reconcile_dedup(spark: SparkSession, paths: DedupPaths) -> DataFrame:
 
 def streamed_dedup(spark: SparkSession, paths: DedupPaths) -> DataFrame:
     """Every flight of the outputs once: the sink, the late table, and the incomplete rows."""
-    return (spark.read.parquet(paths.sink).unionByName(spark.read.parquet(paths.late))
-            .unionByName(distinct_incomplete(spark.read.parquet(paths.untimed))))
+    return (_kept(spark, paths.sink).unionByName(_kept(spark, paths.late)).drop(DEPARTS)
+            .unionByName(distinct_incomplete(_kept(spark, paths.untimed).drop(DEPARTS))))
+
+
+def _kept(spark: SparkSession, path: str) -> DataFrame:
+    """An output as it is now; without rows before anything was written."""
+    schema = _bronze_schema(spark)
+    schema = T.StructType([f for f in schema.fields if f.name != COMPLETE] + [T.StructField(DEPARTS, T.StringType())])
+    where = _hadoop_path(spark, path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _bronze_schema(spark: SparkSession):
@@ -129,10 +146,12 @@ def _bronze_schema(spark: SparkSession):
 
 def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
                      delay: str = "3 days", max_files_per_trigger: int = MAX_FILES_PER_TRIGGER,
-                     salt_buckets: int = 1) -> None:
+                     salt_buckets: int = 1, grain: str = GRAIN) -> None:
     """Process every landed file not yet seen, then stop (availableNow). Bronze is written
     split by whether the key is complete, so both readers after it read only their folder.
-    Flights that the streams dropped as late are then added to the late table."""
+    Flights that the streams dropped as late are then added to the late table. ``grain`` (a date
+    pattern, the same in every run) cuts departures to the partitions of sink and late table:
+    days, or longer where a day holds only a handful of rows."""
     reader = (spark.readStream.schema(LANDED_ENVELOPE).option("mode", "PERMISSIVE")
               .option("maxFilesPerTrigger", max_files_per_trigger))
     bronze = (flights_from_envelopes(reader.json(landing_path)).withColumn(COMPLETE, complete_key())
@@ -145,7 +164,9 @@ def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
     flights = (spark.readStream.schema(_bronze_schema(spark))
                .option("maxFilesPerTrigger", max_files_per_trigger).parquet(paths.bronze))
     timed = flights.where(F.col(COMPLETE)).drop(COMPLETE)
-    deduped = (dedupe_flights(timed, delay, salt_buckets).writeStream.format("parquet")
+    departs = F.date_format("scheduled_dep", grain)
+    deduped = (dedupe_flights(timed, delay, salt_buckets).withColumn(DEPARTS, departs)
+               .writeStream.format("parquet").partitionBy(DEPARTS)
                .option("path", paths.sink)
                .option("checkpointLocation", f"{paths.checkpoint}/dedup")
                .trigger(availableNow=True).start())
@@ -155,18 +176,21 @@ def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
                .trigger(availableNow=True).start())
     deduped.awaitTermination()
     untimed.awaitTermination()
-    _add_late(spark, paths)
-
-
-def _add_late(spark: SparkSession, paths: DedupPaths) -> None:
-    """Append the flights of bronze that neither the sink nor the late table holds to the
-    late table; after a failure the next run adds what is missing."""
-    schema = _bronze_schema(spark)
-    timed = spark.read.schema(schema).parquet(paths.bronze).where(F.col(COMPLETE)).drop(COMPLETE)
-    known = spark.read.schema(timed.schema).parquet(paths.sink).select(*DEDUP_KEYS)
-    where = _hadoop_path(spark, paths.late)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        known = known.unionByName(
-            spark.read.schema(timed.schema).parquet(paths.late).select(*DEDUP_KEYS))
-    late = timed.join(known, DEDUP_KEYS, "left_anti").select(*timed.columns)
-    dedupe_first_seen(late).write.mode("append").parquet(paths.late)
+    late = (timed.withColumn(DEPARTS, departs).writeStream
+            .foreachBatch(lambda batch, _: late_flights(batch, paths).write.mode("append")
+                          .partitionBy(DEPARTS).parquet(paths.late))
+            .option("checkpointLocation", f"{paths.checkpoint}/late")
+            .trigger(availableNow=True).start())
+    late.awaitTermination()
+
+
+def late_flights(new: DataFrame, paths: DedupPaths) -> DataFrame:
+    """The flights of new bronze rows (with their partition) that neither the sink nor the late
+    table holds. Only the partitions that the rows depart in are read, chosen by literals; a batch
+    that runs again after a failure finds its own rows in the late table and adds none."""
+    spark = new.sparkSession
+    days = sorted(r[0] for r in new.select(DEPARTS).distinct().collect())
+    known = _kept(spark, paths.sink).unionByName(_kept(spark, paths.late))
+    known = known.where(F.col(DEPARTS).isin(days)).select(DEPARTS, *DEDUP_KEYS)
+    late = new.join(known, [DEPARTS, *DEDUP_KEYS], "left_anti").select(*new.columns)
+    return dedupe_first_seen(late)

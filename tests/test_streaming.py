@@ -172,3 +172,46 @@ def test_flights_of_files_out_of_time_order_are_all_kept(spark, monkeypatch):
     dedup.run_dedup_ingest(spark, landing_dir, paths, max_files_per_trigger=1)
     assert sorted(r.flight_id for r in registry.stream_dedup_flights(spark, "").collect()) \
         == sorted([*want, "B 5"])
+
+
+def test_late_flights_are_looked_up_in_their_days_only(spark):
+    import contextlib
+    import datetime as dt
+    import io
+    from pyspark.sql import functions as F
+    landing_dir = new_scratch_path(spark, "bounded-landing")
+    root = new_scratch_path(spark, "bounded-out")
+    paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/ckpt")
+
+    def at(number, day):
+        f = json.loads(json.dumps(FLIGHT))
+        f["number"] = number
+        f["departure"]["scheduledTime"]["utc"] = (dt.datetime(2025, 1, 1, 6, 5) + dt.timedelta(days=day)).strftime("%Y-%m-%d %H:%MZ")
+        return f
+    assert dedup.streamed_dedup(spark, paths).count() == 0
+    _land(landing_dir, "a.json", [{"airport": "DEL", "window_idx": k, "departures": [at(f"A {k}", k)]} for k in range(40)])
+    dedup.run_dedup_ingest(spark, landing_dir, paths)
+    seen = []
+    real = dedup.late_flights
+
+    def watched(new, of):
+        out = real(new, of)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            out.explain("formatted")
+        seen.append((sorted(r[0] for r in new.select(dedup.DEPARTS).distinct().collect()), set(new.inputFiles()), buf.getvalue()))
+        return out
+    dedup.late_flights = watched
+    try:
+        _land(landing_dir, "b.json", [{"airport": "DEL", "window_idx": 50, "departures": [at("B 7", 7), at("A 9", 9)]}])
+        dedup.run_dedup_ingest(spark, landing_dir, paths)
+    finally:
+        dedup.late_flights = real
+    days, files, plan = seen[0]
+    # the batch holds the new file's rows alone, and history is pruned to its two days by literals
+    assert len(seen) == 1 and days == ["2025-01-08", "2025-01-10"]
+    filters = [x for x in plan.splitlines() if x.startswith("PartitionFilters")]
+    assert len(filters) == 2 and all("IN (2025-01-08,2025-01-10)" in x for x in filters), filters
+    got = sorted(r.flight_id for r in dedup.streamed_dedup(spark, paths).collect())
+    assert got == sorted([f"A {k}" for k in range(40)] + ["B 7"])
+    assert spark.read.parquet(paths.late).where(F.col("flight_id") == "B 7").count() == 1
