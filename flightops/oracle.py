@@ -427,6 +427,7 @@ SELECT strftime(poll_day, '%Y-%m-%d') AS poll, airport, window_idx,
 FROM dated WHERE NOT ok"""
 QUERIES_SQL["unanswered_calls_stream"] = QUERIES_SQL["unanswered_calls"]
 QUERIES_SQL["restore_flights"] = QUERIES_SQL["ingest_flights"]
+QUERIES_SQL["restore_long_lists"] = QUERIES_SQL["ingest_flights"]
 QUERIES_SQL["cancelled_flights_csv"] = f"""
 SELECT NULLIF(flight_number, '') AS flight_number, * EXCLUDE (flight_number)
 FROM ({QUERIES_SQL["cancelled_flights"]})"""

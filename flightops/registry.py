@@ -19,7 +19,7 @@ from flightops.params import FIXTURE as P
 from flightops.plans import dashboard as H
 from flightops.plans import reports as Q
 from flightops.session import new_scratch_path
-from flightops.sources import fixture, journal, landing, versions
+from flightops.sources import fixture, journal, landing, lists, versions
 from flightops.sources.sinks import export_csv
 from flightops.sources.store import Star, open_star, publish_from_landing, warehouse
 from flightops.streaming import dedup, requests, windows
@@ -140,6 +140,13 @@ def restore_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.flights_from_list(landing.read_flight_list(spark, path)).select(*schemas.FLIGHT_COLUMNS)
 
 
+def restore_long_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-4: flights saved as long lists (some million flights a file), each read by many tasks."""
+    path = _once(spark, sf_dir, "long-lists", lambda p: fixture.write_long_lists(warehouse(spark, sf_dir).flights, p))
+    docs = lists.read_flight_list_split(spark, path)
+    return landing.flights_from_list(docs).select(*schemas.FLIGHT_COLUMNS)
+
+
 def ingest_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-1: airport documents -> airports; equals the fixture airports."""
     return landing.airports_from_docs(landing.read_airport_docs(spark, _airport_docs_path(spark, sf_dir)))
@@ -348,6 +355,7 @@ FILE_QUERIES: dict[str, Query] = {
     "landing_totals": landing_totals,
     "landing_rejects": landing_rejects,
     "restore_flights": restore_flights,
+    "restore_long_lists": restore_long_lists,
     "cancelled_flights_csv": cancelled_flights_csv,
     "incremental_publish": incremental_publish,
     "incremental_airports": incremental_airports,

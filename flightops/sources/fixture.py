@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightops import schemas
@@ -330,14 +330,29 @@ def damaged_landing(flights: DataFrame) -> DataFrame:
 LIST_ORDERS = 4096  # order numbers of one saved list: some 16,000 flights
 
 
-def saved_lists(flights: DataFrame) -> DataFrame:
+def saved_lists(flights: DataFrame, keep_part: bool = False) -> DataFrame:
     """Flights as JSON lists (a text column), one for each range of order numbers, so that no
     list grows with the data; written one row a file they are saved whole-file lists."""
     seen = F.col(schemas.SEEN_ORDER)
     docs = flights.select(F.floor(seen["l_orderkey"] / LIST_ORDERS).alias("part"),
                           F.struct(seen.alias("seen"), flight_doc(flights).alias("doc")).alias("f"))
     items = F.transform(F.array_sort(F.collect_list("f")), lambda x: x["doc"])
-    return docs.groupBy("part").agg(items.alias("items")).select(F.to_json("items").alias("value"))
+    lists = docs.groupBy("part").agg(items.alias("items"))
+    return lists.select(*(["part"] if keep_part else []), F.to_json("items").alias("value"))
+
+
+LONG_LIST_PARTS = 64  # such ranges of one long list: some million flights a file
+
+
+def write_long_lists(flights: DataFrame, path: str) -> None:
+    """Flights as long JSON lists, one a file, each written piece by piece in order."""
+    parts = saved_lists(flights, keep_part=True).withColumn("list", F.floor(F.col("part") / LONG_LIST_PARTS))
+    along = Window.partitionBy("list").orderBy("part")
+    items = F.expr("substring(value, 2, length(value) - 2)")
+    head = F.when(F.lag("part").over(along).isNull(), "[").otherwise(",")
+    tail = F.when(F.lead("part").over(along).isNull(), "]").otherwise("")
+    lines = parts.select("list", "part", F.concat(head, items, tail).alias("value"))
+    lines.sortWithinPartitions("list", "part").drop("part").write.partitionBy("list").text(path)
 
 
 def airport_docs(airports_df: DataFrame) -> DataFrame:

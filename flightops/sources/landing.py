@@ -110,10 +110,12 @@ def read_flight_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flights_from_list(docs: DataFrame) -> DataFrame:
-    """S-4: a saved list -> the flights fact; the place in the list is the first-seen order."""
+    """S-4: a saved list -> the flights fact; the place in the list is the first-seen order.
+    ``docs`` from ``read_flight_list`` (one task a file) or ``lists.read_flight_list_split``."""
+    place = F.col("place") if "place" in docs.columns else F.struct(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"))
     ordered = docs.where(F.col(CORRUPT).isNull()).select(
-        F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"))
-        .alias(schemas.SEEN_ORDER),
+        place.alias(schemas.SEEN_ORDER),
         F.struct(*[F.col(c) for c in schemas.FLIGHT_DOC.fieldNames()]).alias("f"))
     return flights_from_docs(ordered, "f", F.col(schemas.SEEN_ORDER))
 
