@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 
 from . import pretokens
 from .common import small_batches, table
-from .transducer import BREAK, LETTER, NUMBER, OTHER, Transducer, WordBpe
+from .transducer import (BREAK, BREAK_CODE, LETTER, NUMBER, OTHER, SPECIAL_CODE, START, Transducer,
+                         WordBpe)
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Symbols walked at once in a task: bounds its arrays to some tens of MB.
+#: Code points walked at once in a task: bounds its arrays to some tens of MB.
 STREAM = 2_000_000
 
 
@@ -38,39 +39,40 @@ def _kind(path: str, char: str) -> int:
 
 
 def count_texts(texts: list[str], path: str) -> np.ndarray:
-    """Tokens of each text."""
+    """Tokens of each text. Texts are streams of code points with a break after each part; the
+    transducer takes them STREAM code points at a time and goes on from the state it reached, so
+    neither one long text nor many characters make its arrays grow."""
     machine = _transducer(path)
     kind = functools.partial(_kind, path)
     totals = np.zeros(len(texts), dtype=np.int64)
-    streams: list[np.ndarray] = []
-    owners: list[tuple[int, int]] = []
-    size = 0
+    parts: list[np.ndarray] = []
+    owners: list[int] = []
+    size, state = 0, START
 
     def flush():
-        nonlocal streams, owners, size
+        nonlocal parts, owners, size, state
         if size:
-            found = machine.emissions(np.concatenate(streams))
-            begins = np.cumsum([0, *(n for _, n in owners[:-1])])
-            sums = np.add.reduceat(found.astype(np.int64), begins)
-            np.add.at(totals, [k for k, _ in owners], sums)
-        streams, owners, size = [], [], 0
-        machine.fit()
-
-    break_, special = (np.array([c], dtype=np.int16)
-                       for c in (machine.BREAK_COL, machine.SPECIAL_COL))
+            at = machine.fit(state)
+            symbols, taken = machine.spelled(np.concatenate(parts), kind)
+            found, at = machine.scan(symbols, at)
+            state = machine.states[at]
+            ends = np.cumsum(taken)
+            begins = np.concatenate([[0], ends[np.cumsum([len(p) for p in parts[:-1]]).astype(np.int64) - 1]]) \
+                if len(parts) > 1 else np.zeros(1, np.int64)
+            np.add.at(totals, owners, np.add.reduceat(found.astype(np.int64), begins))
+        parts, owners, size = [], [], 0
+
+    break_, special = (np.array([c], dtype=np.uint32) for c in (BREAK_CODE, SPECIAL_CODE))
     for k, text in enumerate(texts):
         for mark, part in pretokens.segments(text, path):
-            if mark:
-                columns = special
-            else:
-                codes = np.frombuffer(
-                    pretokens.normalised(part, path).encode("utf-32-le", "surrogatepass"), "<u4")
-                columns = machine.columns(codes, kind)
-            streams += [columns, break_]
-            owners.append((k, len(columns) + 1))
-            size += len(columns) + 1
-        if size >= STREAM:
-            flush()
+            codes = special if mark else np.frombuffer(
+                pretokens.normalised(part, path).encode("utf-32-le", "surrogatepass"), "<u4")
+            for piece in (*(codes[x:x + STREAM] for x in range(0, len(codes), STREAM)), break_):
+                parts.append(piece)
+                owners.append(k)
+                size += len(piece)
+                if size >= STREAM:
+                    flush()
     flush()
     return totals
 

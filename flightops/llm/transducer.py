@@ -94,6 +94,13 @@ START = None  # between words
 SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
+#: Code points of the marks between texts and of a special token in a stream.
+BREAK_CODE, SPECIAL_CODE = 0x110000, 0x110001
+#: Characters below are symbols of their own; letters and signs above are read byte by byte, so
+#: that an alphabet of any size needs 256 columns more (numbers stay whole: each is a word).
+WHOLE_BELOW = 0x300
+
+
 class Transducer:
     """Lazily compiled: state numbers, and for each state and column of a symbol the next
     state and the tokens emitted (-1: not compiled yet).
@@ -110,36 +117,72 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.column = np.full(0x110000, -1, dtype=np.int16)
+        self.column = np.full(0x110002, -1, dtype=np.int32)
+        self.column[BREAK_CODE], self.column[SPECIAL_CODE] = self.BREAK_COL, self.SPECIAL_COL
         self.symbols: list = [(BREAK, "", ""), (BREAK, "", "")]
+        # a column for each byte (from 128 on) of a letter, and of a sign
+        self.byte_column = {}
+        for kind in (LETTER, OTHER):
+            self.byte_column[kind] = len(self.symbols) - 128
+            self.symbols += [(kind, self.letters[b], "<byte>") for b in range(128, 256)]
         self.states: list = [START]
         self.number = {START: 0}
         self.pairs: dict = {}
-        self.table = np.full((1024, 64), -1, dtype=np.int32)
+        self.table = np.full((1024, len(self.symbols) + 256), -1, dtype=np.int32)
 
-    def fit(self) -> None:
-        """Begins afresh once the tables are large: memory stays bounded for any input."""
+    def fit(self, state=START) -> int:
+        """Begins afresh once the tables are large: memory stays bounded for any input. Gives
+        the number of a state to go on from."""
         if self.table.size > self.max_cells:
             self.clear()
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            self._grow()
+        return self.number[state]
 
     # -- symbols ---------------------------------------------------------------------
 
     def columns(self, codes: np.ndarray, kind_of) -> np.ndarray:
-        """The column of each code point; kind_of classes the new ones."""
+        """The columns of a stream of code points."""
+        return self.spelled(codes, kind_of)[0]
+
+    def spelled(self, codes: np.ndarray, kind_of) -> tuple[np.ndarray, np.ndarray]:
+        """The columns of a stream of code points, and how many each takes (1, or the bytes of
+        a letter or sign from WHOLE_BELOW on). kind_of classes new characters."""
         found = self.column[codes]
-        if (found < 0).any():
-            for c in np.unique(codes[found < 0]).tolist():
+        if (found == -1).any():
+            for c in np.unique(codes[found == -1]).tolist():
                 char = chr(c)
                 kind = kind_of(char)
                 if kind == BREAK:
                     self.column[c] = self.BREAK_COL
-                    continue
-                data = char.encode("utf-8", "surrogatepass")
-                self.column[c] = len(self.symbols)
-                self.symbols.append((kind, "".join(self.letters[b] for b in data), char))
+                elif c >= WHOLE_BELOW and kind != NUMBER:
+                    self.column[c] = -2 - kind
+                else:
+                    self.column[c] = len(self.symbols)
+                    self.symbols.append((kind, "".join(self.letters[b] for b in char.encode()), char))
             self._grow()
             found = self.column[codes]
-        return found
+        split = np.flatnonzero(found < -1)
+        taken = np.ones(len(codes), dtype=np.int64)
+        if not len(split):
+            return found, taken
+        wide = codes[split].astype(np.int64)
+        size = 2 + (wide >= 0x800) + (wide >= 0x10000)
+        taken[split] = size
+        place = np.concatenate([[0], np.cumsum(taken)])
+        out = np.empty(place[-1], dtype=np.int32)
+        one = found >= 0
+        out[place[:-1][one]] = found[one]
+        base = np.where(found[split] == -2 - LETTER, self.byte_column[LETTER], self.byte_column[OTHER])
+        for n in (2, 3, 4):
+            mine = size == n
+            for k in range(n):
+                bits = (wide[mine] >> (6 * (n - 1 - k))) & 0x3F
+                lead = {2: 0xC0, 3: 0xE0, 4: 0xF0}[n] if k == 0 else 0x80
+                out[place[:-1][split[mine]] + k] = base[mine] + (lead | bits)
+        return out, taken
 
     def _grow(self) -> None:
         rows, cols = self.table.shape
@@ -252,7 +295,7 @@ class Transducer:
             cell = self.table[state, col]
             if cell.min() < 0:
                 miss = np.flatnonzero(cell < 0)
-                width = 1 << 16
+                width = 1 << 21
                 for key in np.unique(state[miss].astype(np.int64) * width + col[miss]).tolist():
                     self.compile(key // width, key % width)
                 cell = self.table[state, col]
@@ -261,44 +304,63 @@ class Transducer:
         return state
 
     def emissions(self, symbols: np.ndarray, chunk: int = 1024) -> np.ndarray:
-        """The tokens emitted at each symbol of a stream that begins between words.
-
-        The stream is cut into chunks, and each chunk becomes a map from the state before it
-        to the state after it and its counts. A break brings every state to START, so the
-        map of a chunk with a break is fixed from its first break on (the tail, walked at
-        once for all chunks) and depends on the incoming state only before it (the head). A
-        prefix scan over the maps then gives every chunk its incoming state: at once where
-        the chunk before it holds a break, round by round along chunks without one.
+        """The tokens emitted at each symbol of a stream that begins between words."""
+        return self.scan(symbols, 0, chunk)[0]
+
+    def scan(self, symbols: np.ndarray, state: int, chunk: int = 1024,
+             warm: int = 64) -> tuple[np.ndarray, int]:
+        """The tokens emitted at each symbol of a stream, and the state at its end.
+
+        The stream is cut into chunks, and each chunk becomes a map from the state before it to
+        the state after it and its counts. Which state stands before a chunk is nearly always
+        told by the few symbols before it (always, where a break is among them): each map is
+        first made for that state, all chunks in step. The scan then composes neighbouring
+        maps; where the state that a chunk gives isn't the one that the next chunk's map was made for,
+        that map gets an entry for it, for all such chunks at once, until all agree. Chunks that
+        never settle (one letter a million times) share their maps by content.
         """
-        n = len(symbols)
-        lanes = -(-n // chunk)
-        grid = np.zeros(lanes * chunk, dtype=symbols.dtype)
-        grid[:n] = symbols
-        grid = grid.reshape(lanes, chunk)
-        breaks = grid <= self.SPECIAL_COL
-        has = breaks.any(axis=1)
-        head = np.where(has, breaks.argmax(axis=1) + 1, chunk)
-        # the head of the first chunk starts between words like a tail
-        place = np.arange(chunk)
-        in_head = place[None, :] < head[:, None]
-        tail = np.where(in_head, 0, grid).T.copy()
-        counts = np.zeros((chunk, lanes), dtype=np.int16)
-        ends = self.walk(np.zeros(lanes, dtype=np.int32), tail, counts)
-        known = np.full(lanes + 1, -1, dtype=np.int32)
-        known[0] = 0
-        known[1:][has] = ends[has]
-        todo = np.arange(lanes)
-        while len(todo):
-            ready = todo[known[todo] >= 0]
-            todo = todo[known[todo] < 0]
-            longest = int(head[ready].max())
-            own = np.where(in_head[ready, :longest], grid[ready, :longest], 0).T.copy()
-            found = np.zeros(own.shape, dtype=np.int16)
-            state = self.walk(known[ready], own, found)
-            inside = in_head[ready, :longest].T
-            block = counts[:longest, ready]
-            block[inside] = found[inside]
-            counts[:longest, ready] = block
-            open_ = ~has[ready]
-            known[ready[open_] + 1] = state[open_]
-        return counts.T.reshape(-1)[:n]
+        n, out = len(symbols), np.empty(len(symbols), dtype=np.int16)
+        lanes = n // chunk
+        if lanes:
+            grid = np.ascontiguousarray(symbols[:lanes * chunk].reshape(lanes, chunk).T)
+            before = np.zeros(lanes, dtype=np.int32)
+            before[0] = state
+            if lanes > 1:
+                lead = grid[max(0, chunk - warm):, :-1]
+                before[1:] = self.walk(before[1:], lead, np.empty(lead.shape, dtype=np.int16))
+            counts = np.empty(grid.shape, dtype=np.int16)
+            after = self.walk(before, grid, counts)
+            self._compose(grid, before, after, counts)
+            out[:lanes * chunk] = counts.T.reshape(-1)
+            state = int(after[-1])
+        rest = symbols[lanes * chunk:]
+        if len(rest):
+            found = np.empty((len(rest), 1), dtype=np.int16)
+            state = int(self.walk(np.array([state], dtype=np.int32), rest[:, None], found)[0])
+            out[lanes * chunk:] = found[:, 0]
+        return out, state
+
+    def _compose(self, grid: np.ndarray, before: np.ndarray, after: np.ndarray, counts: np.ndarray,
+                 rounds: int = 4) -> None:
+        """Bring every chunk's state before it and the state after its predecessor together."""
+        for _ in range(rounds):
+            wrong = np.flatnonzero(before[1:] != after[:-1]) + 1
+            if not len(wrong):
+                return
+            before[wrong] = after[wrong - 1]
+            own = np.ascontiguousarray(grid[:, wrong])
+            found = np.empty(own.shape, dtype=np.int16)
+            after[wrong] = self.walk(before[wrong], own, found)
+            counts[:, wrong] = found
+        # chunks that don't settle: along the stream, each content walked once for each state
+        maps: dict = {}
+        for k in range(1, grid.shape[1]):
+            if before[k] == after[k - 1]:
+                continue
+            before[k] = after[k - 1]
+            own = np.ascontiguousarray(grid[:, k])
+            key = (own.tobytes(), int(before[k]))
+            if key not in maps:
+                found = np.empty((len(own), 1), dtype=np.int16)
+                maps[key] = int(self.walk(before[k:k + 1], own[:, None], found)[0]), found[:, 0]
+            after[k], counts[:, k] = maps[key]
