@@ -7,9 +7,11 @@ every splitter is within tolerance of its target. The counts give each range its
 its first slot, so one exchange by range, and a sort within each range, places all rows.
 
 The leading 32 bits of the key are the CRC-32 of the text, so equal texts stand together
-(in the same shard unless a splitter falls among them); the rest is a hash of the id, so
-that a text that a third of all rows share is split like any other range. Ranges hold
-`range_rows` rows at most, however hot a text, and a range is what one task sorts at a time.
+(in the same shard unless a splitter falls among them); then come hash bits of the id, and
+last of a row number made once with the checkpointed input, so that a text that a third of all
+rows share, or a row repeated on them, is split like any other range. Ranges hold `range_rows`
+rows at most (of very large tables a 16,384th of all rows), however hot a text, and a range
+is what one task sorts at a time; so some 10^4 ranges, whatever the table, reach the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import checkpointed, table, text_or_empty
 
 KEY_BITS = 62
 FIRST_BITS = 12   # 4,096 probes in the first round
+RANGE_BITS = 14   # a range may always hold this part (1 / 2^14) of all rows
+ID_BITS, ROW_BITS = 14, 16  # of the key, below the text's CRC-32
 MORE_BITS = 8     # 256 in each range probed again
 
 
@@ -58,7 +62,7 @@ def probe_ranges(keyed: DataFrame, shards: int, tolerance: float, range_rows: in
     total_rows = sum(n for n, _ in found.values())
     total = sum(b for _, b in found.values())
     # a range is small beside a task's share, at any size of the input
-    limit = min(range_rows, max(1, total_rows >> FIRST_BITS) * 4)
+    limit = min(max(range_rows, total_rows >> RANGE_BITS), max(1, total_rows >> FIRST_BITS) * 4)
     cuts: list[list[int]] = []
     for level, shift in enumerate(shifts):
         order = sorted(found, key=lambda lp: lp[1] << shifts[lp[0]])
@@ -100,8 +104,8 @@ def assign_shards(df: DataFrame, key: Column, size: Column, shards: int, order:
     """df with `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard, in key
     order): the bytes of shards are equal but for the tolerance and the size of one row.
 
-    key: a long of 62 bits; rows with equal keys (repeated rows) can't be parted by a
-    splitter and stay in one range. order: breaks ties among them. Columns of df named shard
+    key: a long of 62 bits, evaluated once; rows with equal keys can't be parted by a
+    splitter and stay in one range, so let its last bits tell repeated rows apart. order: breaks ties among them. Columns of df named shard
     or slot are replaced; an empty table stays empty. Null keys count as 0, null sizes as 0.
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
@@ -142,14 +146,19 @@ def assign_shards(df: DataFrame, key: Column, size: Column, shards: int, order:
             .drop("_level", "_prefix", "_first", "_key", "_size"))
 
 
+def shard_key(doc_id: str = "doc_id", crc: str = "text_crc32") -> Column:
+    """The text's CRC-32, hash bits of the id, hash bits of the row's number."""
+    of_id = F.xxhash64(doc_id).bitwiseAND((1 << ID_BITS) - 1)
+    of_row = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << ROW_BITS) - 1)
+    return F.shiftleft(F.col(crc), ID_BITS + ROW_BITS).bitwiseOR(F.shiftleft(of_id, ROW_BITS)).bitwiseOR(of_row)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         text_crc().alias("text_crc32"))
-    key = F.shiftleft(F.col("text_crc32"), KEY_BITS - 32).bitwiseOR(
-        F.xxhash64("doc_id").bitwiseAND((1 << (KEY_BITS - 32)) - 1))
-    sharded = assign_shards(docs, key, F.col("size"), 24, [F.col("doc_id"), F.col("size")])
+    sharded = assign_shards(docs, shard_key(), F.col("size"), 24, [F.col("doc_id"), F.col("size")])
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
                           F.col("shard").cast("int").alias("shard"),
                           F.col("slot").cast("long").alias("slot"),

@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Every document gets the exponential key -ln(u) / w: u is uniform and depends on its id
-alone, w is its quality weight. Within a source, documents are taken in key order until the
+alone (on its row's number, where it has no id), w is its quality weight. Within a source, documents are taken in key order until the
 prefix sum of their sizes reaches the source's budget; a budget above the source's size
 first takes every document in complete epochs, then samples the rest.
 
-The sorted prefix sum is taken in two levels, so no source, however large, meets in one
-task: sizes are pre-aggregated by key bucket, the bucket sums are prefix-summed, and only
-the one bucket in which a source's budget ends is sorted. That gives each source one
-threshold, and taking documents is a map over them.
+The sorted prefix sum is taken in levels, so no source, however large, meets in one task:
+sizes are pre-aggregated by key bucket, the bucket sums are prefix-summed, and only the one
+bucket in which a source's budget ends is looked into. There rows of one key and id are one sum
+each; of the one key and id in which the budget ends, rows are summed by slots, a hash of the row's
+number; and only the rows of one slot are sorted. So an id that a third of all rows share is
+split as well, and every source ends within one document of its target. That gives each
+source one threshold, and taking documents is a map over them.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpointed, table
+from .common import WORD, checkpointed, saved, table
 
 BUCKETS = 4096
 #: Sources up to which their table of thresholds is broadcast; more are joined by shuffle.
@@ -37,10 +40,12 @@ def prose_weight(text: Column, words: Column) -> Column:
     return F.greatest(F.lit(0.05), F.lit(1.0) / (F.lit(1.0) + gap * gap / 4.0))
 
 
-def uniform(name: str) -> Column:
-    """Uniform in (0, 1), from the id alone: reruns agree."""
-    digits = F.substring(F.md5(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")),
-                         1, 12)
+def uniform(name: str, row: Column | None = None) -> Column:
+    """Uniform in (0, 1), from the id alone: reruns agree. Without an id, from the row's number."""
+    known = F.col(name).cast("string")
+    if row is not None:
+        known = F.coalesce(known, F.concat(F.lit("row "), row.cast("string")))
+    digits = F.substring(F.md5(F.coalesce(known, F.lit("")).cast("binary")), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -73,85 +78,112 @@ def source_targets(sizes: DataFrame, budget: float, weights: list[int], cap: flo
                          .otherwise(F.col("_w") * left / open_w).alias("target"))
 
 
+def _ends_in(parts: DataFrame, plan: DataFrame, group: list[str], order: list[str], found: list[str]) -> DataFrame:
+    """parts: `group` columns (the source first), `order` columns, _sum. Along the order, the
+    last part that begins within the source's _rest (less what stands before, _from): plan's
+    columns, the part's `order` columns as named in `found`, and what is before it as _from."""
+    along = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(along), F.lit(0)))
+    p, s = plan.alias("p"), parts.alias("s")
+    begins = F.col("s._before") + F.col("p._from")
+    on = F.col("s._src").eqNullSafe(F.col("p._src")) & (begins <= F.col("p._rest")) & (F.col("p._rest") > 0)
+    at = F.max(F.struct(begins.alias("_from"), *[F.col(f"s.{c}").alias(n) for c, n in zip(order, found, strict=True)]))
+    kept = [c for c in plan.columns if c != "_from"]
+    # of parts that begin at one sum (sizes of 0) the last in order
+    return (s.join(p, on).groupBy(*[f"p.{c}" for c in kept]).agg(at.alias("_at"))
+            .select(*kept, "_at._from", *[f"_at.{n}" for n in found]))
+
+
 def mix_plan(lite: DataFrame, budget: float, weights: list[int], cap: float) -> DataFrame:
-    """One row a source: source_size, target, _epochs, and the last (key, id) that the
-    fractional selection takes. lite: _src, _id, _size, _key of every document."""
+    """One row a source: source_size, target, _epochs, and where the fractional selection
+    ends: key, id and slot (_k, _i, _s), and the last row of that slot that it takes (_r). lite:
+    _src, _id, _size, _key, _row of every document."""
     sizes = lite.groupBy("_src").agg(F.sum("_size").alias("source_size"))
     plan = source_targets(sizes, budget, weights, cap)
     size = F.col("source_size")
     plan = checkpointed(plan.withColumn(
         "_epochs", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(F.lit(0)).cast("long"))
         .withColumn("_rest", F.col("target") - F.col("_epochs") * size))
-
-    place = F.floor(F.col("_key") / (F.lit(1.0) + F.col("_key")) * BUCKETS).cast("int")
-    bucketed = lite.withColumn("_bucket", place)
-    sums = bucketed.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_sum"))
-    along = (Window.partitionBy("_src").orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("_below", F.coalesce(F.sum("_sum").over(along), F.lit(0)))
-    same = F.col("s._src").eqNullSafe(F.col("p._src"))
-    # the bucket in which the budget ends, from the last one that begins within it
-    last = (sums.alias("s").join(plan.alias("p"), same)
-            .where((F.col("s._below") <= F.col("p._rest")) & (F.col("p._rest") > 0))
-            .groupBy("p._src", "p._rest")
-            .agg(F.max(F.struct("s._bucket", "s._below")).alias("_at"))
-            .select("_src", "_rest", "_at._bucket", "_at._below"))
-    in_bucket = (bucketed.alias("s").join(
-        last.alias("p"), same & (F.col("s._bucket") == F.col("p._bucket")))
-        .select("p._src", "p._rest", "p._below", "s._bucket", "s._key", "s._id", "s._size"))
-    order = Window.partitionBy("_src", "_bucket").orderBy("_key", "_id").rowsBetween(
-        Window.unboundedPreceding, 0)
-    cut = (in_bucket.withColumn("_sum", F.sum("_size").over(order) + F.col("_below"))
+    bucketed = lite.withColumn("_bucket", F.floor(F.col("_key") / (F.lit(1.0) + F.col("_key")) * BUCKETS).cast("int")) \
+        .withColumn("_slot", row_slot(F.col("_row")))
+    ends = plan.select("_src", "_rest", F.lit(0).cast("long").alias("_from"))
+
+    def inside(ends: DataFrame, *same: tuple[str, str]) -> DataFrame:
+        on = F.col("s._src").eqNullSafe(F.col("p._src"))
+        for column, found in same:
+            on = on & F.col(f"s.{column}").eqNullSafe(F.col(f"p.{found}"))
+        return bucketed.alias("s").join(ends.alias("p"), on).select("s.*")
+
+    def sums(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy("_src", *by).agg(F.sum("_size").alias("_sum"))
+    ends = checkpointed(_ends_in(sums(bucketed, "_bucket"), ends, ["_src"], ["_bucket"], ["_b"]))
+    at_key = sums(inside(ends, ("_bucket", "_b")), "_key", "_id")
+    ends = checkpointed(_ends_in(at_key, ends, ["_src"], ["_key", "_id"], ["_k", "_i"]))
+    here = (("_bucket", "_b"), ("_key", "_k"), ("_id", "_i"))
+    ends = checkpointed(_ends_in(sums(inside(ends, *here), "_slot"), ends, ["_src"], ["_slot"], ["_s"]))
+    rows = inside(ends, *here, ("_slot", "_s"))
+    along = Window.partitionBy("_src").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("_src", "_row", "_size", F.sum("_size").over(along).alias("_sum"))
+    cut = (rows.alias("s").join(ends.alias("p"), F.col("s._src").eqNullSafe(F.col("p._src")))
            # a document on the edge is taken if that brings the sum nearer
-           .where(F.col("_sum") - F.col("_size") / 2 <= F.col("_rest"))
-           .groupBy("_src").agg(F.max(F.struct("_key", "_id")).alias("_last")))
-    # nothing taken of the last bucket: all of the buckets before it
-    edge = last.select("_src", (F.col("_bucket") / F.lit(float(BUCKETS))).alias("_from"))
-    return (plan.alias("p").join(cut.alias("c"), F.col("p._src").eqNullSafe(F.col("c._src")), "left")
-            .join(edge.alias("e"), F.col("p._src").eqNullSafe(F.col("e._src")), "left")
-            .select("p._src", "p.source_size", "p.target", "p._epochs", "c._last", "e._from"))
+           .where(F.col("s._sum") + F.col("p._from") - F.col("s._size") / 2 <= F.col("p._rest"))
+           .groupBy("p._src").agg(F.max("s._row").alias("_r")))
+    same = lambda other: F.col("p._src").eqNullSafe(F.col(f"{other}._src"))
+    return (plan.alias("p").join(ends.alias("e"), same("e"), "left").join(cut.alias("c"), same("c"), "left")
+            .select("p._src", "p.source_size", "p.target", "p._epochs", "e._k", "e._i", "e._s", "c._r"))
+
+
+def row_slot(row: Column) -> Column:
+    return F.xxhash64(row).bitwiseAND(BUCKETS - 1)
 
 
 def mix_sources(df: DataFrame, size: Column, weight: Column, doc_id: str = "doc_id",
                 source: str = "source", budget: float = 1.5, weights: tuple = (3, 1, 2),
-                cap: float = 2.0) -> DataFrame:
+                cap: float = 2.0, row: str | None = None) -> DataFrame:
     """df with `source_size`, `target`, `times` (how often the mix takes the row: complete
     epochs, and once more if sampled) added; rows with 0 times stay, marked.
 
-    Null sources form one source of their own, ordered last; null sizes count as 0 and such
-    rows cost nothing; rows with one id are taken alike; equal texts are separate documents.
-    An empty table stays empty. Columns of df with the added names are replaced.
+    row: a column of df that numbers its rows, the same whenever df is read; without one
+    df is written once with a number. Null sources form one source of their own, ordered last;
+    null sizes count as 0 and such rows cost nothing; rows without an id are drawn by their
+    number; rows with one id stand together in the order, and the budget may end among them; equal
+    texts are separate documents. An empty table stays empty. Columns of df with the added
+    names are replaced.
     """
     added = ("source_size", "target", "times")
     df = df.drop(*[c for c in added if c in df.columns])
-    marked = df.withColumns({
+    if row is None:
+        row = "_row"
+        marked = saved(df.withColumn(row, F.monotonically_increasing_id()).withColumns(
+            {"_size": size, "_weight": weight}))
+        size, weight = F.col("_size"), F.col("_weight")
+    else:
+        marked = df
+    marked = marked.withColumns({
         "_size": F.coalesce(size, F.lit(0)).cast("long"),
-        "_key": -F.log(uniform(doc_id)) / F.greatest(weight, F.lit(1e-6))})
+        "_key": -F.log(uniform(doc_id, F.col(row))) / F.greatest(weight, F.lit(1e-6))})
     lite = checkpointed(marked.select(F.col(source).alias("_src"), F.col(doc_id).alias("_id"),
-                                      "_size", "_key"))
+                                      "_size", "_key", F.col(row).alias("_row")))
     plan = checkpointed(mix_plan(lite, budget, list(weights), cap))
     if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     joined = marked.join(plan, marked[source].eqNullSafe(plan["_src"]), "left")
-    key = F.col("_key")
-    last_key, last_id = F.col("_last._key"), F.col("_last._id")
-    # nulls sort first: a null id is never after the last one taken
-    up_to_last = (key < last_key) | ((key == last_key) & F.coalesce(
-        F.col(doc_id) <= last_id, F.col(doc_id).isNull()))
-    in_bucket_before = F.floor(key / (F.lit(1.0) + key) * BUCKETS) < F.col("_from") * BUCKETS
-    sampled = (F.when(F.col("_last").isNotNull(), up_to_last)
-               .when(F.col("_from").isNotNull(), in_bucket_before).otherwise(False))
-    return (joined.withColumn("times", F.col("_epochs") + F.when(sampled, 1).otherwise(0))
-            .drop("_src", "_size", "_key", "_epochs", "_last", "_from"))
+    key, own, number, slot = F.col("_key"), F.col(doc_id), F.col(row), row_slot(F.col(row))
+    # nulls sort first: a null id stands before every other
+    id_before = F.coalesce(own < F.col("_i"), own.isNull() & F.col("_i").isNotNull())
+    in_slot = (slot < F.col("_s")) | ((slot == F.col("_s")) & F.coalesce(number <= F.col("_r"), F.lit(False)))
+    sampled = (key < F.col("_k")) | ((key == F.col("_k")) & (id_before | (own.eqNullSafe(F.col("_i")) & in_slot)))
+    return (joined.withColumn("times", F.col("_epochs") + F.when(F.coalesce(sampled, F.lit(False)), 1).otherwise(0))
+            .select(*df.columns, *added))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = word_count()
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", words.alias("size"),
-        prose_weight(F.col("text"), words).alias("weight"))
+        prose_weight(F.col("text"), words).alias("weight"), F.monotonically_increasing_id().alias("_number"))
     docs = checkpointed(docs)  # sizes are counted once; the texts aren't read again
-    mixed = mix_sources(docs, F.col("size"), F.col("weight"))
+    mixed = mix_sources(docs, F.col("size"), F.col("weight"), row="_number")
     return mixed.select("doc_id", "size", "source_size", "target",
                         (F.col("times") * F.col("size")).alias("taken"))
 
