@@ -69,13 +69,13 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and samples documents so that sources reach their shares; a document taken
-    twice is two rows."""
-    docs = docs.select(*_columns(docs))
+    twice is two rows. Rows are numbered as they are read: `docs` is a written table."""
+    docs = docs.select(*_columns(docs)).withColumn("_number", F.monotonically_increasing_id())
     words = word_count()
-    mixed = mix_sources(docs, words, prose_weight(F.col("text"), words))
+    mixed = mix_sources(docs, words, prose_weight(F.col("text"), words), row="_number")
     times = F.col("times").cast("int")
     return (mixed.where(times > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times)))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .select(*[F.col(f"`{c}`") for c in docs.columns if c != "_number"]))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
