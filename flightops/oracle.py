@@ -427,6 +427,15 @@ SELECT strftime(poll_day, '%Y-%m-%d') AS poll, airport, window_idx,
 FROM dated WHERE NOT ok"""
 QUERIES_SQL["unanswered_calls_stream"] = QUERIES_SQL["unanswered_calls"]
 QUERIES_SQL["restore_flights"] = QUERIES_SQL["ingest_flights"]
+QUERIES_SQL["distinct_by_quarter"] = """
+SELECT year(scheduled_dep) || '-Q' || quarter(scheduled_dep) AS quarter, COUNT(*) AS n_flights,
+       COUNT(DISTINCT airline_name) AS n_airlines, COUNT(DISTINCT NULLIF(aircraft_reg, '')) AS n_aircraft,
+       COUNT(DISTINCT aircraft_model) AS n_models,
+       TRUE AS n_airlines_near, TRUE AS n_aircraft_near, TRUE AS n_models_near
+FROM flights WHERE scheduled_dep IS NOT NULL GROUP BY 1"""
+QUERIES_SQL["explore_clustered"] = QUERIES_SQL["explore_table"]
+QUERIES_SQL["quarantine_counts"] = f"""
+SELECT * FROM ({_AUDIT}) WHERE violations > 0"""
 QUERIES_SQL["restore_long_lists"] = QUERIES_SQL["ingest_flights"]
 QUERIES_SQL["cancelled_flights_csv"] = f"""
 SELECT NULLIF(flight_number, '') AS flight_number, * EXCLUDE (flight_number)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops import schemas
-from flightops.operators import audit, rollups
+from flightops.operators import audit, cluster, rollups, sketches
 from flightops.operators.dims import aircraft_dimension
 from flightops.params import FIXTURE as P
 from flightops.plans import dashboard as H
@@ -234,6 +234,39 @@ def incremental_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delays.select(*[f.name for f in schemas.AIRPORT_DELAYS.fields])
 
 
+def explore_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-5 on a clustered copy of the fact (Z-order inside a month): the same rows."""
+    star = warehouse(spark, sf_dir)
+    by_month = star.flights.withColumn(schemas.FLIGHT_MONTH, F.date_format(schemas.FLIGHT_DATE, "yyyy-MM"))
+    path = _once(spark, sf_dir, "clustered", lambda p: cluster.write_clustered(by_month, p, schemas.FLIGHT_MONTH))
+    return H.explore_table(spark.read.parquet(path), star.airports_dim, P["explore_airline"], P["explore_status"],
+                           None, P["explore_limit"])
+
+
+def distinct_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H-1..H-4 and M-1 by quarter: exact counts, and whether the united daily sketches of
+    the merged star lie within four standard errors of them."""
+    star = merged_star(spark, sf_dir)
+    daily = versions.read_table(spark, star.path, versions.read_version(spark, star.path), "sketches")
+    day = F.col(schemas.FLIGHT_DATE)
+    quarter = F.concat(F.year(day).cast("string"), F.lit("-Q"), F.quarter(day).cast("string")).alias("quarter")
+    estimated = sketches.united(daily.where(day.isNotNull()), quarter)
+    exact = sketches.exact_counts(star.flights.where(day.isNotNull()), quarter)
+    names = list(sketches.MEASURES.values())
+    joined = exact.join(estimated.select("quarter", *[F.col(n).alias(f"_{n}") for n in names]), "quarter")
+    near = [(F.abs(F.col(f"_{n}") - F.col(n)) <= F.greatest(F.col(n) * 4 * sketches.ERROR, F.lit(0.5))).alias(f"{n}_near") for n in names]
+    return joined.select("quarter", "n_flights", *names, *near)
+
+
+def quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-7: the violating rows kept at publish, counted per constraint; equals the audit where
+    that counts any."""
+    star = warehouse(spark, sf_dir)
+    path = _once(spark, sf_dir, "quarantine", lambda p: audit.keep_violations(audit.violations(
+        star.flights, star.airports, star.aircraft, _published_delays(spark, sf_dir)), p, "first"))
+    return audit.violation_counts(spark.read.parquet(path).where("landing = 'first'"))
+
+
 def _polled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
     """Journal and answers of the fixture's polls, landed once per application."""
     def make(path: str) -> None:
@@ -360,6 +393,9 @@ FILE_QUERIES: dict[str, Query] = {
     "incremental_publish": incremental_publish,
     "incremental_airports": incremental_airports,
     "incremental_delays": incremental_delays,
+    "explore_clustered": explore_clustered,
+    "distinct_by_quarter": distinct_by_quarter,
+    "quarantine_counts": quarantine_counts,
     "poll_report": poll_report,
     "unanswered_calls": unanswered_calls,
     "unanswered_calls_stream": unanswered_calls_stream,

@@ -6,7 +6,7 @@ a reader sees the star before a landing or after it, and a writer that stops hal
 only folders that no version names (``drop_unreferenced`` removes them). One writer at a
 time: a version's file is created exclusively, and a second writer from the same version fails.
 
-Besides airports, flights and aircraft a version holds three tables that make a merge cost what
+Besides airports, flights and aircraft a version holds four tables that make a merge cost what
 the landing holds, not what history holds:
 
 * ``requests``: which partitions of the fact hold rows of a request (airport, window start),
@@ -14,6 +14,7 @@ the landing holds, not what history holds:
 * ``sightings``: the first sight of each registration inside each request, by window month. It
   replaces a first sight whose request was answered anew.
 * ``delays``: the daily rollup A-9, partitioned like the fact.
+* ``sketches``: mergeable distinct counts of each day (``operators.sketches``), likewise.
 
 Merging a landing. A request with a window start owns the rows it brought; answering it again
 replaces exactly these. Rows without a window start belong to no request: they are added,
@@ -39,7 +40,9 @@ from pyspark.sql import types as T
 
 from flightops import schemas
 from flightops.functions import expressions as X
+from flightops.operators.cluster import clustered
 from flightops.operators.rollups import airport_delays_daily
+from flightops.operators.sketches import daily_sketches
 from flightops.session import new_scratch_path
 
 VERSIONS = "versions"
@@ -149,7 +152,9 @@ def read_table(spark: SparkSession, root: str, version: Version, table: str,
 def _write(df: DataFrame, root: str, table: str, partition_by: str | None = None) -> list[str]:
     """Write one commit of a table; its live folders."""
     name = f"{COMMIT}={uuid.uuid4().hex}"
-    if partition_by:
+    if table == "flights":
+        df = clustered(df, partition_by)
+    elif partition_by:
         df = df.hint("rebalance", partition_by)
     writer = df.write.option("partitionOverwriteMode", "static")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{root}/{table}/{name}")
@@ -228,8 +233,9 @@ def prepare_replace(spark: SparkSession, root: str, airports: DataFrame, flights
     for name, (df, by) in parts.items():
         live[name] = _write(df, root, name, by)
         known[name] = df
-    known["delays"] = _rollup(written, partition_by)
-    live["delays"] = _write(known["delays"], root, "delays", partition_by)
+    for name, roll in ROLLUPS.items():
+        known[name] = roll(written, partition_by)
+        live[name] = _write(known[name], root, name, partition_by)
     known["aircraft"] = _dimension(written_sightings := read_table(
         spark, root, replace(version, live=live, schemas=_described(known)), "sightings"))
     live["aircraft"] = _write(_dimension(written_sightings), root, "aircraft")
@@ -243,6 +249,17 @@ def _rollup(flights: DataFrame, partition_by: str) -> DataFrame:
     return daily.withColumn(partition_by, day if partition_by == schemas.FLIGHT_DATE else F.date_format(day, "yyyy-MM"))
 
 
+def _day_sketches(flights: DataFrame, partition_by: str) -> DataFrame:
+    daily = daily_sketches(flights)
+    if partition_by == schemas.FLIGHT_DATE:
+        return daily
+    return daily.withColumn(partition_by, F.date_format(schemas.FLIGHT_DATE, "yyyy-MM"))
+
+
+#: Tables made of whole partitions of the fact: their groups never cross a partition.
+ROLLUPS = {"delays": _rollup, "sketches": _day_sketches}
+
+
 def _renewed(live: list[str], touched: set[str], written: list[str]) -> list[str]:
     return [f for f in live if f.split("/")[-1] not in touched] + written
 
@@ -290,10 +307,11 @@ def prepare_merge(spark: SparkSession, root: str, flights: DataFrame, airports:
         kept = read_table(spark, root, last, name, months).join(owners, OWNER, "left_anti")
         live[name] = _renewed(live[name], months, _write(kept.unionByName(df.select(*kept.columns)), root, name, WINDOW_MONTH))
     now = replace(last, number=0, live=live, base=last.number)
-    # the rollup: whole partitions that changed, read from the folders just written
+    # the rollups: whole partitions that changed, read from their live folders
     changed = gains | loses | crowded
-    live["delays"] = _renewed(live["delays"], changed, _write(
-        _rollup(read_table(spark, root, now, "flights", changed), by), root, "delays", by))
+    for name, roll in ROLLUPS.items():
+        live[name] = _renewed(live[name], changed, _write(
+            roll(read_table(spark, root, now, "flights", changed), by), root, name, by))
     # the dimension: first sights that stand, the landing's, and what is left of replaced ones
     old = read_table(spark, root, last, "aircraft")
     stand = old.join(owners, OWNER, "left_anti").select("aircraft_reg", "first", *OWNER)
