@@ -33,18 +33,20 @@ def airport_delays_daily(flights: DataFrame, exact_median: bool = True) -> DataF
                  F.sum("is_canceled").cast("long").alias("canceled_flights")))
 
 
-def publish_airport_delays(rollup: DataFrame, path: str, grain: str = "day") -> None:
+def publish_airport_delays(rollup: DataFrame, path: str, grain: str = "day",
+                           days: DataFrame | None = None) -> None:
     """Store the rollup partitioned by day (``grain="day"``), or by ``delay_month``
     (``grain="month"``) for histories where a day holds only a handful of rows. Either way a
-    rerun replaces exactly the days it holds; the month's other days stay.
-    Read back with ``read_airport_delays``."""
+    rerun replaces exactly the days it holds; the month's other days stay. ``days``
+    (delay_date) names all days that were computed again: one that has no flight any more loses its
+    rows too (``versions`` does so by whole partitions). Read back with ``read_airport_delays``."""
     cols = [f.name for f in schemas.AIRPORT_DELAYS.fields]
     if grain == "day":
-        merge_table(rollup.select(cols), path, "delay_date", owner=["delay_date"])
+        merge_table(rollup.select(cols), path, "delay_date", owner=["delay_date"], owners=days)
     elif grain == "month":
         monthly = rollup.select(cols).withColumn(
             "delay_month", F.date_format(F.col("delay_date"), "yyyy-MM"))
-        merge_table(monthly, path, "delay_month", owner=["delay_date"])
+        merge_table(monthly, path, "delay_month", owner=["delay_date"], owners=days)
     else:
         raise ValueError(f"grain must be 'day' or 'month', not {grain!r}")
 

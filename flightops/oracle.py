@@ -1,8 +1,8 @@
 """DuckDB oracle SQL for the registered queries.
 
-Each statement is the flight-shaped fixture (FIXTURES.md section 3, DuckDB dialect)
-followed by the report written the way the reference writes it (joins first, then
-grouping), with the same parameters, tie-breaks and rounding as the Spark plans.
+Each statement is the flight-shaped fixture (FIXTURES.md section 3, DuckDB dialect) followed
+by the report written from its definition, with the same parameters, tie-breaks and rounding as
+the Spark plans but in a form of its own (subqueries, pre-aggregates, QUALIFY).
 """
 
 from __future__ import annotations

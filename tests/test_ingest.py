@@ -202,6 +202,19 @@ def test_month_rollup_keeps_its_other_days(spark):
     assert rollups.read_airport_delays(spark, path).count() == 3
 
 
+@pytest.mark.parametrize("grain", ["day", "month"])
+def test_rollup_takes_back_a_day_without_flights(spark, grain):
+    from flightops.operators import rollups
+    path = new_scratch_path(spark, "rollup-back")
+    days = [T0, T0 + dt.timedelta(days=1)]
+    f = flights(spark, [dict(flight_id="A 1", scheduled_dep=d) for d in days])
+    rollups.publish_airport_delays(rollups.airport_delays_daily(f), path, grain)
+    again = flights(spark, [dict(flight_id="A 2", scheduled_dep=days[0])])
+    rollups.publish_airport_delays(rollups.airport_delays_daily(again), path, grain,
+                                   days=spark.createDataFrame([(d.date(),) for d in days], "delay_date date"))
+    assert [r.delay_date for r in rollups.read_airport_delays(spark, path).collect()] == [T0.date()]
+
+
 def test_aircraft_needs_an_order(spark):
     from flightops.operators.dims import aircraft_dimension
     f = flights(spark, [dict(flight_id="A 1")]).withColumn("seen_order", F.lit(None))
