@@ -48,7 +48,8 @@ BITS = 1 << 27
 #: Occurrences that a map task gathers before it hands them on as summaries.
 GATHER = 2_000_000
 SLICE = 1 << 20
-KEY_BITS = 40
+#: Bits of a hash that travel, beside its partition; collisions only let more phrases survive.
+KEY_BITS = 32
 
 BLANK, BREAK = " \t", ".,;:!?\n\x0b\x0c\r"
 _CLASS = np.zeros(256, np.uint8)
@@ -209,7 +210,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndar
 # --------------------------------------------------------------------------- first pass
 
 def _map_summaries(lengths: tuple[int, ...], parts: int, pairs_kept):
-    """Each task's occurrences by hash partition: keys of 5 bytes, and their counts."""
+    """Each task's occurrences by hash partition: keys of 4 bytes, and their counts."""
     def hand_on(found: list[np.ndarray]) -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(found), return_counts=True)
         part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
