@@ -1,14 +1,18 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-Fingerprints that differ in at most `distance` bits agree on at least one of distance + 1
-blocks of bits, so each distinct fingerprint is dealt once per block to the group of its
-block's value. A group with more than `group_rows` members is dealt on: the bits it hasn't
-fixed yet are cut into blocks again. Within a group a hierarchical index answers all
-members at once: the fingerprints are sorted by their rank in Gray order, in which
-neighbours share most bits; runs of neighbours become nodes that factor out the bits their
-members share (a mask and a pattern), and upper nodes do the same for runs of nodes. A
-search walks down from the top and drops a whole node once the bits in which the query
-differs from its shared pattern exceed the distance.
+A hierarchical index answers all fingerprints of a group at once: they are sorted by their
+rank in Gray order, in which neighbours share most bits; runs of neighbours become nodes that
+factor out the bits their members share (a mask and a pattern), and upper nodes do the same
+for runs of nodes. A search walks down from the top, adds up the bits in which the query differs
+from what a node's members newly share, and drops the whole node once these exceed the distance.
+
+One index over all fingerprints would have to stand in one task, so they are dealt to groups
+of some `GROUP_ROWS` first, without losing a pair: fingerprints that differ in at most `distance`
+bits agree on at least one of distance + 1 blocks of bits, so each is dealt once per block to the
+group of that block's first bits, as many as make groups of that size (none for a small table: it
+is one index). A group that is `HOT` times as large is dealt on: the bits it hasn't fixed yet are
+cut into blocks again. So every fingerprint is searched through an index, at a cost that doesn't
+grow with the table.
 
 Links of a group go out as a spanning star of each of its components (all members to the
 least), so that copies and near copies never become all pairs.
@@ -16,6 +20,7 @@ least), so that copies and near copies never become all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +35,8 @@ from .components import components, local_roots
 
 BITS = 64
 FAN = 16          # members of a node
-GROUP_ROWS = 1024  # fingerprints in a group before it is dealt on
+GROUP_ROWS = 2048  # fingerprints in a group, on average
+HOT = 4            # times that many: the group is dealt on
 PAIRS = 2_000_000  # queries x nodes compared at once
 
 
@@ -89,7 +95,9 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of (mask, pattern) over Gray-sorted fingerprints; level 0 are the codes."""
+    """Levels of (mask, pattern) over Gray-sorted fingerprints; level 0 are the codes. A
+    level's mask are the bits that its nodes' members share, less those that their parents'
+    already do: differences add up on the way down. visited and pruned count nodes by level."""
 
     def __init__(self, codes: np.ndarray, fan: int = FAN):
         self.order = np.argsort(gray_rank(codes), kind="stable")
@@ -104,6 +112,11 @@ class GrayIndex:
             ones = np.bitwise_and.reduceat(pattern, at)
             zeros = np.bitwise_and.reduceat(~pattern & mask, at)
             self.levels.append((ones | zeros, ones))
+        self.visited, self.pruned = np.zeros((2, len(self.levels)), dtype=np.int64)
+        # what a level's nodes share beyond their parents
+        shared = [mask for mask, _ in self.levels]
+        self.fresh = [m & ~shared[k + 1][np.arange(len(m)) // fan] if k + 1 < len(shared) else m
+                      for k, m in enumerate(shared)]
 
     def pairs(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places (in self.codes) of a < b at most `distance` bits apart, in bounded blocks."""
@@ -112,19 +125,22 @@ class GrayIndex:
         for begin in range(0, len(self.codes), width):
             query = np.arange(begin, min(begin + width, len(self.codes)))
             nodes = len(self.levels[top][0])
-            yield from self._down(top, np.repeat(query, nodes),
-                                  np.tile(np.arange(nodes), len(query)), distance)
+            yield from self._down(top, np.repeat(query, nodes), np.tile(np.arange(nodes), len(query)),
+                                  np.zeros(nodes * len(query), dtype=np.uint8), distance)
 
-    def _down(self, level: int, query: np.ndarray, node: np.ndarray, distance: int):
-        mask, pattern = self.levels[level]
+    def _down(self, level: int, query: np.ndarray, node: np.ndarray, gap: np.ndarray, distance: int):
+        """gap: the bits in which each query already differs from the node's parents."""
+        mask, pattern = self.fresh[level], self.levels[level][1]
         if level:
             # a pair is found from its first member: nodes wholly before it hold no other
             span = self.fan ** level
             keep = (node + 1) * span > query
-            query, node = query[keep], node[keep]
-        gap = np.bitwise_count((self.codes[query] ^ pattern[node]) & mask[node])
+            query, node, gap = query[keep], node[keep], gap[keep]
+        gap = gap + np.bitwise_count((self.codes[query] ^ pattern[node]) & mask[node])
         near = gap <= distance
-        query, node = query[near], node[near]
+        self.visited[level] += len(near)
+        self.pruned[level] += len(near) - np.count_nonzero(near)
+        query, node, gap = query[near], node[near], gap[near]
         if not level:
             later = node > query
             if later.any():
@@ -132,11 +148,11 @@ class GrayIndex:
             return
         below = len(self.levels[level - 1][0])
         for k in range(0, len(query), max(1, PAIRS // self.fan)):
-            q, n = (x[k:k + max(1, PAIRS // self.fan)] for x in (query, node))
+            q, n, g = (x[k:k + max(1, PAIRS // self.fan)] for x in (query, node, gap))
             child = (n[:, None] * self.fan + np.arange(self.fan)).ravel()
-            q = np.repeat(q, self.fan)
+            q, g = np.repeat(q, self.fan), np.repeat(g, self.fan)
             there = child < below
-            yield from self._down(level - 1, q[there], child[there], distance)
+            yield from self._down(level - 1, q[there], child[there], g[there], distance)
 
 
 def group_links(values: np.ndarray, offsets: np.ndarray, distance: int, fan: int = FAN):
@@ -169,19 +185,23 @@ def group_links(values: np.ndarray, offsets: np.ndarray, distance: int, fan: int
 
 def path_bits(path: str, parts: int) -> list[int]:
     """The bits that a path of block choices fixes: each choice takes one of `parts` blocks
-    of the bits still free."""
+    of the bits still free, or ("block:n") its first n bits."""
     free, fixed = list(range(BITS)), []
-    for choice in path.split("."):
+    for step in path.split("."):
+        choice, _, width = step.partition(":")
         cut = [round(k * len(free) / parts) for k in range(parts + 1)]
         block = free[cut[int(choice)]:cut[int(choice) + 1]]
+        block = block[:int(width)] if width else block
         fixed += block
         free = [b for b in free if b not in block]
     return fixed
 
 
-def dealt(df: DataFrame, distance: int) -> DataFrame:
-    """Each row (_fp, _path, _fixed) to distance + 1 rows with a longer path."""
+def dealt(df: DataFrame, distance: int, width: int | None = None) -> DataFrame:
+    """Each row (_fp, _path, _fixed) to distance + 1 rows with a longer path, by whole blocks or
+    their first `width` bits; with no bit, to one row: all in one group."""
     parts = distance + 1
+    choices = ["0:0"] if width == 0 else [str(k) if width is None else f"{k}:{width}" for k in range(parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +209,8 @@ def dealt(df: DataFrame, distance: int) -> DataFrame:
             paths = np.array(batch.column(1).to_pylist(), dtype=object)
             for path in sorted(set(paths.tolist())):
                 own = codes[paths == path]
-                for k in range(parts):
-                    longer = f"{path}.{k}" if path else str(k)
+                for choice in choices:
+                    longer = f"{path}.{choice}" if path else choice
                     mask = np.uint64(sum(1 << b for b in path_bits(longer, parts)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(own), pa.array([longer] * len(own), pa.string()),
@@ -203,14 +223,16 @@ def dealt(df: DataFrame, distance: int) -> DataFrame:
 def fingerprint_links(prints: DataFrame, distance: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Spanning links (a, b) among the distinct fingerprints of `prints` (column _fp).
 
-    Groups over `group_rows` are dealt on until none is left: a group holds at most
+    Groups over HOT times `group_rows` are dealt on until none is left: a group holds at most
     2 ** (bits not fixed) distinct fingerprints, so this ends.
     """
-    groups = checkpointed(dealt(prints.select("_fp", F.lit("").alias("_path")), distance))
+    width = max(0, math.ceil(math.log2(max(1, prints.count()) / group_rows)))
+    groups = checkpointed(dealt(prints.select("_fp", F.lit("").alias("_path")), distance,
+                                width if width < BITS // (distance + 1) else None))
     done = None
     while True:
         sizes = groups.groupBy("_path", "_fixed").agg(F.count("*").alias("_n"))
-        hot = checkpointed(sizes.where(F.col("_n") > group_rows).drop("_n"))
+        hot = checkpointed(sizes.where(F.col("_n") > HOT * group_rows).drop("_n"))
         if hot.isEmpty():
             break
         cold = groups.join(hot, ["_path", "_fixed"], "left_anti")
