@@ -9,7 +9,9 @@ becomes <\|, so no control string can occur there and `\x` read as `x` restores
 role, %, line feed and < become %25, %0A and %3C.
 
 An example holds its whole context in one row, so the longest conversation bounds a row,
-not the number of conversations; contexts are built one example at a time.
+not the number of conversations; contexts are built one example at a time. Rows without a
+conversation id belong to no common one: each is a conversation of its own (`row` numbers
+these), so that a third of a table without ids isn't one conversation in one task.
 """
 
 from __future__ import annotations
@@ -46,35 +48,37 @@ def unescaped_role(role: Column) -> Column:
 
 def prefix_examples(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
                     role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, example, formatted, loss_start, loss_end, last): one row a reply, and one
+    """(conv_id, row, example, formatted, loss_start, loss_end, last): one row a reply, and one
     for turns after the last reply. The mask is the span [loss_start, loss_end) of code
     points in `formatted`; last marks the example that holds the whole conversation.
 
     Null texts and roles are empty; turns are ordered by turn (null first), ties and repeated
-    rows by role and text, all kept; rows with a null conv_id are one conversation; an empty
-    table gives no example; other columns of df are not read.
+    rows by role and text, all kept; a row with a null conv_id is a conversation of its own,
+    told apart by `row` (null elsewhere); an empty table gives no example; other columns of df
+    are not read.
     """
     whole = F.concat(F.lit(BEGIN), escaped_role(F.coalesce(F.col(role), F.lit(""))), F.lit("\n"),
                      escaped(F.coalesce(F.col(text), F.lit(""))), F.lit(END + "\n"))
     turns = df.select(
         F.col(conv_id).alias("conv_id"),
+        F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id()).alias("row"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
                  F.coalesce(F.col(text), F.lit("")).alias("plain"), whole.alias("whole")).alias("t"))
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    chats = turns.groupBy("conv_id", "row").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     n = F.size("ts")
     replies = F.filter(F.transform("ts", lambda t, i: F.when(t["role"] == "assistant", i + 1)),
                        lambda i: i.isNotNull())
     targets = F.array_union(replies, F.array(n))
-    spread = chats.select("conv_id", "ts", F.posexplode(targets).alias("example", "upto"))
+    spread = chats.select("conv_id", "row", "ts", F.posexplode(targets).alias("example", "upto"))
     target = F.element_at("ts", F.col("upto"))
     formatted = F.array_join(F.transform(F.slice("ts", 1, F.col("upto")), lambda t: t["whole"]), "")
     tail = F.lit(len(END) + 1)
     reply = target["role"] == "assistant"
-    spread = spread.select("conv_id", "example", formatted.alias("formatted"),
+    spread = spread.select("conv_id", "row", "example", formatted.alias("formatted"),
                            (F.col("upto") == n).alias("last"), reply.alias("_reply"),
                            F.length(escaped(target["plain"])).alias("_chars"))
     end = F.length("formatted") - tail
-    return spread.select("conv_id", F.col("example").cast("long").alias("example"), "formatted",
+    return spread.select("conv_id", "row", F.col("example").cast("long").alias("example"), "formatted",
                          F.when(F.col("_reply"), end - F.col("_chars")).otherwise(F.length("formatted"))
                          .cast("long").alias("loss_start"),
                          F.when(F.col("_reply"), end).otherwise(F.length("formatted"))
@@ -107,10 +111,10 @@ def op5_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     under_mask = unescaped(F.col("formatted").substr(
         (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
     read = read.select(
-        "conv_id", "example", F.length("formatted").cast("long").alias("_chars"),
+        "conv_id", "row", "example", F.length("formatted").cast("long").alias("_chars"),
         F.size("_turns").cast("long").alias("_n"), F.sha2(lines.cast("binary"), 256).alias("_sha"),
         under_mask.alias("_loss"))
-    chats = read.groupBy("conv_id").agg(
+    chats = read.groupBy("conv_id", "row").agg(
         F.max("_n").alias("n_turns"), F.max("_sha").alias("turns_sha256"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "_loss"))),
                                  lambda x: x["_loss"]), "").alias("_loss"),

@@ -64,16 +64,22 @@ class Space:
         return np.divide(unit, norm, out=np.zeros_like(unit), where=norm > 0)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """The similarity-weighted vote; without any similar neighbour, the sample's share."""
+        """The similarity-weighted vote of the NEIGHBOURS nearest; of those that tie for the last
+        places each counts for its share of these, so that no order among them decides. Without
+        any similar neighbour, the sample's share."""
         out = np.full(len(counts), self.prior)
         if not len(self.vectors):
             return out
         near = min(NEIGHBOURS, len(self.vectors))
-        cosines = self.project(counts) @ self.vectors.T
-        top = np.argpartition(-cosines, near - 1, axis=1)[:, :near]
-        votes = np.maximum(np.take_along_axis(cosines, top, axis=1), 0).astype(float) ** SHARPNESS
-        total = votes.sum(axis=1)
-        return np.divide((votes * self.labels[top]).sum(axis=1), total, out=out, where=total > 0)
+        # to five decimals: products in float32 agree no further
+        cosines = np.round(self.project(counts) @ self.vectors.T, 5)
+        last = np.partition(cosines, len(self.vectors) - near, axis=1)[:, len(self.vectors) - near]
+        above, tied = cosines > last[:, None], cosines == last[:, None]
+        share = np.where(above, 1.0, tied * ((near - above.sum(axis=1)) / tied.sum(axis=1))[:, None])
+        row, at = np.nonzero(share)
+        votes = share[row, at] * np.maximum(cosines[row, at], 0).astype(float) ** SHARPNESS
+        total = np.bincount(row, votes, len(out))
+        return np.divide(np.bincount(row, votes * self.labels[at], len(out)), total, out=out, where=total > 0)
 
 
 def weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
