@@ -120,15 +120,12 @@ class Transducer:
         self.column = np.full(0x110002, -1, dtype=np.int32)
         self.column[BREAK_CODE], self.column[SPECIAL_CODE] = self.BREAK_COL, self.SPECIAL_COL
         self.symbols: list = [(BREAK, "", ""), (BREAK, "", "")]
-        # a column for each byte (from 128 on) of a letter, and of a sign
-        self.byte_column = {}
-        for kind in (LETTER, OTHER):
-            self.byte_column[kind] = len(self.symbols) - 128
-            self.symbols += [(kind, self.letters[b], "<byte>") for b in range(128, 256)]
+        # a column for each byte of a letter, and of a sign, once one occurs
+        self.byte_column = np.full((2, 256), -1, dtype=np.int32)
         self.states: list = [START]
         self.number = {START: 0}
         self.pairs: dict = {}
-        self.table = np.full((1024, len(self.symbols) + 256), -1, dtype=np.int32)
+        self.table = np.full((1024, 64), -1, dtype=np.int32)
 
     def fit(self, state=START) -> int:
         """Begins afresh once the tables are large: memory stays bounded for any input. Gives
@@ -175,13 +172,22 @@ class Transducer:
         out = np.empty(place[-1], dtype=np.int32)
         one = found >= 0
         out[place[:-1][one]] = found[one]
-        base = np.where(found[split] == -2 - LETTER, self.byte_column[LETTER], self.byte_column[OTHER])
+        sign = (found[split] == -2 - OTHER).astype(np.int64)
+        at, key = [], []
         for n in (2, 3, 4):
             mine = size == n
             for k in range(n):
                 bits = (wide[mine] >> (6 * (n - 1 - k))) & 0x3F
                 lead = {2: 0xC0, 3: 0xE0, 4: 0xF0}[n] if k == 0 else 0x80
-                out[place[:-1][split[mine]] + k] = base[mine] + (lead | bits)
+                at.append(place[:-1][split[mine]] + k)
+                key.append(sign[mine] * 256 + (lead | bits))
+        key = np.concatenate(key)
+        known = self.byte_column.reshape(-1)
+        for new in np.unique(key[known[key] < 0]).tolist():
+            known[new] = len(self.symbols)
+            self.symbols.append((OTHER if new >> 8 else LETTER, self.letters[new & 255], "<byte>"))
+        self._grow()
+        out[np.concatenate(at)] = known[key]
         return out, taken
 
     def _grow(self) -> None:
