@@ -356,6 +356,23 @@ def events_12h_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.event_windows_so_far(closed, fixture.read_table(spark, sf_dir, "events"))
 
 
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1: events that land behind the watermark, counted. The later half of the days lands and
+    runs first, the earlier half lands when its windows are closed."""
+    events = fixture.read_table(spark, sf_dir, "events")
+
+    def make(root: str) -> None:
+        day = F.to_date("ts")
+        first, last = events.agg(F.min(day), F.max(day)).first()
+        half = F.date_add(F.lit(first), (last - first).days // 2).cast("timestamp_ntz")
+        for part in (F.col("ts") >= half, F.col("ts") < half):
+            events.where(part).write.mode("append").parquet(f"{root}/landed")
+            windows.stream_event_window_counts(spark, f"{root}/landed", "*.parquet", f"{root}/closed",
+                                               f"{root}/checkpoint", P["events_watermark"], events.schema)
+    closed = spark.read.parquet(_once(spark, sf_dir, "late-events", make) + "/closed")
+    return windows.late_events(closed, events)
+
+
 def dedup_run(spark: SparkSession, sf_dir: str) -> dedup.DedupPaths:
     """Run the streaming de-duplicating ingest over the doubly-landed fixture once per
     application; both ST-2 queries read its outputs."""
@@ -410,6 +427,7 @@ FILE_QUERIES: dict[str, Query] = {
     "missing_windows": missing_windows,
     "events_12h_windows": events_12h_windows,
     "events_12h_windows_stream": events_12h_windows_stream,
+    "late_events": late_events,
     "stream_dedup_flights": stream_dedup_flights,
     "reconcile_dedup_flights": reconcile_dedup_flights,
 }
