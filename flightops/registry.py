@@ -433,6 +433,12 @@ FILE_QUERIES: dict[str, Query] = {
 }
 
 
+#: Publishing and ingest runs that queries read from, each made once per application.
+PREPARED: dict[str, Callable[[SparkSession, str], object]] = {
+    "merge_landings": merged_star, "publish_delays": _published_delays, "land_polls": _polled,
+    "dedup_ingest": dedup_run}
+
+
 def queries() -> dict[str, Query]:
     out = {name: _on_star(fn) for name, fn in STAR_QUERIES.items()}
     out.update(FILE_QUERIES)
