@@ -436,7 +436,7 @@ FROM flights WHERE scheduled_dep IS NOT NULL GROUP BY 1"""
 QUERIES_SQL["late_events"] = """,
 span AS (SELECT CAST(MIN(ts) AS DATE) AS first_day, CAST(MAX(ts) AS DATE) AS last_day FROM events)
 SELECT COUNT(*) AS late_events FROM events, span
-WHERE ts < CAST(first_day + date_diff('day', first_day, last_day) // 2 AS TIMESTAMP)"""
+WHERE ts < CAST(first_day + CAST(date_diff('day', first_day, last_day) // 2 AS INTEGER) AS TIMESTAMP)"""
 QUERIES_SQL["explore_clustered"] = QUERIES_SQL["explore_table"]
 QUERIES_SQL["quarantine_counts"] = f"""
 SELECT * FROM ({_AUDIT}) WHERE violations > 0"""
