@@ -92,7 +92,7 @@ def publish_version(spark: SparkSession, airports: DataFrame, flights: DataFrame
                     partition_by: str, mode: str = "merge", answered: DataFrame | None = None) -> Star:
     """Publish a whole star, or merge a landing, as the next version at ``path``."""
     if versions.read_version(spark, path) is None and mode == "merge":
-        plain = versions._names(spark, f"{path}/flights")
+        plain = versions.names(spark, f"{path}/flights")
         if plain:
             before = {t: spark.read.parquet(f"{path}/{t}") for t in ("airports", "flights")}
             versions.commit(spark, path, versions.prepare_replace(spark, path, before["airports"], before["flights"], partition_by))

@@ -75,13 +75,13 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def names(spark: SparkSession, path: str) -> list[str]:
     fs, where = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
 def _numbers(spark: SparkSession, root: str) -> list[int]:
-    return [int(n[1:-5]) for n in _names(spark, f"{root}/{VERSIONS}") if n.startswith("v") and n.endswith(".json")]
+    return [int(n[1:-5]) for n in names(spark, f"{root}/{VERSIONS}") if n.startswith("v") and n.endswith(".json")]
 
 
 def read_version(spark: SparkSession, root: str, number: int | None = None) -> Version | None:
@@ -127,7 +127,7 @@ def drop_unreferenced(spark: SparkSession, root: str, keep: int = 2) -> list[str
     gone = [f"{VERSIONS}/v{n:09d}.json" for n in _numbers(spark, root) if n not in numbers]
     for table in sorted({t for v in kept for t in v.live}):
         used = {folder.split("/")[0] for v in kept for folder in v.live.get(table, [])}
-        gone += [f"{table}/{c}" for c in _names(spark, f"{root}/{table}") if c.startswith(f"{COMMIT}=") and c not in used]
+        gone += [f"{table}/{c}" for c in names(spark, f"{root}/{table}") if c.startswith(f"{COMMIT}=") and c not in used]
     for name in gone:
         fs, where = _fs(spark, f"{root}/{name}")
         fs.delete(where, True)
@@ -160,7 +160,7 @@ def _write(df: DataFrame, root: str, table: str, partition_by: str | None = None
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{root}/{table}/{name}")
     if not partition_by:
         return [name]
-    return [f"{name}/{p}" for p in _names(df.sparkSession, f"{root}/{table}/{name}") if p.startswith(f"{partition_by}=")]
+    return [f"{name}/{p}" for p in names(df.sparkSession, f"{root}/{table}/{name}") if p.startswith(f"{partition_by}=")]
 
 
 def partition_name(column: str) -> Column:
@@ -236,9 +236,9 @@ def prepare_replace(spark: SparkSession, root: str, airports: DataFrame, flights
     for name, roll in ROLLUPS.items():
         known[name] = roll(written, partition_by)
         live[name] = _write(known[name], root, name, partition_by)
-    known["aircraft"] = _dimension(written_sightings := read_table(
-        spark, root, replace(version, live=live, schemas=_described(known)), "sightings"))
-    live["aircraft"] = _write(_dimension(written_sightings), root, "aircraft")
+    sights = read_table(spark, root, replace(version, live=live, schemas=_described(known)), "sightings")
+    known["aircraft"] = _dimension(sights)
+    live["aircraft"] = _write(known["aircraft"], root, "aircraft")
     return replace(version, live=live, schemas=_described(known))
 
 
