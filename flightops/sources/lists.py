@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flightops import schemas
+from flightops.session import new_scratch_path
 from flightops.sources.landing import CORRUPT
 
 RANGE = ["_file", "_range"]
 
 
-def _change(outside: Column) -> Column:
-    """Change of depth by the brackets of a text that lies outside strings."""
-    opened = F.length(F.regexp_replace(outside, r"[^{\[]", ""))
-    closed = F.length(F.regexp_replace(outside, r"[^}\]]", ""))
+def _change(text: Column) -> Column:
+    """Change of depth by the brackets of a text that begins outside strings."""
+    outside = F.regexp_replace(text, '"[^"]*+"?', "")
+    opened = F.length(outside) - F.length(F.translate(outside, "{[", ""))
+    closed = F.length(outside) - F.length(F.translate(outside, "}]", ""))
     return (opened - closed).cast("long")
 
 
@@ -39,16 +41,14 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     cut = (spark.read.option("lineSep", "}").text(path)
            .select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_range"),
                    F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_text")))
-    parts = F.split(F.regexp_replace("_text", r"\\.", ""), '"')
-    cut = cut.withColumn("_parts", parts)
-    quotes = F.size("_parts") - 1
-
-    def outside(first: int) -> Column:
-        return F.array_join(F.filter("_parts", lambda x, k: k % 2 == first), "")
+    # without escaped characters; few texts hold any
+    cut = cut.withColumn("_plain", F.when(F.contains("_text", F.lit("\\")), F.regexp_replace("_text", r"\\.", ""))
+                         .otherwise(F.col("_text")))
+    quotes = F.length("_plain") - F.length(F.translate("_plain", '"', ""))
     # the brace that ended the piece closes one level where the piece ends outside a string
     return cut.select(*RANGE, "_at", "_text", quotes.cast("long").alias("_quotes"),
-                      (_change(outside(0)) - F.when(quotes % 2 == 0, 1).otherwise(0)).alias("_if0"),
-                      (_change(outside(1)) - F.when(quotes % 2 == 1, 1).otherwise(0)).alias("_if1"))
+                      (_change(F.col("_plain")) - F.when(quotes % 2 == 0, 1).otherwise(0)).alias("_if0"),
+                      (_change(F.concat(F.lit('"'), "_plain")) - F.when(quotes % 2 == 1, 1).otherwise(0)).alias("_if1"))
 
 
 def _before(column: str | Column, window) -> Column:
@@ -75,6 +75,10 @@ def list_documents(spark: SparkSession, path: str) -> DataFrame:
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]), "}")
     # a document's pieces of one range meet without another exchange
     docs = p.groupBy(*RANGE, "_doc").agg(whole.alias("_text"), F.max("_ends").alias("_ends"))
+    # both branches below read them: written once, the cutting and its windows run once
+    path = new_scratch_path(spark, "list-documents")
+    docs.write.option("compression", "zstd").parquet(path)
+    docs = spark.read.schema(docs.schema).parquet(path)
     # the first piece of a range may carry on the last of the range before
     crossing = docs.where((F.col("_doc") == 0) | (F.col("_ends") == 0))
     within = docs.where((F.col("_doc") > 0) & (F.col("_ends") == 1)).select(
