@@ -46,6 +46,7 @@ def test_damage_by_order_of_the_envelope(spark, small_sf):
 def test_partitions_by_bytes_and_back(spark):
     keys = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    session.size_partitions(spark, small=False)     # as the session came, whatever ran before
     before = [spark.conf.get(k, None) for k in keys]
     session.size_partitions(spark, small=True)
     assert [int(spark.conf.get(k)) for k in keys] == [session.FIRST_PARTITIONS, session.PARTITION_BYTES, session.SPLIT_BYTES]
