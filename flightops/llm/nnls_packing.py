@@ -34,64 +34,65 @@ WINDOW = 2048
 STEP = 8          # tokens of a length class
 DEPTH = 3         # rests in a combination, at most
 END_ID = 1
-MEMO = 250_000    # runs, and words, whose ids a worker remembers, at most
+MEMO = 250_000    # runs and words whose ids a worker remembers: as many again from before
 CHUNK_ROWS = 2_000  # rows that a running count orders in one group, about
 
 
 # -- token ids ---------------------------------------------------------------------------
 
-class _Words(dict):
-    """The ids of a word, encoded when it is first seen."""
+class _Pieces(dict):
+    """The ids of runs between blanks and of the words in them: a run is cut into words, and a word
+    encoded, when it is first seen. The last MEMO ones are held, and the MEMO before them, from which
+    one is taken over when it is asked for again: what stands in most texts stays known."""
 
     def __init__(self, encode):
-        self.encode, self.letters = encode, byte_letters()
+        super().__init__()
+        self.encode, self.letters, self.before = encode, byte_letters(), {}
 
     def spelt(self, letters: str) -> bytes:
         return array.array("I", [t.id for t in self.encode(letters)]).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        letters = word if word.isascii() and word.isprintable() else "".join(
-            self.letters[b] for b in word.encode("utf-8", "surrogatepass"))
-        found = self[word] = self.spelt(letters)
+    def word(self, word: str) -> bytes:
+        return self.spelt(word if word.isascii() and word.isprintable() else "".join(
+            [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]))
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            # letters alone are one word
+            words = (piece,) if piece.isalpha() else pretokens.CUT.findall(piece)
+            found = self.word(words[0]) if len(words) == 1 else b"".join(map(self.__getitem__, words))
+        self[piece] = found
         return found
 
-
-class _Runs(dict):
-    """The ids of a run between blanks, cut into words when it is first seen."""
-
-    def __init__(self, words: _Words):
-        self.words = words
-
-    def __missing__(self, run: str) -> bytes:
-        found = self[run] = b"".join(map(self.words.__getitem__, pretokens.CUT.findall(run)))
-        return found
+    def trim(self) -> None:
+        if len(self) > MEMO:
+            self.before = dict(self)
+            self.clear()
 
 
 class _Ids:
-    """Ids of runs between blanks and of words, remembered up to MEMO entries each. The
-    cutter splits at white space and at words, so each has its ids wherever it stands, and
-    the library encodes a distinct word once."""
+    """Ids of runs between blanks and of words, as remembered. The cutter splits at white space
+    and at words, so each has its ids wherever it stands, and the library encodes a distinct
+    word once."""
 
     def __init__(self, path: str):
         self.library = pretokens.library(path)
-        self.words = _Words(self.library.model.tokenize)
-        self.runs = _Runs(self.words)
+        self.pieces = _Pieces(self.library.model.tokenize)
 
     def plain(self, text: str) -> bytes:
         """Of a text that lower-casing alone normalises."""
-        return b"".join(map(self.runs.__getitem__, text.lower().replace("\n", " ").split(" ")))
+        return b"".join(map(self.pieces.__getitem__, text.lower().replace("\n", " ").split(" ")))
 
     def other(self, text: str) -> bytes:
         plain = self.library.normalizer.normalize_str(text)
-        return b"".join(self.words.spelt(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain))
+        return b"".join(self.pieces.spelt(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain))
 
     def special(self, mark: str) -> bytes:
         return array.array("I", [self.library.token_to_id(mark)]).tobytes()
 
     def trim(self) -> None:
-        for known in (self.runs, self.words):
-            if len(known) > MEMO:
-                known.clear()
+        self.pieces.trim()
 
 
 @functools.lru_cache(maxsize=2)
