@@ -399,8 +399,7 @@ def stream_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconcile_dedup_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-2 batch form: bronze (every landed row) reduced to the first-seen row per flight
     key. Key columns returned."""
-    return dedup.reconcile_dedup(spark, dedup_run(spark, sf_dir)).select(
-        *dedup.DEDUP_KEYS, "flight_number")
+    return dedup.reconcile_dedup(spark, dedup_run(spark, sf_dir), [*dedup.DEDUP_KEYS, "flight_number"])
 
 
 FILE_QUERIES: dict[str, Query] = {

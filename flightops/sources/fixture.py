@@ -250,19 +250,15 @@ def _envelopes(flights: DataFrame, both_ends: bool = False) -> DataFrame:
     doc = flight_doc(flights)
     line = F.col(f"{schemas.SEEN_ORDER}.l_linenumber")
     window = half_day_index(F.col("scheduled_dep"))
-    base = flights.select(
-        "chunk", F.col(schemas.SEEN_ORDER).alias("seen"), doc.alias("doc"), window.alias("window_idx"),
-        F.col("origin_iata"), F.col("dest_iata"), line.alias("line"))
     if both_ends:
-        legs = (base.select("chunk", "seen", "doc", "window_idx",
-                            F.col("origin_iata").alias("airport"), F.lit(0).alias("dir"))
-                .unionByName(base.where(F.col("dest_iata").isNotNull())
-                             .select("chunk", "seen", "doc", "window_idx",
-                                     F.col("dest_iata").alias("airport"), F.lit(1).alias("dir"))))
+        # told apart after the exchange: two branches would each need their own
+        ends = F.when(F.col("dest_iata").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        flights = flights.withColumn("dir", F.explode(ends))
+        airport, direction = F.when(F.col("dir") == 0, F.col("origin_iata")).otherwise(F.col("dest_iata")), F.col("dir")
     else:
-        legs = base.select("chunk", "seen", "doc", "window_idx",
-                           F.col("origin_iata").alias("airport"),
-                           F.when(F.col("line") % 2 == 1, F.lit(0)).otherwise(F.lit(1)).alias("dir"))
+        airport, direction = F.col("origin_iata"), F.when(line % 2 == 1, F.lit(0)).otherwise(F.lit(1))
+    legs = flights.select("chunk", F.col(schemas.SEEN_ORDER).alias("seen"), doc.alias("doc"), window.alias("window_idx"),
+                          airport.alias("airport"), direction.alias("dir"))
 
     def side(d: int) -> Column:
         items = F.collect_list(F.when(F.col("dir") == d, F.struct("seen", "doc")))

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flightops.session import new_scratch_path
 from flightops.sources.landing import LANDED_ENVELOPE, flights_from_envelopes
 from flightops.sources.sinks import _hadoop_path
 
@@ -94,19 +95,21 @@ def dedupe_flights(flights: DataFrame, delay: str = "3 days", salt_buckets: int
     return timed.dropDuplicatesWithinWatermark(DEDUP_KEYS).drop("event_time")
 
 
-def dedupe_first_seen(flights: DataFrame) -> DataFrame:
+def dedupe_first_seen(flights: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Exact batch de-duplication: per complete DEDUP_KEYS the row seen first
     (``seen_order``), and the rows without a complete key (``distinct_incomplete``).
 
     ``min_by`` aggregates map-side first, so a key repeated on a third of all rows still
-    leaves one candidate per map task."""
-    cols = [c for c in flights.columns if c not in DEDUP_KEYS]
-    first = F.min_by(F.struct(*cols), F.col("seen_order"))
-    return (flights.where(complete_key())
-            .groupBy(*DEDUP_KEYS).agg(first.alias("_first"))
-            .select(*DEDUP_KEYS, "_first.*")
-            .select(*flights.columns)
-            .unionByName(distinct_incomplete(flights)))
+    leaves one candidate per map task. ``columns`` names those wanted (None: all): of rows with a
+    complete key no other is exchanged, which the planner can't see inside the aggregate."""
+    columns = columns or flights.columns
+    cols = [c for c in columns if c not in DEDUP_KEYS]
+    found = flights.where(complete_key()).groupBy(*DEDUP_KEYS)
+    if cols:
+        found = found.agg(F.min_by(F.struct(*cols), F.col("seen_order")).alias("_first")).select(*DEDUP_KEYS, "_first.*")
+    else:
+        found = found.agg(F.count(F.lit(1)).alias("_n"))
+    return found.select(*columns).unionByName(distinct_incomplete(flights).select(*columns))
 
 
 #: Files of one micro-batch: a backlog is worked off in batches of bounded state and memory.
@@ -118,9 +121,9 @@ DEPARTS = "departs"
 GRAIN = "yyyy-MM-dd"
 
 
-def reconcile_dedup(spark: SparkSession, paths: DedupPaths) -> DataFrame:
+def reconcile_dedup(spark: SparkSession, paths: DedupPaths, columns: list[str] | None = None) -> DataFrame:
     """The exact de-duplicated flights from bronze, late rows included."""
-    return dedupe_first_seen(spark.read.parquet(paths.bronze).drop(COMPLETE))
+    return dedupe_first_seen(spark.read.parquet(paths.bronze).drop(COMPLETE), columns)
 
 
 def streamed_dedup(spark: SparkSession, paths: DedupPaths) -> DataFrame:
@@ -155,7 +158,7 @@ def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
     reader = (spark.readStream.schema(LANDED_ENVELOPE).option("mode", "PERMISSIVE")
               .option("maxFilesPerTrigger", max_files_per_trigger))
     bronze = (flights_from_envelopes(reader.json(landing_path)).withColumn(COMPLETE, complete_key())
-              .writeStream.format("parquet").partitionBy(COMPLETE)
+              .writeStream.format("parquet").option("compression", "zstd").partitionBy(COMPLETE)
               .option("path", paths.bronze)
               .option("checkpointLocation", f"{paths.checkpoint}/bronze")
               .trigger(availableNow=True).start())
@@ -166,12 +169,12 @@ def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
     timed = flights.where(F.col(COMPLETE)).drop(COMPLETE)
     departs = F.date_format("scheduled_dep", grain)
     deduped = (dedupe_flights(timed, delay, salt_buckets).withColumn(DEPARTS, departs)
-               .writeStream.format("parquet").partitionBy(DEPARTS)
+               .writeStream.format("parquet").option("compression", "zstd").partitionBy(DEPARTS)
                .option("path", paths.sink)
                .option("checkpointLocation", f"{paths.checkpoint}/dedup")
                .trigger(availableNow=True).start())
     untimed = (flights.where(~F.col(COMPLETE)).drop(COMPLETE).writeStream.format("parquet")
-               .option("path", paths.untimed)
+               .option("compression", "zstd").option("path", paths.untimed)
                .option("checkpointLocation", f"{paths.checkpoint}/untimed")
                .trigger(availableNow=True).start())
     deduped.awaitTermination()
@@ -187,10 +190,17 @@ def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
 def late_flights(new: DataFrame, paths: DedupPaths) -> DataFrame:
     """The flights of new bronze rows (with their partition) that neither the sink nor the late
     table holds. Only the partitions that the rows depart in are read, chosen by literals; a batch
-    that runs again after a failure finds its own rows in the late table and adds none."""
+    that runs again after a failure finds its own rows in the late table and adds none.
+
+    The keys alone are compared, each once. Those found late are written first, so that their size is
+    known when the whole rows are looked up: few as they are, the rows need no exchange."""
     spark = new.sparkSession
+    key = [DEPARTS, *DEDUP_KEYS]
     days = sorted(r[0] for r in new.select(DEPARTS).distinct().collect())
     known = _kept(spark, paths.sink).unionByName(_kept(spark, paths.late))
-    known = known.where(F.col(DEPARTS).isin(days)).select(DEPARTS, *DEDUP_KEYS)
-    late = new.join(known, [DEPARTS, *DEDUP_KEYS], "left_anti").select(*new.columns)
+    known = known.where(F.col(DEPARTS).isin(days)).select(*key)
+    path = new_scratch_path(spark, "late-keys")
+    new.select(*key).distinct().join(known, key, "left_anti").write.parquet(path)
+    keys = spark.read.schema(new.select(*key).schema).parquet(path)
+    late = new.join(keys, key, "left_semi").select(*new.columns)
     return dedupe_first_seen(late)
