@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from flightops import registry, session
 from flightops.operators import audit
-from flightops.sources import fixture, lists
+from flightops.sources import fixture, lists, versions
 from flightops.sources.store import warehouse
 from flightops.streaming import dedup
 
@@ -119,3 +119,27 @@ def test_late_rows_are_found_by_keys(spark, tmp_path):
     semi = [line for line in _plan(late).splitlines() if "LeftSemi" in line]
     # whole rows meet the late keys without an exchange (before: all of them were dealt)
     assert semi and all("BroadcastHashJoin" in line for line in semi) and key[0] in late.columns
+
+
+def test_sightings_are_exchanged_once(spark):
+    schema = ("aircraft_reg string, aircraft_model string, airline_name string, "
+              "seen_order struct<airport:string,window_from:string,pos:int>")
+    rows = [("R1", "m2", "a", ("X", "2024-01-01T00:00", 2)), ("R1", "m1", "a", ("X", "2024-01-01T00:00", 1)),
+            ("R1", "m3", "b", ("Y", "2024-02-01T00:00", 0)), ("R2", "m", "c", ("X", None, 5)), ("", "m", "c", ("X", None, 6))]
+    new = versions._owned(spark.createDataFrame(rows, schema))
+    fresh = versions._sightings(new)
+    got = sorted((r["aircraft_reg"], r["airport"], str(r["window_month"]), r["first"]["seen"]["pos"]) for r in fresh.collect())
+    assert got == [("R1", "X", "2024-01", 1), ("R1", "Y", "2024-02", 0), ("R2", "X", "None", 5)]
+    # those of an earlier version stay as they are, also beside one of the same request
+    both = versions._sightings(new, fresh)
+    assert both.count() == 2 * len(got) and both.columns == fresh.columns
+    kept = versions._window_month(versions._sights(new))
+    assert _plan(versions._sightings(new, kept)).count("Exchange hashpartitioning") == 1
+    every = versions._dimension(versions._sights(new)).select("aircraft_reg", "aircraft_model", "airport").collect()
+    assert sorted(map(tuple, every)) == sorted(map(tuple, versions._dimension(fresh).select("aircraft_reg", "aircraft_model", "airport").collect()))
+
+
+def test_small_files_share_a_task(spark):
+    session.size_partitions(spark, small=True)
+    assert int(spark.conf.get("spark.sql.files.openCostInBytes")) == session.OPEN_BYTES
+    session.size_partitions(spark, small=False)
