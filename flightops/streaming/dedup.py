@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightops.session import new_scratch_path
+from flightops.operators.joins import sized_broadcast
 from flightops.sources.landing import LANDED_ENVELOPE, flights_from_envelopes
 from flightops.sources.sinks import _hadoop_path
 
@@ -192,15 +192,13 @@ def late_flights(new: DataFrame, paths: DedupPaths) -> DataFrame:
     table holds. Only the partitions that the rows depart in are read, chosen by literals; a batch
     that runs again after a failure finds its own rows in the late table and adds none.
 
-    The keys alone are compared, each once. Those found late are written first, so that their size is
-    known when the whole rows are looked up: few as they are, the rows need no exchange."""
+    The keys alone are compared, each once. Where those found late are few (checked), the whole rows
+    are looked up by them without an exchange."""
     spark = new.sparkSession
     key = [DEPARTS, *DEDUP_KEYS]
     days = sorted(r[0] for r in new.select(DEPARTS).distinct().collect())
     known = _kept(spark, paths.sink).unionByName(_kept(spark, paths.late))
     known = known.where(F.col(DEPARTS).isin(days)).select(*key)
-    path = new_scratch_path(spark, "late-keys")
-    new.select(*key).distinct().join(known, key, "left_anti").write.parquet(path)
-    keys = spark.read.schema(new.select(*key).schema).parquet(path)
-    late = new.join(keys, key, "left_semi").select(*new.columns)
+    keys = new.select(*key).distinct().join(known, key, "left_anti")
+    late = new.join(sized_broadcast(keys), key, "left_semi").select(*new.columns)
     return dedupe_first_seen(late)
