@@ -13,7 +13,7 @@ def aircraft_dimension(flights: DataFrame, seen_order: str = schemas.SEEN_ORDER)
     """One row per non-blank registration: model and airline of the row seen first.
 
     ``seen_order`` is a sortable column (a struct compares field by field) giving the
-    order in which the rows were collected. ``min_by`` is an ordinary aggregate with a
+    order in which the rows were collected. ``min`` is an ordinary aggregate with a
     map-side partial step, so a registration on a third of all rows still leaves each
     map task with one candidate per registration; no global row_number, no single task.
     NULL and empty registrations are skipped, as in the reference. Flights without an order
@@ -24,7 +24,7 @@ def aircraft_dimension(flights: DataFrame, seen_order: str = schemas.SEEN_ORDER)
     reg = F.col("aircraft_reg")
     values = F.struct("aircraft_model", "airline_name")
     # two answers to one request hold the same places: the values then decide, not the files
-    first = F.min_by(values, F.struct(F.col(seen_order), values))
+    first = F.min(F.struct(F.col(seen_order), values.alias("values")))["values"]
     picked = (
         flights.where(reg.isNotNull() & (reg != ""))
         .groupBy("aircraft_reg")

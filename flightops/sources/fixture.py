@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from flightops import schemas
 from flightops.functions import expressions as X
+from flightops.operators import joins
 
 # Fixed values of the fixture mapping (FIXTURES.md section 3).
 FIXTURE_AIRPORT_COUNT = 12
@@ -105,39 +106,43 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity", "l_returnflag", "l_linestatus").repartition("l_orderkey")
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    # what follows from a part or a supplier alone is made there, once a part, not once a flight
+    part = read_table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.concat(_case(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)),
+                       MODEL_MAKER_BY_PART_WORD, OTHER_MAKER),
+                 F.lit(" "), F.col("p_brand")).alias("aircraft_model"))
+    no_supplier, o_nat = F.col("s_suppkey") % 23 == 0, F.col("s_nationkey")
+    supplier = read_table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.when(no_supplier, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))).alias("airline_code"),
+        F.when(no_supplier, F.lit(None).cast("string")).otherwise(F.col("s_name")).alias("airline_name"),
+        _code("A", o_nat, 2).alias("origin_iata"), _code("N", o_nat, 3).alias("origin_icao"))
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
 
     # Join order is written by hand (cost-based reordering is off by default): customer
     # only adds the destination nation at order grain, so it meets orders first and the
     # fact is shuffled once for orders and once for part, not a third time for customer.
-    # Supplier is small in TPC-like data and broadcasts once AQE sees its size.
+    # Supplier is broadcast as far as its size allows; by its key the fact would be shuffled again.
     order_side = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     joined = (
         li.join(order_side, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(joins.sized_broadcast(supplier), F.col("l_suppkey") == F.col("s_suppkey"))
     )
 
-    partkey, suppkey = F.col("l_partkey"), F.col("s_suppkey")
-    qty = F.col("l_quantity")
-    no_supplier = suppkey % 23 == 0
+    partkey, qty = F.col("l_partkey"), F.col("l_quantity")
     raw = joined.select(
         *[F.col(k) for k in SEEN_ORDER_KEYS],
         F.when(partkey % 29 == 28, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("FL "), F.col("l_orderkey").cast("string"), F.lit("-"),
                             F.col("l_linenumber").cast("string"))).alias("flight_id"),
-        F.when(no_supplier, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("S"), suppkey.cast("string"))).alias("airline_code"),
-        F.when(no_supplier, F.lit(None).cast("string")).otherwise(F.col("s_name")).alias("airline_name"),
+        "airline_code", "airline_name", "origin_iata", "origin_icao",
         F.when(partkey % 17 == 0, F.lit(None).cast("string"))
         .when(partkey % 19 == 0, F.lit(""))
         .otherwise(F.concat(F.lit("R-"), partkey.cast("string"))).alias("aircraft_reg"),
-        F.concat(_case(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)),
-                       MODEL_MAKER_BY_PART_WORD, OTHER_MAKER),
-                 F.lit(" "), F.col("p_brand")).alias("aircraft_model"),
-        F.col("s_nationkey").alias("o_nat"),
+        "aircraft_model",
         F.when(F.col("c_nationkey").isin(list(NEVER_DESTINATION_NATIONS)), F.lit(None).cast("int"))
         .otherwise(F.col("c_nationkey")).alias("d_nat"),
         _add_minutes(F.col("o_orderdate"), F.col("l_linenumber") * 97).alias("t_dep"),
@@ -159,8 +164,7 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("flight_id"),
         X.flight_number("flight_id").alias("flight_number"),
         "airline_code", "airline_name", "aircraft_reg", "aircraft_model",
-        _code("A", F.col("o_nat"), 2).alias("origin_iata"),
-        _code("N", F.col("o_nat"), 3).alias("origin_icao"),
+        "origin_iata", "origin_icao",
         _code("A", F.col("d_nat"), 2).alias("dest_iata"),
         _code("N", F.col("d_nat"), 3).alias("dest_icao"),
         F.when(code == "ONF", null_ts).otherwise(t_arr).alias("scheduled_arr"),

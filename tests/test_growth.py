@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from flightops import registry, session
 from flightops.operators import audit
+from flightops.operators.dims import aircraft_dimension
 from flightops.sources import fixture, lists, versions
 from flightops.sources.store import warehouse
 from flightops.streaming import dedup
@@ -33,6 +34,23 @@ def test_landings_are_compressed(spark, small_sf):
     assert glob.glob(f"{path}/*.json.gz") and not glob.glob(f"{path}/*.json")
 
 
+def test_fact_is_not_exchanged_by_supplier(spark, small_sf):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)      # as if every side were large
+    try:
+        plan = _plan(fixture.flights(spark, small_sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(l_partkey" in plan and "hashpartitioning(l_suppkey" not in plan
+
+
+def test_dimension_holds_a_candidate_once(spark, small_sf):
+    flights = warehouse(spark, small_sf).flights
+    dealt = [line for line in _plan(aircraft_dimension(flights)).splitlines() if "partial_" in line]
+    # the buffer is the order with the values, not these beside them
+    assert dealt and all("min_by" not in line and "partial_min" in line for line in dealt)
+
+
 def test_damage_by_order_of_the_envelope(spark, small_sf):
     flights = warehouse(spark, small_sf).flights
     kind = F.col("seen_order.l_orderkey") % fixture.DAMAGE_EVERY
