@@ -140,7 +140,8 @@ def landing_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restore_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-4: flights saved as whole-file JSON lists, read back."""
     path = _once(spark, sf_dir, "saved-lists", lambda p: fixture.saved_lists(
-        warehouse(spark, sf_dir).flights).write.option("maxRecordsPerFile", 1).text(p))
+        warehouse(spark, sf_dir).flights).write.option("maxRecordsPerFile", 1)
+        .option("compression", "gzip").text(p))
     return landing.flights_from_list(landing.read_flight_list(spark, path)).select(*schemas.FLIGHT_COLUMNS)
 
 

@@ -266,7 +266,7 @@ def _envelopes(flights: DataFrame, both_ends: bool = False) -> DataFrame:
 
     def side(d: int) -> Column:
         items = F.collect_list(F.when(F.col("dir") == d, F.struct("seen", "doc")))
-        ordered = F.transform(F.array_sort(items), lambda x: x["doc"])
+        ordered = F.transform(F.sort_array(items), lambda x: x["doc"])
         return F.when(F.size(ordered) > 0, ordered)
 
     env = legs.groupBy("airport", "window_idx", "chunk").agg(
@@ -351,13 +351,20 @@ LIST_ORDERS = 4096  # order numbers of one saved list: some 16,000 flights
 
 def saved_lists(flights: DataFrame, keep_part: bool = False) -> DataFrame:
     """Flights as JSON lists (a text column), one for each range of order numbers, so that no
-    list grows with the data; written one row a file they are saved whole-file lists."""
+    list grows with the data; written one row a file they are saved whole-file lists.
+
+    Flights are dealt by list as plain columns; documents, which are some times as long, are
+    made after that and meet in lists without another exchange."""
     seen = F.col(schemas.SEEN_ORDER)
-    docs = flights.select(F.floor(seen["l_orderkey"] / LIST_ORDERS).alias("part"),
-                          F.struct(seen.alias("seen"), flight_doc(flights).alias("doc")).alias("f"))
-    items = F.transform(F.array_sort(F.collect_list("f")), lambda x: x["doc"])
+    flights = flights.select(schemas.SEEN_ORDER, *_DOC_COLUMNS).withColumn(
+        "part", F.floor(seen["l_orderkey"] / LIST_ORDERS)).repartition("part")
+    # each document is written once, on its own: lists of texts are lighter to hold and sort than of structs
+    text = F.to_json(flight_doc(flights))
+    docs = flights.select("part", F.struct(seen.alias("seen"), text.alias("doc")).alias("f"))
+    items = F.transform(F.sort_array(F.collect_list("f")), lambda x: x["doc"])
     lists = docs.groupBy("part").agg(items.alias("items"))
-    return lists.select(*(["part"] if keep_part else []), F.to_json("items").alias("value"))
+    return lists.select(*(["part"] if keep_part else []),
+                        F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")).alias("value"))
 
 
 LONG_LIST_PARTS = 64  # such ranges of one long list: some million flights a file

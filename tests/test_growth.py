@@ -2,7 +2,9 @@
 
 import datetime as dt
 import glob
+import json
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +14,7 @@ from flightops.operators.dims import aircraft_dimension
 from flightops.sources import fixture, lists, versions
 from flightops.sources.store import warehouse
 from flightops.streaming import dedup
+from helpers import FLIGHTS_SCHEMA
 
 
 def _plan(df) -> str:
@@ -34,6 +37,29 @@ def test_landings_are_compressed(spark, small_sf):
     assert glob.glob(f"{path}/*.json.gz") and not glob.glob(f"{path}/*.json")
 
 
+def test_saved_lists_are_compressed_and_made_after_the_exchange(spark, small_sf):
+    plan = _plan(fixture.saved_lists(warehouse(spark, small_sf).flights))
+    exchange = [k for k, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line]
+    gathered = [k for k, line in enumerate(plan.splitlines()) if "partial_collect_list" in line]
+    # one exchange, of plain columns: documents are made and gathered above it
+    assert len(exchange) == 1 and gathered and max(gathered) < exchange[0]
+    registry.restore_flights(spark, small_sf)
+    path = session.local_path(registry._once(spark, small_sf, "saved-lists", lambda p: None))
+    assert glob.glob(f"{path}/*.txt.gz") and not glob.glob(f"{path}/*.txt")
+
+
+def test_lists_hold_all_flights_in_order(spark):
+    made = [(k, None if k % 7 == 0 else f"n {k}") for k in (9000, 3, 5, 4096, 1, 5, 8191)]
+    rows = [Row(**{c: None for c in fixture._DOC_COLUMNS} | {"seen_order": Row(l_orderkey=k, l_linenumber=1), "flight_id": n,
+                                                            "is_cargo": k % 2}) for k, n in made]
+    types = {f.name: f.dataType for f in FLIGHTS_SCHEMA.fields}
+    schema = T.StructType([T.StructField(c, types[c]) for c in fixture._DOC_COLUMNS] + [T.StructField("seen_order", T.StructType(
+        [T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType())]))])
+    df = spark.createDataFrame([[r[c] for c in schema.fieldNames()] for r in rows], schema)
+    got = sorted([f.get("number") for f in json.loads(r["value"])] for r in fixture.saved_lists(df.union(df.where("false"))).collect())
+    assert got == [["n 1", "n 3", "n 5", "n 5"], ["n 4096", "n 8191"], ["n 9000"]]
+
+
 def test_fact_is_not_exchanged_by_supplier(spark, small_sf):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)      # as if every side were large
