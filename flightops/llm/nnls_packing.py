@@ -14,6 +14,7 @@ few rows a combination.
 from __future__ import annotations
 
 import array
+import codecs
 import functools
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ WINDOW = 2048
 STEP = 8          # tokens of a length class
 DEPTH = 3         # rests in a combination, at most
 END_ID = 1
-MEMO = 250_000    # runs and words whose ids a worker remembers: as many again from before
+MEMO = 500_000    # runs and words whose ids a worker remembers: as many again from before
 CHUNK_ROWS = 2_000  # rows that a running count orders in one group, about
 
 
@@ -47,14 +48,14 @@ class _Pieces(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.letters, self.before = encode, byte_letters(), {}
+        self.encode, self.letters, self.before = encode, "".join(byte_letters()), {}
 
     def spelt(self, letters: str) -> bytes:
         return array.array("I", [t.id for t in self.encode(letters)]).tobytes()
 
     def word(self, word: str) -> bytes:
-        return self.spelt(word if word.isascii() and word.isprintable() else "".join(
-            [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]))
+        return self.spelt(word if word.isascii() and word.isprintable() else codecs.charmap_decode(
+            word.encode("utf-8", "surrogatepass"), "strict", self.letters)[0])
 
     def __missing__(self, piece: str) -> bytes:
         found = self.before.get(piece)

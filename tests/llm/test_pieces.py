@@ -27,3 +27,25 @@ def test_common_words_stay_known(monkeypatch):
         ids.plain(f"common word{k}x")
     # before: encoded anew each time the memory was full
     assert asked.count("common") == 1 and len(ids.pieces) + len(ids.pieces.before) <= 110
+
+
+def test_words_of_many_texts_are_encoded_once():
+    ids = nnls_packing._Ids(PATH)
+    asked = []
+    ids.pieces.encode = lambda word: asked.append(word) or ()
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(str(k + i) for i in range(1000)).translate(letters) for k in range(0, 450_000, 1000)]
+    for text in texts + texts:
+        ids.trim()
+        ids.plain(text)
+    # before: what 250,000 later pieces had pushed out was encoded anew
+    assert len(asked) == 450_000
+
+
+def test_bytes_are_spelt_as_the_library_does():
+    pieces = nnls_packing._Ids(PATH).pieces
+    seen = []
+    pieces.encode = lambda word: seen.append(word) or ()
+    for word in ("éß", "a\x00\x7f­", "˿"):
+        pieces.word(word)
+        assert seen[-1] == "".join(pieces.letters[b] for b in word.encode())
