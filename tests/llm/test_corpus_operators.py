@@ -160,6 +160,28 @@ def test_pages_without_marks_lose_what_their_host_repeats(spark):
     assert html_extraction.main_texts(df.limit(0)).count() == 0
 
 
+def test_suffix_array_judges_marked_articles_too(spark):
+    rng = random.Random(7)
+    own = [" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(40)]
+    card, shared = "Read our guide to the ten best offers of this week", "This passage stands in the articles of many pages here"
+    carried = " ".join(f"c{rng.randrange(5000)}" for _ in range(60))
+    menu = "<nav>Home</nav><div class=comment>A reader writes something new here</div>"
+    # a card marked up as an article beside one, and beside text without any; a passage that articles share;
+    # an article that several pages carry
+    html = [f"{menu}<article>{card}</article><article><p>{t}<p>{shared}</article>" if k % 4 == 0 else
+            f"{menu}<article>{card}</article><div>{t}</div>" if k % 4 == 1 else
+            f"{menu}<main><p>{shared}<p>{t}</main>" if k % 4 == 2 else
+            f"{menu}<article>{carried}</article><div>Page number {k} of this site</div>" for k, t in enumerate(own)]
+    want = [f"{t}\n{shared}" if k % 4 == 0 else t if k % 4 == 1 else f"{shared}\n{t}" if k % 4 == 2 else carried
+            for k, t in enumerate(own)]
+    rows = [(k, "https://site.example/x", page) for k, page in enumerate(html)] + [(0, "https://site.example/y", html[0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for tokens in (10 ** 6, 200):
+        got = html_extraction.main_texts(df, tokens).collect()
+        # before: the card was text wherever it was marked up as an article
+        assert len(got) == 41 and {(r.page_id, r.text) for r in got} == set(enumerate(want))
+
+
 # --------------------------------------------------------------------------- manifest
 
 def _h(text):
