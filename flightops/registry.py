@@ -158,7 +158,11 @@ def restore_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def restore_long_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-4: flights saved as long lists (some million flights a file), each read by many tasks."""
-    path = _once(spark, sf_dir, "long-lists", lambda p: fixture.write_long_lists(warehouse(spark, sf_dir).flights, p))
+    def make(path: str) -> None:
+        star = warehouse(spark, sf_dir)
+        # a list is one task's: a turn holds several
+        fixture.write_long_lists(star.flights, path, _turns(spark, star, 8 * TURN_BYTES))
+    path = _once(spark, sf_dir, "long-lists", make)
     docs = lists.read_flight_list_split(spark, path)
     return landing.flights_from_list(docs).select(*schemas.FLIGHT_COLUMNS)
 

@@ -11,7 +11,7 @@ for lineitem-orders-part-customer at scale, broadcast for tiny sides at runtime)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops import schemas
@@ -356,36 +356,52 @@ def damaged_landing(flights: DataFrame) -> DataFrame:
 LIST_ORDERS = 4096  # order numbers of one saved list: some 16,000 flights
 
 
-def saved_lists(flights: DataFrame, keep_part: bool = False) -> DataFrame:
+def _list_part() -> Column:
+    return F.floor(F.col(f"{schemas.SEEN_ORDER}.l_orderkey") / LIST_ORDERS)
+
+
+def _gathered(flights: DataFrame, by: list[str]) -> DataFrame:
+    """Flights as JSON texts joined by commas (``items``), in order, one row for each ``by``."""
+    # each document is written once, on its own: lists of texts are lighter to hold and sort than of structs
+    text = F.to_json(flight_doc(flights))
+    docs = flights.select(*by, F.struct(F.col(schemas.SEEN_ORDER).alias("seen"), text.alias("doc")).alias("f"))
+    items = F.transform(F.sort_array(F.collect_list("f")), lambda x: x["doc"])
+    return docs.groupBy(*by).agg(F.array_join(items, ",").alias("items"))
+
+
+def saved_lists(flights: DataFrame) -> DataFrame:
     """Flights as JSON lists (a text column), one for each range of order numbers, so that no
     list grows with the data; written one row a file they are saved whole-file lists.
 
     Flights are dealt by list as plain columns; documents, which are some times as long, are
     made after that and meet in lists without another exchange."""
-    seen = F.col(schemas.SEEN_ORDER)
-    flights = flights.select(schemas.SEEN_ORDER, *_DOC_COLUMNS).withColumn(
-        "part", F.floor(seen["l_orderkey"] / LIST_ORDERS)).repartition("part")
-    # each document is written once, on its own: lists of texts are lighter to hold and sort than of structs
-    text = F.to_json(flight_doc(flights))
-    docs = flights.select("part", F.struct(seen.alias("seen"), text.alias("doc")).alias("f"))
-    items = F.transform(F.sort_array(F.collect_list("f")), lambda x: x["doc"])
-    lists = docs.groupBy("part").agg(items.alias("items"))
-    return lists.select(*(["part"] if keep_part else []),
-                        F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")).alias("value"))
+    flights = flights.select(schemas.SEEN_ORDER, *_DOC_COLUMNS).withColumn("part", _list_part()).repartition("part")
+    return _gathered(flights, ["part"]).select(F.concat(F.lit("["), F.col("items"), F.lit("]")).alias("value"))
 
 
 LONG_LIST_PARTS = 64  # such ranges of one long list: some million flights a file
 
 
-def write_long_lists(flights: DataFrame, path: str) -> None:
-    """Flights as long JSON lists, one a file, each written piece by piece in order."""
-    parts = saved_lists(flights, keep_part=True).withColumn("list", F.floor(F.col("part") / LONG_LIST_PARTS))
-    along = Window.partitionBy("list").orderBy("part")
-    items = F.expr("substring(value, 2, length(value) - 2)")
-    head = F.when(F.lag("part").over(along).isNull(), "[").otherwise(",")
-    tail = F.when(F.lead("part").over(along).isNull(), "]").otherwise("")
-    lines = parts.select("list", "part", F.concat(head, items, tail).alias("value"))
-    lines.sortWithinPartitions("list", "part").drop("part").write.partitionBy("list").text(path)
+def write_long_lists(flights: DataFrame, path: str, turns: int = 1) -> None:
+    """Flights as long JSON lists, one a file, each written piece by piece in order, in ``turns`` of whole
+    lists. Flights are dealt by list as plain columns and sorted there: a task holds the texts of one piece
+    at a time, which the sort-based aggregation does, and no text is exchanged."""
+    flights = (flights.select(schemas.SEEN_ORDER, *_DOC_COLUMNS).withColumn("part", _list_part())
+               .withColumn("list", F.floor(F.col("part") / LONG_LIST_PARTS)))
+    ends = F.broadcast(flights.groupBy(F.col("list").alias("_list")).agg(F.min("part").alias("_first"), F.max("part").alias("_last")))
+    turn = F.coalesce(F.pmod(F.col("list"), F.lit(turns)), F.lit(0))
+    conf, by_hash = flights.sparkSession.conf, "spark.sql.execution.useObjectHashAggregateExec"
+    before = conf.get(by_hash)
+    conf.set(by_hash, "false")
+    try:
+        for k in range(turns):
+            dealt = flights.where(turn == k).repartition("list").sortWithinPartitions("list", "part", schemas.SEEN_ORDER)
+            pieces = _gathered(dealt, ["list", "part"]).join(ends, F.col("list").eqNullSafe(F.col("_list")))
+            head = F.when(F.col("part").eqNullSafe(F.col("_first")), "[").otherwise(",")
+            tail = F.when(F.col("part").eqNullSafe(F.col("_last")), "]").otherwise("")
+            pieces.select("list", F.concat(head, "items", tail).alias("value")).write.mode("append").partitionBy("list").text(path)
+    finally:
+        conf.set(by_hash, before)
 
 
 def airport_docs(airports_df: DataFrame) -> DataFrame:

@@ -58,3 +58,46 @@ def test_turns_hold_every_flight_once(spark, small_sf):
     assert lines(*turns) == lines(flights)
     assert registry._turns(spark, warehouse(spark, small_sf)) == 1
     assert registry._turns(spark, warehouse(spark, small_sf), 1) == registry.MAX_TURNS
+
+
+def test_long_lists_in_turns(spark, tmp_path):
+    a_list = fixture.LIST_ORDERS * fixture.LONG_LIST_PARTS
+    keys = [(k, n) for k in (None, 5, 3, fixture.LIST_ORDERS + 1, a_list, a_list + 7, 3 * a_list) for n in (2, 1, 1)]
+    flights = _flights(spark, keys).repartition(3)
+    found = []
+    for turns in (1, 3):
+        path = str(tmp_path / f"lists-{turns}")
+        fixture.write_long_lists(flights, path, turns)
+        files = [f for f in glob.glob(f"{path}/list=*/part-*") if os.path.getsize(f)]
+        assert len(files) == 4                                    # one a list
+        held = [[f["number"] for f in json.load(open(p))] for p in files]
+        found.append(sorted(held))
+        for numbers in held:
+            order = [[int(x) for x in n.split(" ")[1:] if x != "None"] for n in numbers if "None" not in n]
+            assert order == sorted(order)
+        read = lists.read_flight_list_split(spark, path)
+        assert sorted(str(r["number"]) for r in read.collect()) == sorted(str(x) for h in held for x in h)
+    assert found[0] == found[1] and sum(map(len, found[0])) == len(keys)
+
+
+def test_lists_are_cut_in_turns(spark, tmp_path, monkeypatch):
+    root = tmp_path / "a b"
+    root.mkdir()
+    want = []
+    for name in ("x[1].json", "y +z%20.json", "plain.json"):
+        docs = [{"number": f"{name} {i}", "aircraft": {"reg": '}{"][\\"'}} for i in range(40)]
+        (root / name).write_text(json.dumps(docs))
+        want += [d["number"] for d in docs]
+    before = sorted(map(str, lists.list_documents(spark, str(root)).collect()))
+    monkeypatch.setattr(lists, "TURN_BYTES", 1)
+    assert [len(t) for t in lists._turns(lists._files(spark, str(root)))] == [1, 1, 1]
+    got = lists.list_documents(spark, str(root)).collect()
+    assert sorted(map(str, got)) == before
+    assert sorted(json.loads(r["text"])["number"] for r in got) == sorted(want)
+    assert len({r["file"] for r in got}) == 3
+
+
+def test_pieces_are_exchanged_without_the_path(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"number": "a"}, {"number": "b"}]')
+    pieces = lists._pieces(spark, [str(tmp_path / "a.json")])
+    assert dict(pieces.dtypes)["_file"] == "bigint"
