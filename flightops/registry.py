@@ -398,8 +398,10 @@ def dedup_run(spark: SparkSession, sf_dir: str) -> dedup.DedupPaths:
     """Run the streaming de-duplicating ingest over the doubly-landed fixture once per
     application; both ST-2 queries read its outputs."""
     def make(root: str) -> dedup.DedupPaths:
-        paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/checkpoint")
-        dedup.run_dedup_ingest(spark, landed_path(spark, sf_dir, both_ends=True), paths,
+        landed = landed_path(spark, sf_dir, both_ends=True)
+        slices = min(MAX_TURNS, 1 + versions.folder_bytes(spark, landed) // (2 * TURN_BYTES))
+        paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/checkpoint", slices)
+        dedup.run_dedup_ingest(spark, landed, paths,
                                P["dedup_delay"], salt_buckets=P["dedup_salt_buckets"], grain="yyyy")
         return paths
     return _once(spark, sf_dir, "dedup", make)

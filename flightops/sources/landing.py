@@ -125,6 +125,15 @@ def _endpoint(doc: Column, side: str) -> tuple[Column, Column, Column, Column]:
     return e["airport"]["iata"], e["airport"]["icao"], e["scheduledTime"]["utc"], e["revisedTime"]["utc"]
 
 
+def derived_columns() -> dict[str, Column]:
+    """The columns of a flight that follow from its others."""
+    return {"flight_number": X.flight_number("flight_id"),
+            "delay_arr": X.delay_minutes("actual_arr", "scheduled_arr"),
+            "delay_dep": X.delay_minutes("actual_dep", "scheduled_dep"),
+            "is_canceled": X.in_flag("status", X.CANCELED_STATUSES).cast("int"),
+            schemas.FLIGHT_DATE: F.to_date("scheduled_dep")}
+
+
 def flights_from_docs(docs: DataFrame, doc: str = "f",
                       seen_order: Column | None = None) -> DataFrame:
     """Flight documents (a struct column ``doc``) -> the flights fact.

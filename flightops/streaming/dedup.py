@@ -29,14 +29,16 @@ row per key, and the incomplete rows).
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flightops.operators.joins import sized_broadcast
-from flightops.sources.landing import LANDED_ENVELOPE, flights_from_envelopes
+from flightops.sources.landing import LANDED_ENVELOPE, derived_columns, flights_from_envelopes
 from flightops.sources.sinks import _hadoop_path
 
 # The columns that identify one flight leg for de-duplication.
@@ -48,6 +50,12 @@ class DedupPaths:
     sink: str           # de-duplicated flights (Parquet)
     untimed: str        # rows without a complete key (Parquet)
     checkpoint: str     # one sub-folder per streaming query, and the bronze table
+    slices: int = 1     # of the keys, by hash, each de-duplicated by a stream of its own, one after the other
+
+    @property
+    def sinks(self) -> list[str]:
+        """The sink's folders: one a slice, as each stream keeps its own log of files."""
+        return [self.sink] if self.slices == 1 else [f"{self.sink}/slice-{k}" for k in range(self.slices)]
 
     @property
     def bronze(self) -> str:
@@ -116,6 +124,8 @@ def dedupe_first_seen(flights: DataFrame, columns: list[str] | None = None) -> D
 MAX_FILES_PER_TRIGGER = 10_000
 #: Partition column of bronze: whether the de-duplication key is complete.
 COMPLETE = "complete"
+#: Partition column of bronze where there are several slices: the slice that a complete key belongs to.
+SLICE = "slice"
 #: Partition column of the sink and the late table: the scheduled departure, cut to GRAIN.
 DEPARTS = "departs"
 GRAIN = "yyyy-MM-dd"
@@ -123,15 +133,20 @@ GRAIN = "yyyy-MM-dd"
 
 def reconcile_dedup(spark: SparkSession, paths: DedupPaths, columns: list[str] | None = None) -> DataFrame:
     """The exact de-duplicated flights from bronze, late rows included."""
-    return dedupe_first_seen(spark.read.parquet(paths.bronze).drop(COMPLETE), columns)
+    return dedupe_first_seen(spark.read.parquet(paths.bronze).drop(COMPLETE, SLICE), columns)
 
 
 def streamed_dedup(spark: SparkSession, paths: DedupPaths) -> DataFrame:
     """Every flight of the outputs once: the sink, the late table, and the incomplete rows."""
-    return (_kept(spark, paths.sink).unionByName(_kept(spark, paths.late)).drop(DEPARTS)
+    return (_kept_flights(spark, paths).drop(DEPARTS)
             .unionByName(distinct_incomplete(_kept(spark, paths.untimed).drop(DEPARTS))))
 
 
+def _kept_flights(spark: SparkSession, paths: DedupPaths) -> DataFrame:
+    """The sink and the late table as they are now."""
+    return reduce(DataFrame.unionByName, [_kept(spark, p) for p in (*paths.sinks, paths.late)])
+
+
 def _kept(spark: SparkSession, path: str) -> DataFrame:
     """An output as it is now; without rows before anything was written."""
     schema = _bronze_schema(spark)
@@ -142,9 +157,16 @@ def _kept(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _bronze_schema(spark: SparkSession):
-    flights = flights_from_envelopes(spark.createDataFrame([], LANDED_ENVELOPE))
-    return flights.withColumn(COMPLETE, complete_key()).schema
+def _to_bronze(flights: DataFrame, slices: int = 1) -> DataFrame:
+    """Flights with bronze's partition columns."""
+    flights = flights.withColumn(COMPLETE, complete_key())
+    if slices == 1:
+        return flights
+    return flights.withColumn(SLICE, F.when(F.col(COMPLETE), F.pmod(F.xxhash64(*DEDUP_KEYS), F.lit(slices))).otherwise(0).cast("int"))
+
+
+def _bronze_schema(spark: SparkSession, slices: int = 1):
+    return _to_bronze(flights_from_envelopes(spark.createDataFrame([], LANDED_ENVELOPE)), slices).schema
 
 
 def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
@@ -154,30 +176,44 @@ def run_dedup_ingest(spark: SparkSession, landing_path: str, paths: DedupPaths,
     split by whether the key is complete, so both readers after it read only their folder.
     Flights that the streams dropped as late are then added to the late table. ``grain`` (a date
     pattern, the same in every run) cuts departures to the partitions of sink and late table:
-    days, or longer where a day holds only a handful of rows."""
+    days, or longer where a day holds only a handful of rows.
+
+    A batch holds what it exchanges, whole rows twice, until it ends. With ``paths.slices`` (the same in every
+    run) the keys are dealt to that many streams, which run one after the other: a backlog then takes that part of
+    the disk. Columns that follow from others aren't exchanged."""
     reader = (spark.readStream.schema(LANDED_ENVELOPE).option("mode", "PERMISSIVE")
               .option("maxFilesPerTrigger", max_files_per_trigger))
-    bronze = (flights_from_envelopes(reader.json(landing_path)).withColumn(COMPLETE, complete_key())
-              .writeStream.format("parquet").option("compression", "zstd").partitionBy(COMPLETE)
+    by = [COMPLETE] if paths.slices == 1 else [COMPLETE, SLICE]
+    bronze = (_to_bronze(flights_from_envelopes(reader.json(landing_path)), paths.slices)
+              .writeStream.format("parquet").option("compression", "zstd").partitionBy(*by)
               .option("path", paths.bronze)
               .option("checkpointLocation", f"{paths.checkpoint}/bronze")
               .trigger(availableNow=True).start())
     bronze.awaitTermination()
 
-    flights = (spark.readStream.schema(_bronze_schema(spark))
+    flights = (spark.readStream.schema(_bronze_schema(spark, paths.slices))
                .option("maxFilesPerTrigger", max_files_per_trigger).parquet(paths.bronze))
-    timed = flights.where(F.col(COMPLETE)).drop(COMPLETE)
+    timed = flights.where(F.col(COMPLETE)).drop(COMPLETE, SLICE)
     departs = F.date_format("scheduled_dep", grain)
-    deduped = (dedupe_flights(timed, delay, salt_buckets).withColumn(DEPARTS, departs)
-               .writeStream.format("parquet").option("compression", "zstd").partitionBy(DEPARTS)
-               .option("path", paths.sink)
-               .option("checkpointLocation", f"{paths.checkpoint}/dedup")
-               .trigger(availableNow=True).start())
-    untimed = (flights.where(~F.col(COMPLETE)).drop(COMPLETE).writeStream.format("parquet")
+    untimed = (flights.where(~F.col(COMPLETE)).drop(COMPLETE, SLICE).writeStream.format("parquet")
                .option("compression", "zstd").option("path", paths.untimed)
                .option("checkpointLocation", f"{paths.checkpoint}/untimed")
                .trigger(availableNow=True).start())
-    deduped.awaitTermination()
+    for k, sink in enumerate(paths.sinks):
+        own = timed if paths.slices == 1 else flights.where(F.col(COMPLETE) & (F.col(SLICE) == k)).drop(COMPLETE, SLICE)
+        kept = dedupe_flights(own.drop(*derived_columns()), delay, salt_buckets)
+        deduped = (kept.withColumns(derived_columns()).select(*own.columns).withColumn(DEPARTS, departs)
+                   .writeStream.format("parquet").option("compression", "zstd").partitionBy(DEPARTS)
+                   .option("path", sink)
+                   .option("checkpointLocation", f"{paths.checkpoint}/dedup" + (f"-{k}" if paths.slices > 1 else ""))
+                   .trigger(availableNow=True).start())
+        deduped.awaitTermination()
+        del deduped   # it holds the last batch
+        if paths.slices > 1:
+            # a stream's exchanges go when the driver collects its garbage, which may be after all slices; its
+            # thread ends a little after the query
+            time.sleep(1)
+            spark.sparkContext._jvm.System.gc()
     untimed.awaitTermination()
     late = (timed.withColumn(DEPARTS, departs).writeStream
             .foreachBatch(lambda batch, _: late_flights(batch, paths).write.mode("append")
@@ -197,8 +233,7 @@ def late_flights(new: DataFrame, paths: DedupPaths) -> DataFrame:
     spark = new.sparkSession
     key = [DEPARTS, *DEDUP_KEYS]
     days = sorted(r[0] for r in new.select(DEPARTS).distinct().collect())
-    known = _kept(spark, paths.sink).unionByName(_kept(spark, paths.late))
-    known = known.where(F.col(DEPARTS).isin(days)).select(*key)
+    known = _kept_flights(spark, paths).where(F.col(DEPARTS).isin(days)).select(*key)
     keys = new.select(*key).distinct().join(known, key, "left_anti")
     late = new.join(sized_broadcast(keys), key, "left_semi").select(*new.columns)
     return dedupe_first_seen(late)

@@ -101,3 +101,33 @@ def test_pieces_are_exchanged_without_the_path(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"number": "a"}, {"number": "b"}]')
     pieces = lists._pieces(spark, [str(tmp_path / "a.json")])
     assert dict(pieces.dtypes)["_file"] == "bigint"
+
+
+def _land(path, name, envelopes):
+    os.makedirs(local_path(path), exist_ok=True)
+    with open(os.path.join(local_path(path), name), "w") as fh:
+        fh.write("\n".join(json.dumps(e) for e in envelopes) + "\n")
+
+
+def test_slices_hold_the_flights_of_one_stream(spark):
+    landing_dir = new_scratch_path(spark, "sliced-landing")
+    made = [dict(FLIGHT, number=f"AI {i}") for i in range(30)]
+    untimed = dict(FLIGHT, number="XX 9", departure={"airport": {"iata": "DEL", "icao": "VIDP"}})
+    _land(landing_dir, "a.json", [{"airport": "DEL", "window_idx": 0, "departures": made[:20] + [untimed, untimed]},
+                                  {"airport": "BOM", "window_idx": 0, "arrivals": made[:20]}])
+    kept = []
+    for slices in (1, 3):
+        root = new_scratch_path(spark, "sliced")
+        paths = dedup.DedupPaths(f"{root}/flights", f"{root}/untimed", f"{root}/ckpt", slices)
+        dedup.run_dedup_ingest(spark, landing_dir, paths, salt_buckets=2)
+        assert dedup.streamed_dedup(spark, paths).count() == 21
+        kept.append((paths, dedup.streamed_dedup(spark, paths).drop("seen_order").collect()))
+    assert sorted(map(str, kept[0][1])) == sorted(map(str, kept[1][1]))     # columns that weren't exchanged too
+    paths = kept[1][0]
+    assert len(glob.glob(f"{local_path(paths.bronze)}/complete=true/slice=*")) == 3
+    # a later run finds what an earlier one kept, in every slice
+    _land(landing_dir, "b.json", [{"airport": "DEL", "window_idx": 1, "departures": made}])
+    dedup.run_dedup_ingest(spark, landing_dir, paths, salt_buckets=2)
+    got = sorted(r.flight_id for r in dedup.streamed_dedup(spark, paths).collect())
+    assert got == sorted([f["number"] for f in made] + ["XX 9"])
+    assert dedup.reconcile_dedup(spark, paths, dedup.DEDUP_KEYS).count() == 31
