@@ -103,6 +103,52 @@ def test_pieces_are_exchanged_without_the_path(spark, tmp_path):
     assert dict(pieces.dtypes)["_file"] == "bigint"
 
 
+ODD_TIMES = ["2025-11-20 06:05Z", "2025-11-20 06:05", "2025-11-20 6:5Z", "2025-02-30 06:05Z", "2025-13-01 00:00Z", "2025-11-20 24:00Z",
+             "2025-11-20 06:05 ", "2025-11-20 06:05\n", " 2025-11-20 06:05", "2025-11-20T06:05Z", "2025-11-20 06:05:00", "", "Z", None,
+             "0001-01-01 00:00Z", "9999-12-31 23:59Z", "1582-10-10 00:00Z", "2024-02-29 23:59Z", "20251-1-20 06:05", "2025-11-20 06:5Z",
+             "2025-11-20 06h05Z", "2Z025-11-20 06:05", "2025-11-20 06:05ZZ", "٢٠٢٥-11-20 06:05Z", "2025-00-10 00:00Z"]
+
+
+def test_full_width_times_equal_the_pattern(spark):
+    df = spark.createDataFrame([(t,) for t in ODD_TIMES], "t string")
+    by_pattern = F.try_to_timestamp(F.translate("t", "Z", ""), F.lit(X.UTC_TIME_PATTERN)).cast("timestamp_ntz")
+    rows = df.select("t", X.parse_utc_time("t").alias("got"), by_pattern.alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows] and sum(r["got"] is not None for r in rows) > 5
+    plain = df.where(F.col("t").rlike(X.FULL_UTC_TIME))
+    assert sorted(r["t"] for r in plain.collect())[0] == "0001-01-01 00:00Z"
+
+
+def test_merged_landings_parse_the_lines_once(spark, small_sf, monkeypatch):
+    read = []
+
+    class Stop(Exception):
+        pass
+
+    def first(spark, path, airports, flights, *rest):
+        read.extend(flights.inputFiles())
+        raise Stop
+    monkeypatch.setattr(versions, "prepare_replace", first)
+    monkeypatch.setattr(registry, "_ONCE", {k: v for k, v in registry._ONCE.items() if k[2] != "merged-star"})
+    with pytest.raises(Stop):
+        registry.merged_star(spark, small_sf)
+    assert read and all(f.endswith(".parquet") for f in read)     # before: the JSON, once a landing
+
+
+def test_sightings_carry_the_request_once(spark):
+    schema = ("aircraft_reg string, aircraft_model string, airline_name string, "
+              "seen_order struct<poll:string,airport:string,window_from:string,pos:int>")
+    rows = [("R1", "m2", "a", ("p", "X", "2024-01-01T00:00", 2)), ("R1", "m1", None, ("p", "X", "2024-01-01T00:00", 1)),
+            ("R1", "m3", "b", (None, "Y", None, 0)), ("R1", "m4", "b", (None, None, None, 0))]
+    new = versions._owned(spark.createDataFrame(rows, schema))
+    found = versions._sightings(new)
+    assert found.schema["first"].dataType["seen"].dataType.fieldNames() == ["poll", "airport", "window_from", "pos"]
+    whole = versions._sights(new).groupBy("aircraft_reg", *versions.OWNER).agg(F.min("first").alias("first"))
+    assert sorted(map(str, found.select("first").collect())) == sorted(map(str, whole.select("first").collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = "\n".join(plan[plan.index("RepartitionByExpression"):].split("\n")[1:])
+    assert "seen, struct(poll," in below        # before: the order as it stands, with the request in it
+
+
 def _land(path, name, envelopes):
     os.makedirs(local_path(path), exist_ok=True)
     with open(os.path.join(local_path(path), name), "w") as fh:
